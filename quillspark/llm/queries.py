@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import is_held_out, table
 
 
 def _path(name: str) -> str:
@@ -15,6 +16,14 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.language import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs))
+    return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.chat import format_chats
 
@@ -27,12 +36,28 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.quality import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    rows = score(docs.select("doc_id", "text"), learn(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    rows = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.fingerprints import fingerprint_edits
 
@@ -46,7 +71,11 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_formatting, op5_source_mixing, op7_token_counts, op9_document_fingerprints, op10_bpe_encoding)}
+    found = (
+        op1_language_id, op2_chat_formatting, op5_source_mixing, op6_quality_classifier, op7_token_counts, op8_toxicity,
+        op9_document_fingerprints, op10_bpe_encoding,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
