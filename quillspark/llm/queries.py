@@ -30,6 +30,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.mixing import mix_sources
 
@@ -72,7 +78,7 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_language_id, op2_chat_formatting, op5_source_mixing, op6_quality_classifier, op7_token_counts, op8_toxicity,
+        op1_language_id, op2_chat_formatting, op4_jaccard_join, op5_source_mixing, op6_quality_classifier, op7_token_counts, op8_toxicity,
         op9_document_fingerprints, op10_bpe_encoding,
     )
     return {f.__name__: f for f in found}
