@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,14 +21,18 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the session's shared checkpoint folder and read on from there, so that lost executors lose nothing.
+    """Write df as a table to the session's shared checkpoint folder and read on from there, so that lost executors lose
+    nothing and plans of repeated rounds stay small (a checkpoint() would carry its constraints from round to round).
 
-    A folder of our own is set only where the session names none, as in tests.
+    A folder of our own is set only where the session names none, as in tests. The tables go with that folder.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4()}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sampled(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
