@@ -30,6 +30,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.media import store_texts
+
+    return store_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.jaccard_join import jaccard_join
 
@@ -78,7 +84,7 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_language_id, op2_chat_formatting, op4_jaccard_join, op5_source_mixing, op6_quality_classifier, op7_token_counts, op8_toxicity,
+        op1_language_id, op2_chat_formatting, op3_media_columns, op4_jaccard_join, op5_source_mixing, op6_quality_classifier, op7_token_counts, op8_toxicity,
         op9_document_fingerprints, op10_bpe_encoding,
     )
     return {f.__name__: f for f in found}
