@@ -20,19 +20,23 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table to the session's shared checkpoint folder and read on from there, so that lost executors lose
-    nothing and plans of repeated rounds stay small (a checkpoint() would carry its constraints from round to round).
-
-    A folder of our own is set only where the session names none, as in tests. The tables go with that folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; one of our own only where the session names none, as in
+    tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4()}.parquet"
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as a table to the shared folder and read on from there, so that lost executors lose nothing and plans of
+    repeated rounds stay small (a checkpoint() would carry its constraints from round to round). The tables go with that
+    folder.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sampled(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:

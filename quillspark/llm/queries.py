@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import is_held_out, table
 
 
-def _path(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -59,7 +60,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.token_counts import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.encoding import encode
 
-    return encode(table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"), ids=False)
+    return encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
