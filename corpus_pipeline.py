@@ -1,10 +1,74 @@
-"""Corpus pipeline over `documents`; see STAGES."""
+"""Corpus pipeline over `documents`: quality, language, near duplicates, mixing to target weights, encoding.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but the last
+return the columns of documents, and what each returns is written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import encoding, jaccard_join, language, mixing, quality
+from quillspark.llm.common import shared_folder, table
+from quillspark.llm.queries import vocabulary
+
+#: A document is rejected below this score.
+LEAST_QUALITY, LEAST_LANGUAGE = 0.3, 0.4
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, learned from all labels that aren't held out, scores 0.3 or more."""
+    rules = quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score(docs, rules).where(F.col("score") >= LEAST_QUALITY).select(docs.columns)
+
+
+def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: rejected are those without a letter and those of which no language has 40 % of the letters.
+
+    Scores go back to the rows by doc_id; rows with a null id have none and are rejected.
+    """
+    found = language.identify(docs, language.learn(table(spark, sf_dir, "documents")))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the lowest id of each class of equal or linked texts."""
+    kept = jaccard_join.jaccard_join(docs).where("doc_id = class_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: all their words once, or twice where more than one and a half times."""
+    taken = mixing.mix_sources(docs).where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    return docs.join(taken, "doc_id").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document of the mix, and hashes of what they decode to."""
+    return encoding.encode(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", filter_quality),
+    ("language", filter_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("mix", mix),
+    ("encode", encode),
+]
+#: No stage but by its learned or sampled parts; SQL can't express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's rows written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}.parquet"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
