@@ -69,12 +69,13 @@ def evidence(folded: str, automaton: ahocorasick.Automaton) -> float:
     return total / math.log2(2 + folded.count(" ")) if total else 0.0
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = 12_000, surprise: float = 12.0, terms: int = 5_000) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 8_000, surprise: float = 12.0, purity: float = 0.8, terms: int = 5_000) -> Lexicon:
     """A lexicon from about `rows` labelled documents that are not held out (a bounded sample, chosen by a hash of the id).
 
-    Terms are folded words and beginnings of words, of 4 to 6 letters. One enters, of `terms` at most (the bound of the
-    model), if documents that have it are toxic so much oftener than the others that it is worth `surprise` nats. Its
-    weight is the log odds ratio. `half` lies between the labelled texts' evidence where the fewest are told wrongly.
+    Terms are folded words and beginnings of words, of 4 to 6 letters. They are counted once for each pair of neighbouring
+    words, so that copies of a toxic text don't make its harmless words suspect. One enters, of `terms` at most (the bound
+    of the model), if a share `purity` of its contexts is in toxic documents and that is worth `surprise` nats against
+    the share of all words there. Its weight is the log odds ratio. `half` lies between the labelled texts' evidence where the fewest are told wrongly.
     """
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     told = sampled(told, rows)
@@ -90,16 +91,18 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 12_000, surprise: floa
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Lexicon({})
-    by_word = folded.select("toxic", F.explode(F.array_distinct(F.split(F.trim("folded"), " "))).alias("word")).where("length(word) between 2 and 40")
-    by_word = by_word.groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    words_ = F.split(F.trim("folded"), " ")
+    seen_at = folded.select("toxic", words_.alias("w")).select("toxic", F.explode(F.transform("w", lambda w, i: F.struct(w.alias("word"), F.xxhash64(F.get("w", i - 1), F.get("w", i + 1)).alias("context")))).alias("x"))
+    seen_at = seen_at.select("toxic", "x.word", "x.context").where("length(word) between 2 and 40").groupBy("word", "context").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
+    by_word = cut(seen_at.groupBy("word").agg(F.sum("t").alias("t"), F.sum(F.col("t") + F.col("c")).alias("n")))
     starts = F.transform(F.sequence(F.lit(4), F.lit(6)), lambda k: F.concat(F.lit(" "), F.left("word", k)))
     forms = F.concat(F.array(F.concat(F.lit(" "), "word", F.lit(" "))), F.filter(starts, lambda s: F.length(s) <= F.length("word")))
     terms_ = by_word.select(F.explode(forms).alias("term"), "t", "n").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    base = bad / (bad + good)
+    base = by_word.agg(F.sum("t") / F.sum("n")).first()[0]
     share = F.col("t") / F.col("n")
     nats = F.col("t") * F.log(share / base) + F.when(share < 1, (F.col("n") - F.col("t")) * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    weight = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - math.log(bad / good)
-    chosen = terms_.where((F.col("t") >= 3) & (share > 0.5)).select("term", nats.alias("nats"), weight.alias("weight")).where(F.col("nats") >= surprise)
+    weight = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - math.log(base / (1 - base))
+    chosen = terms_.where((F.col("t") >= 3) & (share > purity)).select("term", nats.alias("nats"), weight.alias("weight")).where(F.col("nats") >= surprise)
     weights = {r["term"]: r["weight"] for r in chosen.orderBy(F.desc("nats"), "term").limit(terms).collect()}
     lexicon = Lexicon(weights)
 
