@@ -1,0 +1,61 @@
+"""Chunks of paragraphs: a table function that packs each text in order, with one paragraph of overlap."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Characters at which a chunk may end, that it should not pass, that it must not pass, and of a paragraph carried over.
+ENOUGH, TARGET, MOST, CARRIED = 900, 1400, 1800, 700
+
+
+def paragraphs(text: str, separator: str) -> Iterator[tuple[int, int]]:
+    """Half-open spans of trimmed paragraphs; long ones are cut at sentence ends or, failing that, at blanks."""
+    at = 0
+    for part in text.split(separator):
+        left, size = len(part) - len(part.lstrip()), len(part.strip())
+        start, end = at + left, at + left + size
+        while end - start > MOST:
+            window = text[start : start + TARGET]
+            stop = max(window.rfind(m) for m in (". ", "! ", "? ")) + 1
+            stop = stop if stop > TARGET // 2 else max(window.rfind(" "), 0)
+            stop = stop if stop > TARGET // 2 else TARGET
+            yield start, start + stop
+            start += stop
+            while start < end and text[start].isspace():
+                start += 1
+        if end > start:
+            yield start, end
+        at += len(part) + len(separator)
+
+
+def pack(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of chunks. A chunk's last paragraph, if short, begins the next one; a chunk of overlap alone isn't given."""
+    held: list[tuple[int, int]] = []
+    fresh = False
+    for span in spans:
+        if held and fresh and (span[1] - held[0][0] > TARGET or held[-1][1] - held[0][0] >= ENOUGH):
+            yield held[0][0], held[-1][1]
+            last = held[-1]
+            held = [last] if last[1] - last[0] < CARRIED and span[1] - last[0] <= MOST else []
+        elif held and not fresh and span[1] - held[0][0] > MOST:
+            held = []
+        held.append(span)
+        fresh = True
+    if held and fresh:
+        yield held[0][0], held[-1][1]
+
+
+def chunk_documents(works: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """work_id, ordinal, char_start, char_end, text of (work_id, text); one text is packed within its own row."""
+
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(w, i, s, e, text[s:e]) for w, text in zip(batch["work_id"], batch["text"]) for i, (s, e) in enumerate(pack(list(paragraphs(text, separator))))]
+            yield pd.DataFrame(rows, columns=["work_id", "ordinal", "char_start", "char_end", "text"])
+
+    texts = works.select("work_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInPandas(chunked, "work_id long, ordinal long, char_start long, char_end long, text string")
