@@ -33,9 +33,9 @@ def dedupe_first(t: Tables) -> DataFrame:
     return t.documents.groupBy(X.dedupe_key(F.col("text")).alias("dedupe_key")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'part') OR list_bool_or(list_transform(string_split(lower(p_name), ' '), lambda w: levenshtein('part', w[1:4]) <= 0))")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'widgit') OR list_bool_or(list_transform(string_split(lower(p_name), ' '), lambda w: levenshtein('widgit', w[1:7]) <= 1))")
 def fuzzy_filter(t: Tables) -> DataFrame:
-    return t.part.where(X.fuzzy_match(F.lower("p_name"), ["part"])).select("p_partkey", "p_name")
+    return t.part.where(X.fuzzy_match(F.lower("p_name"), ["widgit"])).select("p_partkey", "p_name")
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS stripped FROM pages")
