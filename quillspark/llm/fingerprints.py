@@ -69,9 +69,8 @@ def fingerprint_edits(docs: DataFrame, scale: int = 4, k: int = 5, width: int =
     lowest, highest = (lowest if lowest is not None else 0) - 1, highest if highest is not None else 0
     block = F.floor((F.coalesce("doc_id", F.lit(lowest)) - lowest) / width)
     blocks = base.select(block.alias("k")).distinct()
-    after = next_lower(blocks, 0, (highest - lowest) // width)
-    first = blocks.agg(F.max("k").alias("_first"))
-    after = after.join(F.broadcast(first)).select(F.col("k").alias("b"), F.coalesce("nxt", "_first").alias("_next"))
+    top = (highest - lowest) // width
+    after = next_lower(blocks, 0, top).select(F.col("k").alias("b"), F.coalesce("nxt", F.lit(top)).alias("_next"))
     order = Window.partitionBy("b").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
     dealt = base.withColumn("b", block)
     heads = dealt.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(F.col("b").alias("_next"), F.col("text").alias("_head"))
