@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import encoding, jaccard_join, language, mixing, quality
-from quillspark.llm.common import shared_folder, table
+from quillspark.llm.common import cut, shared_folder, table
 from quillspark.llm.queries import vocabulary
 
 #: A document is rejected below this score.
@@ -23,7 +23,8 @@ LEAST_QUALITY, LEAST_LANGUAGE = 0.3, 0.4
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, learned from all labels that aren't held out, scores 0.3 or more."""
     rules = quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, rules).where(F.col("score") >= LEAST_QUALITY).select(docs.columns)
+    scored = cut(quality.score(docs, rules))  # else the filter moves below the statistics and works them out for each rule
+    return scored.where(F.col("score") >= LEAST_QUALITY).select(docs.columns)
 
 
 def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
