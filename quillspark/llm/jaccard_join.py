@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut
@@ -78,8 +78,9 @@ def _matrix(sigs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), -1)
 
 
-def representatives(docs: DataFrame, k: int, width: int) -> DataFrame:
-    """One row per different text with a word: id (its lowest doc_id), key (its MD5), sig."""
+def representatives(named: DataFrame, k: int, width: int) -> DataFrame:
+    """One row per different text with a word: id (64 bits of its MD5), sig, at (where it is read: its lowest doc_id, or
+    LOWEST where none of its rows has one)."""
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -87,10 +88,10 @@ def representatives(docs: DataFrame, k: int, width: int) -> DataFrame:
                 hashes, starts = shingles(list(part["text"]), k)
                 sigs = signatures(hashes, starts, width)
                 full = np.diff(starts) > 0
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[full], "key": part["key"].to_numpy()[full], "sig": [s.tobytes() for s in sigs[full]]})
+                yield pd.DataFrame({"id": part["id"].to_numpy()[full], "at": part["at"].to_numpy()[full], "none": part["none"].to_numpy()[full], "sig": [s.tobytes() for s in sigs[full]]})
 
-    rows = docs.mapInPandas(signed, "doc_id long, key string, sig binary")
-    return rows.groupBy("key", "sig").agg(F.min("doc_id").alias("id"))
+    rows = named.select("id", "at", F.col("doc_id").isNull().alias("none"), "text").mapInPandas(signed, "id long, at long, none boolean, sig binary")
+    return rows.groupBy("id", "sig").agg(F.coalesce(F.min(F.when(~F.col("none"), F.col("at"))), F.lit(LOWEST)).alias("at"))
 
 
 def candidate_edges(reps: DataFrame, threshold: float, width: int, runs: int, small: int, near: float, levels: int) -> DataFrame:
@@ -165,34 +166,27 @@ def candidate_edges(reps: DataFrame, threshold: float, width: int, runs: int, sm
     return found if edges is None else found.unionByName(edges)
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, width: int = 64, runs: int = 12, small: int = 64, block: int = 128, slack: float = 0.2, levels: int = 8) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies of each document.
+def text_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, width: int = 64, runs: int = 12, small: int = 64, block: int = 128, slack: float = 0.2, levels: int = 8) -> DataFrame:
+    """One row per different text: key (its MD5), doc_id (its lowest), class_id, first_key, n_links, n_copies.
 
-    Two texts are linked if their sets of k-word shingles have a Jaccard similarity of `threshold` at least. class_id is
-    the lowest doc_id of all texts that links connect (equal texts included), n_links the number of different texts that
-    the document's text is linked with, n_copies that of documents with the same text.
-    Each run of the chosen-path splitting keeps a pair at the threshold together with a chance of about 0.47 at its second
-    level; `runs` runs miss less than one in a thousand. Signatures rule out buckets' far pairs (those `slack` below the
-    threshold), what stays connected is compared exactly and in full, in blocks of `block` texts against each other, where
-    only counts and connecting links leave a task.
-    Null texts count as empty; equal texts without words are copies but link to nothing; a null doc_id counts as the
-    lowest number; texts with one id count as linked; extra columns are ignored.
+    class_id and first_key are the lowest doc_id of the class and the text that has it (nulls last, the lowest MD5 among
+    equals). Vertices are texts, so that neither repeated nor null ids join or hide any. The rest as in jaccard_join().
     """
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    named = named.withColumn("key", F.md5(F.col("text").cast("binary")))
+    named = _named(docs)
     reps = cut(representatives(named, k, width))
     near = components(candidate_edges(reps, threshold, width, runs, small, threshold - slack, levels))
     sizes = cut(near.groupBy("label").agg(F.count("*").alias("n")))
-    members = near.join(sizes, "label").select("v", "label", F.ceil(F.col("n") / block).alias("blocks"))
+    members = near.join(sizes, "label").join(reps.select(F.col("id").alias("v"), "at"), "v").select("v", "at", "label", F.ceil(F.col("n") / block).alias("blocks"))
+    members = members.join(named.select(F.col("id").alias("v"), "at", "text"), ["v", "at"]).distinct()
     own = F.pmod(F.xxhash64("v"), F.col("blocks"))
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pair = F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select("v", pair.alias("pair"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
-    rows = dealt.join(named.select(F.col("doc_id").alias("v"), "text"), "v").repartition("pair").sortWithinPartitions("pair")
+    dealt = dealt.select("v", "text", pair.alias("pair"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+    rows = dealt.repartition("pair").sortWithinPartitions("pair")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in groups(batches, "pair"):
-            part = part.drop_duplicates(["v", "side"]).sort_values("side", kind="stable")
+            part = part.sort_values("side", kind="stable")
             ids, side = part["v"].to_numpy(), part["side"].to_numpy()
             linked = links(list(part["text"]), k, threshold)
             if side[-1] > 0:  # two blocks: only what crosses
@@ -206,10 +200,41 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, width: int
 
     found = cut(rows.mapInPandas(verified, "a long, b long, n long"))
     counts = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
-    classes = components(found.where("n = 0").select("a", "b")).select(F.col("v").alias("id"), F.col("label").alias("class_id"))
-    copies = named.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"))
-    told = cut(copies.join(classes, "id", "left").join(counts, "id", "left").select("key", "n_copies", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return named.select("doc_id", "key").join(told, "key").select("doc_id", "class_id", "n_links", "n_copies")
+    classes = cut(components(found.where("n = 0").select("a", "b")).select(F.col("v").alias("id"), "label"))
+    copies = cut(named.groupBy("key", "id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    firsts = classes.join(copies, "id").groupBy("label").agg(first.alias("first")).select("label", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("first_key"))
+    told = copies.join(classes.join(firsts, "label"), "id", "left").join(counts, "id", "left")
+    class_id = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+    return cut(told.select("key", "doc_id", class_id, F.coalesce("first_key", "key").alias("first_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key())
+    return named.withColumn("id", F.conv(F.substring("key", 1, 16), 16, -10).cast("long")).withColumn("at", F.coalesce("doc_id", F.lit(LOWEST)))
+
+
+def text_key(text: str = "text") -> Column:
+    """MD5 of a text; a null one counts as empty."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def jaccard_join(docs: DataFrame, **parameters: float) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies of each document; parameters: those of text_classes().
+
+    Two texts are linked if their sets of k-word shingles have a Jaccard similarity of `threshold` at least. class_id is
+    the lowest doc_id of all texts that links connect (equal texts included), n_links the number of different texts that
+    the document's text is linked with, n_copies that of documents with the same text.
+    Each run of the chosen-path splitting keeps a pair at the threshold together with a chance of about 0.47 at its second
+    level; `runs` runs miss less than one in a thousand. Signatures rule out buckets' far pairs (those `slack` below the
+    threshold), what stays connected is compared exactly and in full, in blocks of `block` texts against each other, where
+    only counts and connecting links leave a task.
+    Null texts count as empty; equal texts without words are copies but link to nothing; a null doc_id stays null, and
+    class_id is null where no document of a class has an id; different texts with one id are linked, counted and classed
+    each on its own (their classes may have the same class_id); extra columns are ignored.
+    """
+    told = text_classes(docs, **parameters)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key")).join(told.drop("doc_id"), "key").select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def links(texts: list[str], k: int, threshold: float) -> np.ndarray:

@@ -237,3 +237,21 @@ def test_toxicity(spark, odd, none):
     assert toxicity.evidence(toxicity.fold("a trash can"), own) == 0 < toxicity.evidence(toxicity.fold("ТRA$H trаsh"), own)
     assert {r["score"] for r in toxicity.score(odd, toxicity.learn(docs, labels.limit(0))).collect()} == {0.0}
     assert toxicity.score(none, lexicon).count() == 0
+
+
+def test_jaccard_join_null_and_repeated_ids(spark):
+    texts = []
+    for i in range(24):
+        w = prose(160, 700 + i // 4).split()
+        w[20 * (i % 4)] = f"edit{i}"
+        texts.append(" ".join(w))
+    ids = [[None, 50 + i, 7, None][i % 4] if i < 20 else None for i in range(24)]
+    rows = [*zip(ids, texts), (None, texts[0]), (9, texts[20]), (2**60 + 1, prose(80, 800)), (7, prose(80, 801))]
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), small=4, block=2).collect()
+    s = sets(texts)
+    links = [sum(j != i and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) for j in range(24)) for i in range(24)]
+    assert links == [3] * 24
+    copies = [2 if i in (0, 20) else 1 for i in range(24)]
+    want = [(d, 7 if i < 20 else 9, n, c) for i, (d, n, c) in enumerate(zip(ids, links, copies))]
+    want += [(None, 7, 3, 2), (9, 9, 3, 2), (2**60 + 1, 2**60 + 1, 0, 1), (7, 7, 0, 1)]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found)
