@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import encoding, jaccard_join, language, mixing, quality
@@ -30,23 +30,41 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: rejected are those without a letter and those of which no language has 40 % of the letters.
 
-    Scores go back to the rows by doc_id; rows with a null id have none and are rejected.
+    Each row carries its own score, whatever its doc_id.
     """
-    found = language.identify(docs, language.learn(table(spark, sf_dir, "documents")))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    found = language.identify(own, language.learn(table(spark, sf_dir, "documents")), keep=("_row",))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the lowest id of each class of equal or linked texts."""
-    kept = jaccard_join.jaccard_join(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    """The document with the lowest id of each class of equal or linked texts: nulls last, then the lowest MD5 of the text,
+    then the other columns. Unrelated texts with one id all stay.
+    """
+    first = jaccard_join.text_classes(docs).where("key = first_key").select(F.col("key").alias("_key"), *_id_parts())
+    own = docs.select(F.struct(*docs.columns).alias("_row"), jaccard_join.text_key().alias("_key"), *_id_parts())
+    at = ["_key", "_id", "_none"]
+    rows = own.join(first, at, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(*at).orderBy("_row")))
+    return rows.where("_n = 1").select("_row.*")
+
+
+def _id_parts() -> list[Column]:
+    """doc_id in two columns without nulls."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: all their words once, or twice where more than one and a half times."""
-    taken = mixing.mix_sources(docs).where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
-    return docs.join(taken, "doc_id").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    """Documents as often as the mix takes them: all their words once, or twice where more than one and a half times.
+
+    What is taken goes back to the rows by a hash of the whole row; rows equal in all columns share it.
+    """
+    whole = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]).alias("_whole")
+    own = docs.select(F.struct(*docs.columns).alias("_row"), whole)
+    taken = mixing.mix_sources(docs.select(whole.alias("doc_id"), "text", "source")).where("size > 0")
+    taken = taken.select(F.col("doc_id").alias("_whole"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    taken = taken.groupBy("_whole").agg(F.sum("times").cast("int").alias("times"))
+    rows = own.join(taken, "_whole").dropDuplicates(["_whole"])
+    return rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

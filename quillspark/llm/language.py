@@ -9,8 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import is_held_out, sampled
 
@@ -190,29 +192,34 @@ def learn(docs: DataFrame, rows: int = 6_000) -> Model:
     return Model(list(languages), weights.astype(np.float32), bits)
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 8.0) -> DataFrame:
-    """doc_id, lang_pred, score and spans (start, end in code points, lang) of every whole text.
+def identify(docs: DataFrame, model: Model, penalty: float = 8.0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` and lang_pred, score and spans (start, end in code points, lang) of every whole text.
 
     lang_pred is the language of most letters, the first by name among equals, score its share of them. A text that is
     null or has no letter is `und` with score 0 and no spans, as is every text where no language was learned.
-    Rows stay as they are, repeated or not; extra columns are ignored.
+    Rows stay as they are, repeated or not, and kept columns pass through unchanged; others are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    places = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            sizes = batch["text"].str.len().cumsum() // SLICE
-            for _, part in batch.groupby(sizes, sort=False):
+            texts = batch.column(len(keep)).to_pandas()
+            cuts = [0, *(np.flatnonzero(np.diff(texts.str.len().cumsum() // SLICE)) + 1).tolist(), len(texts)] if len(texts) else []
+            for a, b in zip(cuts, cuts[1:]):
                 rows = []
-                for spans in m.label(list(part["text"]), penalty) if m.languages else [[]] * len(part):
+                for spans in m.label(list(texts[a:b]), penalty) if m.languages else [[]] * (b - a):
                     by: dict[int, int] = {}
                     for _, _, k, n in spans:
                         by[k] = by.get(k, 0) + n
                     top = min(by, key=lambda k: (-by[k], k), default=None)
                     named = [{"start": s, "end": e, "lang": m.languages[k]} for s, e, k, _ in spans]
                     rows.append(("und", 0.0, named) if top is None else (m.languages[top], by[top] / sum(by.values()), named))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "spans": [r[2] for r in rows]})
+                own = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], places)]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own], [*part.schema.names[:-1], "lang_pred", "score", "spans"])
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(found, "doc_id long, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>")
+    texts = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    told = T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>")
+    return texts.mapInArrow(found, T.StructType([*texts.schema.fields[:-1], *told.fields]))
