@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import is_held_out, sampled
+from quillspark.llm.common import cut, is_held_out
 
 #: Ranges of code points of the scripts told apart; letters elsewhere are of script 'other'.
 SCRIPTS = {
@@ -153,10 +153,14 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def learn(docs: DataFrame, rows: int = 6_000) -> Model:
-    """Trigram weights per language from about `rows` documents that are not held out and have a lang (a bounded sample,
-    chosen by a hash of the id). The model's size is bounded by the number of languages."""
+    """Trigram weights per language from about `rows` documents of each that are not held out and have a lang (a bounded
+    sample, chosen by a hash of the id; all of a language with fewer). The model's size is bounded by the number of
+    languages."""
     given = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out())
-    given = sampled(given.select("doc_id", "lang", "text"), rows)
+    sizes = cut(given.groupBy("lang").agg(F.count("*").alias("_n")))  # one row per language
+    given = given.select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang")
+    chance = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    given = given.where((F.col("_n") <= rows) | (chance < rows / F.col("_n")))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plain, bit = letters()

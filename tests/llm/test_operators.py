@@ -191,6 +191,14 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in language.identify(odd, language.learn(none)).collect()} == {"und"}
 
 
+def test_language_learns_rare_ones(spark):
+    texts = {"en": "the cat and the dog were here ", "ru": "кошка и собака были здесь ", "fr": "le chat et les chiens étaient ici "}
+    rows = [(i, texts[lang] * 5, lang) for i, lang in enumerate(["en", "ru"] * 1000 + ["fr"] * 8)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20)
+    assert model.languages == ["en", "fr", "ru"]
+    assert [model.languages[k] for _, _, k, _ in model.label([texts["fr"] * 4], 8.0)[0]] == ["fr"]
+
+
 def test_one_language_is_exact():
     r = np.random.default_rng(1)
     m = language.Model(["a", "b", "c"], np.zeros((1, 3)), np.zeros(3, np.uint32))
