@@ -43,11 +43,14 @@ def nearest(passages: DataFrame, queries: DataFrame, k: int, allowed: Column | N
     rows = passages.where(allowed) if allowed is not None else passages
     d = F.round(1 - inner_product(F.col("v"), F.col("qv")), 6) + 0.0
     scored = rows.join(F.broadcast(queries), how="cross").select("q", "id", d.alias("d"))
-    return ranked(scored, ["d", "id"], ["q"]).where(F.col("rank") < k)
+    return ranked(scored, ["d", "id"], ["q"], k)
 
 
-def ranked(rows: DataFrame, order: list, by: list[str] | None = None) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)) - 1)
+def ranked(rows: DataFrame, order: list, by: list[str] | None = None, k: int | None = None) -> DataFrame:
+    """rows with their rank from 0, the first k of each group where k is given. The filter is on row_number() itself, so
+    that each partition keeps k rows of a group ahead of the shuffle."""
+    found = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))
+    return (found if k is None else found.where(F.col("rank") <= k)).withColumn("rank", F.col("rank") - 1)
 
 
 def top(rows: DataFrame, order: list, k: int) -> DataFrame:

@@ -32,7 +32,7 @@ def semantic_cache(t: Tables) -> DataFrame:
     own = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("scope"))
     rows = t.embeddings.join(F.broadcast(own), (F.col("label") == F.col("scope")) & (F.col("vec_id") != F.col("q")))
     sims = rows.select("q", F.col("vec_id").alias("id"), F.round(inner_product(F.col("embedding"), F.col("qv")), 6).alias("sim"))
-    return R.ranked(sims, [F.desc("sim"), "id"], ["q"]).where("rank < 5 and sim >= 0.3").select("q", "id", "sim")
+    return R.ranked(sims, [F.desc("sim"), "id"], ["q"], 5).where("sim >= 0.3").select("q", "id", "sim")
 
 
 @query("""WITH refs AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE left(sha256(text), 16) END AS hash FROM documents UNION ALL SELECT 1000000 + o_orderkey, 'gone' FROM orders)
@@ -95,7 +95,7 @@ def membership_flag(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
 def first_seen_distinct(t: Tables) -> DataFrame:
-    return R.ranked(t.events.select("user_id", "event_type", "event_id"), ["event_id"], ["user_id", "event_type"]).where("rank = 0").drop("rank")
+    return R.ranked(t.events.select("user_id", "event_type", "event_id"), ["event_id"], ["user_id", "event_type"], 1).drop("rank")
 
 
 @query("SELECT doc_id AS id, source, text FROM documents ORDER BY doc_id DESC LIMIT 50")

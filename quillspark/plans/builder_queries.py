@@ -132,7 +132,7 @@ SELECT id, list, author FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER
 def manifest_claims(t: Tables) -> DataFrame:
     """Works by the first list that claims them; authors' caps come before the claims."""
     rows = t.lineitem.select(F.col("l_returnflag").alias("list"), F.col("l_suppkey").alias("author"), F.col("l_partkey").alias("id")).distinct()
-    capped = R.ranked(rows, ["id"], ["list", "author"]).where("rank < 2").drop("rank")
+    capped = R.ranked(rows, ["id"], ["list", "author"], 2).drop("rank")
     return R.first_of_key(capped, F.col("id"), ["list", "author"]).select("id", "list", "author")
 
 
@@ -186,7 +186,7 @@ def more_from_work(t: Tables) -> DataFrame:
     shown = t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), "label")
     rows = t.embeddings.where("vec_id >= 5").join(F.broadcast(shown), "label")
     near = rows.select("q", F.col("vec_id").alias("id"), (F.round(1 - R.inner_product(F.col("embedding"), F.col("qv")), 6) + 0.0).alias("d"))
-    return R.ranked(near, ["d", "id"], ["q"]).where("rank < 8").select("q", "id", "d", (F.col("rank") + 1).alias("position"))
+    return R.ranked(near, ["d", "id"], ["q"], 8).select("q", "id", "d", (F.col("rank") + 1).alias("position"))
 
 
 @query("""SELECT s_name AS name, CASE WHEN s_nationkey < 5 THEN 'https://one.example/' || s_suppkey || '.txt' WHEN s_nationkey < 10 THEN 'https://two.example/w/' || s_suppkey END AS link FROM supplier""")

@@ -85,10 +85,10 @@ def similar_passages(t: Tables) -> DataFrame:
     own = t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("own"))
     near = R.ranked(
         vectors(t).join(F.broadcast(own), (F.col("id") != F.col("q")) & (F.col("label") != F.col("own")))
-        .select("q", "id", "label", F.round(1 - R.inner_product(F.col("v"), F.col("qv")), 6).alias("d")), ["d", "id"], ["q"]
-    ).where("rank < 60")
-    one = R.ranked(near.drop("rank"), ["d", "id"], ["q", "label"]).where("rank = 0").drop("rank")
-    return R.ranked(one, ["d", "id"], ["q"]).where("rank < 6").select("q", "id", F.round(1 - F.col("d"), 6).alias("similarity"), (F.col("rank") + 1).alias("position"))
+        .select("q", "id", "label", F.round(1 - R.inner_product(F.col("v"), F.col("qv")), 6).alias("d")), ["d", "id"], ["q"], 60
+    )
+    one = R.ranked(near.drop("rank"), ["d", "id"], ["q", "label"], 1).drop("rank")
+    return R.ranked(one, ["d", "id"], ["q"], 6).select("q", "id", F.round(1 - F.col("d"), 6).alias("similarity"), (F.col("rank") + 1).alias("position"))
 
 
 def branches(t: Tables) -> DataFrame:

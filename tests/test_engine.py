@@ -86,3 +86,12 @@ def test_ingest_is_incremental(spark, tmp_path):
         spark.createDataFrame(part, "work_id long, text string").write.mode("append").parquet(land)
         ingest.ingest(spark, land, out, check).awaitTermination()
     assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["one", "three", "two"]
+
+
+def test_ranks_are_cut_ahead_of_the_shuffle(spark):
+    rows = spark.range(0, 2000, 1, 4).selectExpr("id % 3 as q", "id", "(id * 37) % 101 as d")
+    found = R.ranked(rows, ["d", "id"], ["q"], 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+    want = [(q, i, (i * 37) % 101, n) for q in range(3) for n, i in enumerate(sorted(range(q, 2000, 3), key=lambda i: ((i * 37) % 101, i))[:2])]
+    assert sorted(want) == sorted(map(tuple, found.collect()))
