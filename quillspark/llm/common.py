@@ -21,11 +21,14 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; one of our own only where the session names none, as in
-    tests."""
+    """The session's checkpoint folder, which all executors share; one of our own only in local mode, where driver and
+    executors are one process, and only where the session names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp("-checkpoints"))
     return sc.getCheckpointDir()
 
 
@@ -78,16 +81,35 @@ def running(
     return joined.select(*rest, *[merged(out, f) for out, (_, f, _) in values.items()])
 
 
-def next_lower(keys: DataFrame, lowest: int, highest: int, fan: int = 1024) -> DataFrame:
-    """For each distinct integer in column k, the next lower one in column nxt, null for the lowest.
+def ranges(df: DataFrame, order: list[Column], per: int) -> DataFrame:
+    """df with _range, the number of the run of about `per` neighbouring rows, in this order, that each row is in."""
+    df = cut(df)
+    return cut(df.repartitionByRange(max(1, math.ceil(df.count() / per)), *order).withColumn("_range", F.spark_partition_id()))
 
-    Keys are cut into blocks of `fan` values, so that no window sees more than `fan` keys however they are spread.
+
+def numbered(df: DataFrame, order: list[Column], name: str, per: int = 50_000) -> DataFrame:
+    """df with a column `name`: each row's number in this order, from 0. No window sees more rows than a range has, or than
+    there are ranges."""
+    placed = ranges(df, order, per)
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_rows"))
+    ahead = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = counts.select("_range", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return placed.withColumn("_inside", inside).join(ahead, "_range").select(*df.columns, (F.col("_inside") + F.col("_ahead")).cast("long").alias(name))
+
+
+def successors(df: DataFrame, order: list[Column], name: str, per: int = 50_000) -> DataFrame:
+    """df with a column `name`: the next row in this order, as a struct of df's columns, of the last row the first one.
+
+    Rows are cut into ranges of about `per`, each with a window of its own; a window over the ranges' first rows, one for
+    each `per` rows of df, leads from range to range. An empty table gives an empty result.
     """
-    if highest - lowest < fan:
-        return keys.select("k", F.lead("k").over(Window.orderBy(F.desc("k"))).alias("nxt"))
-    blocked = keys.withColumn("_b", F.floor((F.col("k") - lowest) / fan))
-    heads = blocked.groupBy("_b").agg(F.max("k").alias("_head"))
-    above = next_lower(heads.select(F.col("_b").alias("k")), 0, (highest - lowest) // fan, fan)
-    ahead = above.join(heads, F.col("nxt") == F.col("_b")).select(F.col("k").alias("_b"), "_head")
-    inside = F.lead("k").over(Window.partitionBy("_b").orderBy(F.desc("k")))
-    return blocked.withColumn("_in", inside).join(ahead, "_b", "left").select("k", F.coalesce("_in", "_head").alias("nxt"))
+    placed = ranges(df, order, per)
+    inside = Window.partitionBy("_range").orderBy(*order)
+    row = F.struct(*df.columns)
+    firsts = cut(placed.withColumn("_n", F.row_number().over(inside)).where("_n = 1").select("_range", row.alias("_first")))
+    over = Window.orderBy("_range")
+    top = F.first("_first").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ahead = firsts.select("_range", F.coalesce(F.lead("_first").over(over), top).alias("_ahead"))
+    found = placed.withColumn("_inside", F.lead(row).over(inside)).join(ahead, "_range")
+    return found.select(*df.columns, F.coalesce("_inside", "_ahead").alias(name))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import next_lower
+from quillspark.llm.common import cut, successors
+
+#: Logarithm of the number of neighbouring ids in a block.
+BLOCK_BITS = 8
 
 
 def shingle_hashes(text: Column, k: int = 5) -> Column:
@@ -56,31 +59,44 @@ def likeness(a: Column, b: Column, same: Column) -> Column:
     return F.when(union > 0, both / union).otherwise(F.when(same, 1.0).otherwise(0.0))
 
 
-def fingerprint_edits(docs: DataFrame, scale: int = 4, k: int = 5, width: int = 256) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, scale: int = 4, k: int = 5, bits: int = BLOCK_BITS) -> DataFrame:
     """Fingerprint each text, its edited text and its successor, and compare them.
 
     The successor is the row with the next lower doc_id, of the last row the first. The edited text has its last
-    floor(n/2) code points replaced by the successor's first as many. Texts move once, dealt by blocks of `width`
-    neighbouring ids; a block's last row gets its successor from a small table of block heads.
-    Null texts count as empty, null ids come last, rows with the same id go by text; a table of one row succeeds itself.
+    floor(n/2) code points replaced by the successor's first as many. Texts move once, dealt by blocks of 2**bits
+    neighbouring ids; a block's last row gets its successor from a table of block heads. Null ids come last. A block with
+    more than four times as many rows (a null or repeated id) is dealt on by id and by the first bits of the text's MD5, and
+    rows equal in id and text are counted there: all but one of them succeed one another.
+    Null texts count as empty; rows with the same id go by their text's MD5; a table of one row succeeds itself; extra
+    columns are ignored.
     """
+    zero = F.lit(0).cast("long")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lowest, highest = base.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lowest, highest = (lowest if lowest is not None else 0) - 1, highest if highest is not None else 0
-    block = F.floor((F.coalesce("doc_id", F.lit(lowest)) - lowest) / width)
-    blocks = base.select(block.alias("k")).distinct()
-    top = (highest - lowest) // width
-    after = next_lower(blocks, 0, top).select(F.col("k").alias("b"), F.coalesce("nxt", F.lit(top)).alias("_next"))
-    order = Window.partitionBy("b").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
-    dealt = base.withColumn("b", block)
-    heads = dealt.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(F.col("b").alias("_next"), F.col("text").alias("_head"))
-    heads = after.join(heads, "_next").select("b", "_head", sketch(F.col("_head"), scale, k).alias("_head_sketch"))
-    rows = dealt.withColumn("sketch", sketch(F.col("text"), scale, k))
-    rows = rows.withColumn("_in", F.lead("text").over(order)).withColumn("_in_sketch", F.lead("sketch").over(order))
-    rows = rows.join(heads, "b", "left").select(
-        "doc_id", "text", "sketch", F.length("text").cast("long").alias("n_chars"), F.coalesce("_in", "_head").alias("next"),
+    base = base.withColumns({
+        "h": F.md5(F.col("text").cast("binary")), "z": F.col("doc_id").isNull(), "g": F.shiftright(F.coalesce("doc_id", zero), bits), "i": zero, "j": zero, "n": zero + 1,
+    })
+    crowded = cut(base.groupBy("z", "g").agg(F.count("*").alias("m")).where(F.col("m") > 4 << bits))
+    dealt_on = crowded.limit(1).count() > 0
+    if dealt_on:
+        crowd = base.join(crowded, ["z", "g"]).groupBy("z", "g", "m", "doc_id", "h").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+        crowd = crowd.withColumns({"i": F.coalesce("doc_id", zero), "_start": F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), "_bits": F.ceil(F.log2(F.col("m") / (1 << bits))).cast("int")})
+        crowd = crowd.withColumn("j", F.expr("shiftright(_start, 32 - _bits)"))
+        base = base.join(crowded, ["z", "g"], "left_anti").unionByName(crowd.select(base.columns))
+    place, order = ["z", "g", "i", "j"], [F.desc_nulls_last("doc_id"), F.desc("h")]
+    window = Window.partitionBy(*place).orderBy(*order)
+    heads = base.withColumn("_n", F.row_number().over(window)).where("_n = 1")
+    heads = cut(heads.select(F.struct(*place).alias("next_place"), F.col("text").alias("_head"), sketch(F.col("text"), scale, k).alias("_head_sketch")))
+    after = successors(heads.select("next_place.*"), [F.asc("z"), F.desc("g"), F.desc("i"), F.desc("j")], "next_place")
+    after = after.join(heads, "next_place").select(*place, "_head", "_head_sketch")
+    rows = base.withColumn("sketch", sketch(F.col("text"), scale, k))
+    rows = rows.withColumn("_in", F.lead("text").over(window)).withColumn("_in_sketch", F.lead("sketch").over(window))
+    rows = rows.join(after, place, "left").select(
+        "doc_id", "text", "sketch", "n", F.length("text").cast("long").alias("n_chars"), F.coalesce("_in", "_head").alias("next"),
         F.when(F.col("_in").isNull(), F.col("_head_sketch")).otherwise(F.col("_in_sketch")).alias("next_sketch"),
     )
+    if dealt_on:
+        rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        rows = rows.withColumns({c: F.when(F.col("_copy") < F.col("n"), F.col(own)).otherwise(F.col(c)) for c, own in (("next", "text"), ("next_sketch", "sketch"))})
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.left("text", (F.col("n_chars") - half).cast("int")), F.left("next", half))
     rows = rows.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited"), scale, k))
