@@ -1,7 +1,7 @@
 """Lossless WebP: bits, prefix codes, the general decoder with all transforms, and an encoder for each of its features.
 
-Pixels are 32-bit integers, alpha in the highest byte, then red, green, blue. The general coder works pixel by pixel; see
-webp_samples for the one that works on many images at once.
+Pixels are 32-bit integers, alpha in the highest byte, then red, green, blue. The encoder here works pixel by pixel and can
+use any feature; media.py has one for samples, which codes many images at once and chooses by size.
 """
 
 from __future__ import annotations
@@ -214,18 +214,74 @@ def below(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
-def decode_pixels(bits: BitReader, width: int, height: int, main: bool) -> list[int]:
-    """An entropy-coded image; the main one may have several groups of codes."""
+def literal_table(lengths: dict[int, int]) -> tuple[int, list[bytes], list[int], list[int]]:
+    """Bits of the longest code and, by the next so many bits: the up to three literals that they spell (none where a
+    reference comes first), the bits these take, and the first symbol."""
+    size = max(lengths.values())
+    symbol, step = np.zeros(1 << size, np.int64), np.zeros(1 << size, np.int64)
+    for s, (code, n) in codes(lengths).items():
+        symbol[code :: 1 << n], step[code :: 1 << n] = s, n
+    if not step.all():
+        raise ValueError("incomplete prefix code")
+    rest, used, literal = np.arange(1 << size), step.copy(), symbol < 256
+    spelled, count = [symbol], literal.astype(np.int64)
+    for _ in range(2):
+        rest = rest >> step[rest]
+        more = step[rest]
+        literal = literal & (symbol[rest] < 256) & (used + more <= size)
+        used = np.where(literal, used + more, used)
+        spelled.append(symbol[rest])
+        count += literal
+    joined = np.stack(spelled, axis=1).astype(np.uint8).tobytes()
+    return size, [joined[a : a + n] for a, n in zip(range(0, len(joined), 3), count.tolist())], used.tolist(), symbol.tolist()
+
+
+def decode_green(bits: BitReader, lengths: dict[int, int], distance: Callable[[BitReader], int], width: int, total: int) -> bytes:
+    """The green samples of an image whose other channels don't vary, several symbols at a step. It is the stream's last:
+    the reader is left somewhere near its end."""
+    size, literals, used, symbol = literal_table(lengths)
+    raw = np.frombuffer(bits.data, np.uint8).astype(np.uint32)
+    window = (raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24).tolist()
+    out, at, mask = bytearray(), bits.at, (1 << size) - 1
+    try:
+        while len(out) < total:
+            e = window[at >> 3] >> (at & 7) & mask
+            at += used[e]
+            if found := literals[e]:
+                out += found
+            else:
+                bits.at = at
+                n = read_value(bits, symbol[e] - 256)
+                back = distance_of(read_value(bits, distance(bits)), width)
+                at = bits.at
+                if back > len(out):
+                    raise ValueError("a reference from before the image")
+                out += (out[-back:] * (n // back + 1))[:n] if n > back else out[len(out) - back : len(out) - back + n]
+    except IndexError:
+        raise ValueError("the stream ends too early") from None
+    return bytes(out[:total])
+
+
+def decode_pixels(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
+    """An entropy-coded image; the main one, the last of its stream, may have several groups of codes."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     groups, split, group_of = 1, 0, [0]
     if main and bits.read(1):
         split = bits.read(3) + 2
-        group_of = [p >> 8 & 0xFFFF for p in decode_pixels(bits, below(width, split), below(height, split), False)]
+        group_of = (decode_pixels(bits, below(width, split), below(height, split), False) >> 8 & 0xFFFF).tolist()
         groups = max(group_of) + 1
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    readers = [[reader(read_lengths(bits, n)) for n in sizes] for _ in range(groups)]
-    cache = [0] * (1 << cache_bits)
+    lengths = [[read_lengths(bits, n) for n in sizes] for _ in range(groups)]
     across, total = below(width, split), width * height
+    if groups == 1 and not cache_bits and all(len(x) == 1 for x in lengths[0][1:4]):
+        rest = sum(next(iter(x)) << shift for x, shift in zip(lengths[0][1:4], (16, 0, 24)))
+        if len(lengths[0][0]) == 1 and (s := next(iter(lengths[0][0]))) < 256:
+            return np.full(total, rest | s << 8, np.uint32)
+        if main and len(lengths[0][0]) > 1:
+            green = decode_green(bits, lengths[0][0], reader(lengths[0][4]), width, total)
+            return np.frombuffer(green, np.uint8).astype(np.uint32) << 8 | np.uint32(rest)
+    readers = [[reader(x) for x in own] for own in lengths]
+    cache = [0] * (1 << cache_bits)
     out: list[int] = []
     while len(out) < total:
         at = len(out)
@@ -246,7 +302,7 @@ def decode_pixels(bits: BitReader, width: int, height: int, main: bool) -> list[
             for p in new:
                 cache[(CACHE_MULTIPLIER * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
         out += new
-    return out[:total]
+    return np.array(out[:total], np.uint32)
 
 
 def _channels(p: int) -> tuple[int, int, int, int]:
@@ -319,6 +375,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8).view(np.int8).astype(np.int32)
 
 
+def summed(pixels: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """Invert the predictor where all blocks have mode 1 (left) or 2 (top): sums along a row or a column. The first row
+    goes by its left, the first column by its top whatever the mode."""
+    c = pixels.view(np.uint8).reshape(-1, width, 4).copy()
+    c[0, 0, 3] += np.uint8(255)
+    if mode == 1:
+        c[:, 0] = np.cumsum(c[:, 0], axis=0, dtype=np.uint8)
+        return np.cumsum(c, axis=1, dtype=np.uint8).reshape(-1).view(np.uint32)
+    c[0] = np.cumsum(c[0], axis=0, dtype=np.uint8)
+    return np.cumsum(c, axis=0, dtype=np.uint8).reshape(-1).view(np.uint32)
+
+
 def cross_colour(pixels: np.ndarray, width: int, elements: list[int], bits: int, sign: int) -> np.ndarray:
     """Add (sign 1) or take away (-1) what green tells of red, and green and red of blue."""
     i = np.arange(len(pixels))
@@ -355,19 +423,23 @@ def decode(data: bytes) -> np.ndarray:
         kind = bits.read(2)
         if kind in (PREDICTOR, CROSS_COLOUR):
             size = bits.read(3) + 2
-            transforms.append((kind, columns, size, decode_pixels(bits, below(columns, size), below(height, size), False)))
+            transforms.append((kind, columns, size, decode_pixels(bits, below(columns, size), below(height, size), False).tolist()))
         elif kind == SUBTRACT_GREEN:
             transforms.append((kind, columns, 0, []))
         else:
-            table = decode_pixels(bits, n := bits.read(8) + 1, 1, False)
+            table = decode_pixels(bits, n := bits.read(8) + 1, 1, False).tolist()
             for i in range(1, n):
                 table[i] = _pixel(a + b & 255 for a, b in zip(_channels(table[i]), _channels(table[i - 1])))
             transforms.append((kind, columns, packed_bits(n), table))
             columns = below(columns, packed_bits(n))
-    pixels = np.array(decode_pixels(bits, columns, height, True), np.uint32)
+    pixels = decode_pixels(bits, columns, height, True)
     for kind, wide, size, about in reversed(transforms):
         if kind == PREDICTOR:
-            pixels = np.array(_walk(pixels.tolist(), wide, about, size, [], lambda a, b: a + b), np.uint32)
+            modes = {p >> 8 & 15 for p in about}
+            if modes in ({1}, {2}):
+                pixels = summed(pixels, wide, modes.pop())
+            else:
+                pixels = np.array(_walk(pixels.tolist(), wide, about, size, [], lambda a, b: a + b), np.uint32)
         elif kind == CROSS_COLOUR:
             pixels = cross_colour(pixels, wide, about, size, 1)
         elif kind == SUBTRACT_GREEN:
