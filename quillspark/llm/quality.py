@@ -93,7 +93,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 12_000, trees: int = 6
 
     told = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     texts = docs.select("doc_id", "text").join(F.broadcast(sampled(told, rows)), "doc_id")
-    train = cut(with_statistics(texts).select("label", *STATISTICS).coalesce(4))
+    train = cut(with_statistics(texts).select("label", *STATISTICS)).coalesce(4)  # the written sample's rows, not the scan
     counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Rules({0.0: -5.0, 1.0: 5.0}.get(next(iter(counts), None), 0.0), {})
