@@ -41,17 +41,21 @@ RARE, BARRED = 0.005, 30.0
 
 
 @functools.cache
-def letters() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: the lower-case letter, 0 where it is no letter; the bit of its script."""
-    plain, bit = np.zeros(0x110000, np.uint32), np.zeros(0x110000, np.uint32)
+def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: the lower-case letter or the combining mark, 0 where it is neither; the bit of its script (marks that
+    go with all scripts have none); whether it is a letter. Marks belong to words, but count as no letters."""
+    plain, bit, letter = np.zeros(0x110000, np.uint32), np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
     for c in range(0x323B0):
-        if unicodedata.category(chr(c))[0] == "L":
+        kind = unicodedata.category(chr(c))[0]
+        if kind == "L":
             low = chr(c).lower()
-            plain[c], bit[c] = ord(low) if len(low) == 1 else c, 1 << len(SCRIPTS)
+            plain[c], bit[c], letter[c] = ord(low) if len(low) == 1 else c, 1 << len(SCRIPTS), True
+        elif kind == "M":
+            plain[c] = c
     for i, ranges in enumerate(SCRIPTS.values()):
         for a, b in ranges:
             bit[a : b + 1] = np.where(plain[a : b + 1] > 0, 1 << i, 0)
-    return plain, bit
+    return plain, bit, letter
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +86,7 @@ class Model:
 
     def label(self, texts: list[str], penalty: float) -> list[list[tuple[int, int, int, int]]]:
         """The spans (start, end, language, letters) of each text, end exclusive, by the best path."""
-        plain, bit = letters()
+        plain, bit, letter = letters()
         raw, starts = codes(texts)
         c = plain[raw]
         first = np.flatnonzero((c > 0) & (np.concatenate(([0], c[:-1])) == 0))
@@ -95,7 +99,7 @@ class Model:
             barred[barred.all(axis=1)] = False  # a script of no language tells nothing
             scores -= BARRED * barred
         del seen
-        sizes = np.add.reduceat((c > 0).astype(np.int64), first)
+        sizes = np.add.reduceat(letter[raw].astype(np.int64), first)
         at = np.searchsorted(first, starts)
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         full = np.flatnonzero(at[1:] > at[:-1])
@@ -163,7 +167,7 @@ def learn(docs: DataFrame, rows: int = 6_000) -> Model:
     given = given.where((F.col("_n") <= rows) | (chance < rows / F.col("_n")))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plain, bit = letters()
+        plain, bit, _ = letters()
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, part in batch.groupby("lang"):
@@ -217,8 +221,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, keep: tuple[st
                     by: dict[int, int] = {}
                     for _, _, k, n in spans:
                         by[k] = by.get(k, 0) + n
-                    top = min(by, key=lambda k: (-by[k], k), default=None)
-                    named = [{"start": s, "end": e, "lang": m.languages[k]} for s, e, k, _ in spans]
+                    top = min(by, key=lambda k: (-by[k], k), default=None) if any(by.values()) else None
+                    named = [] if top is None else [{"start": s, "end": e, "lang": m.languages[k]} for s, e, k, _ in spans]
                     rows.append(("und", 0.0, named) if top is None else (m.languages[top], by[top] / sum(by.values()), named))
                 own = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], places)]
                 part = batch.slice(a, b - a)
