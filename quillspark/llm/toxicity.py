@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,29 +18,39 @@ from quillspark.llm.common import cut, is_held_out, sampled
 #: Look-alike letters of other scripts and digits or signs that stand for letters, and what they fold to.
 LOOKALIKES = str.maketrans("абвеёзикмнорстухѕіјԁԛԝαβεικνορτυχ", "abbeeznkmhopctyxsijdqwabeiknoptux")
 SUBSTITUTES = str.maketrans("01345789@", "oieastbga")
+#: Signs that stand for letters only next to a letter; elsewhere they are punctuation.
+SIGNS = str.maketrans("$!|+", "silt")
 FULLWIDTH = {0xFEE0 + c: chr(c).lower() for c in range(0x21, 0x7F)}
-INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
-FOLDS = LOOKALIKES | SUBSTITUTES | FULLWIDTH | INVISIBLE
-#: Phrases in which a lexicon word is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum")
+INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370)])
+ACCENTED = {c: base for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if (base := unicodedata.normalize("NFD", chr(c))[0]) != chr(c)}
+FOLDS = ACCENTED | LOOKALIKES | SUBSTITUTES | FULLWIDTH | INVISIBLE
 _gaps = re.compile(r"[\W_]+")
+#: A dollar before a letter or inside a word; the others inside a word alone.
+_signs = re.compile(r"\$(?=[^\W_])|(?<=[^\W_])\$+(?=[^\W_])|(?<=[^\W_])[!|+]+(?=[^\W_])")
+_apart = re.compile(r"(?<= )(?:\w ){2,}\w(?= )")
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes and substitutes to plain letters, words between single spaces."""
-    return f" {_gaps.sub(' ', text.lower().translate(FOLDS)).strip()} "
+    """Lower case without accents, look-alikes and substitutes to plain letters, words between single spaces.
+
+    Three or more single letters in a row are one word, spelled apart.
+    """
+    plain = text.lower()
+    if _signs.search(plain):
+        plain = _signs.sub(lambda m: m[0].translate(SIGNS), plain)
+    return _apart.sub(lambda m: m[0].replace(" ", ""), f" {_gaps.sub(' ', plain.translate(FOLDS)).strip()} ")
 
 
 @dataclass
 class Lexicon:
     """weights: folded patterns; one that begins with a space begins a word, one that ends with a space ends it.
 
-    half: evidence at which the score is 0.5.
+    half: evidence at which the score is 0.5. exceptions: phrases in which a lexicon word is harmless.
     """
 
     weights: dict[str, float]
     half: float = 1.0
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
@@ -69,13 +80,32 @@ def evidence(folded: str, automaton: ahocorasick.Automaton) -> float:
     return total / math.log2(2 + folded.count(" ")) if total else 0.0
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = 8_000, surprise: float = 12.0, purity: float = 0.8, terms: int = 5_000) -> Lexicon:
+def neighbours(folded: str, automaton: ahocorasick.Automaton) -> set[str]:
+    """Each word hit with the one before it and with the one after it."""
+    found = set()
+    if len(automaton):
+        for end, (size, _) in automaton.iter(folded):
+            at = end - size + 1
+            at += folded[at] == " "
+            start, stop = folded.rfind(" ", 0, at) + 1, folded.find(" ", at)
+            before = folded.rfind(" ", 0, max(0, start - 1)) + 1
+            after = folded.find(" ", stop + 1)
+            if start > 1:
+                found.add(folded[before:stop])
+            if after > 0:
+                found.add(folded[start:after])
+    return found
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 8_000, surprise: float = 12.0, purity: float = 0.8, harmless: int = 2) -> Lexicon:
     """A lexicon from about `rows` labelled documents that are not held out (a bounded sample, chosen by a hash of the id).
 
     Terms are folded words and beginnings of words, of 4 to 6 letters. They are counted once for each pair of neighbouring
-    words, so that copies of a toxic text don't make its harmless words suspect. One enters, of `terms` at most (the bound
-    of the model), if a share `purity` of its contexts is in toxic documents and that is worth `surprise` nats against
-    the share of all words there. Its weight is the log odds ratio. `half` lies between the labelled texts' evidence where the fewest are told wrongly.
+    words, so that copies of a toxic text don't make its harmless words suspect. One enters if a share `purity` of its
+    contexts is in toxic documents and that is worth `surprise` nats against the share of all words there. Its weight is
+    the log odds ratio. A lexicon word with the word before or after it is an exception if at least `harmless` texts that
+    aren't toxic have both and no toxic one has. `half` lies between the labelled texts' evidence where the fewest are told
+    wrongly.
     """
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     told = sampled(told, rows)
@@ -93,7 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 8_000, surprise: float
         return Lexicon({})
     words_ = F.split(F.trim("folded"), " ")
     seen_at = folded.select("toxic", words_.alias("w")).select("toxic", F.explode(F.transform("w", lambda w, i: F.struct(w.alias("word"), F.xxhash64(F.get("w", i - 1), F.get("w", i + 1)).alias("context")))).alias("x"))
-    seen_at = seen_at.select("toxic", "x.word", "x.context").where("length(word) between 2 and 40").groupBy("word", "context").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
+    seen_at = seen_at.select("toxic", "x.word", "x.context").where("length(word) >= 2").groupBy("word", "context").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
     by_word = cut(seen_at.groupBy("word").agg(F.sum("t").alias("t"), F.sum(F.col("t") + F.col("c")).alias("n")))
     starts = F.transform(F.sequence(F.lit(4), F.lit(6)), lambda k: F.concat(F.lit(" "), F.left("word", k)))
     forms = F.concat(F.array(F.concat(F.lit(" "), "word", F.lit(" "))), F.filter(starts, lambda s: F.length(s) <= F.length("word")))
@@ -103,8 +133,18 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 8_000, surprise: float
     nats = F.col("t") * F.log(share / base) + F.when(share < 1, (F.col("n") - F.col("t")) * F.log((1 - share) / (1 - base))).otherwise(0.0)
     weight = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - math.log(base / (1 - base))
     chosen = terms_.where((F.col("t") >= 3) & (share > purity)).select("term", nats.alias("nats"), weight.alias("weight")).where(F.col("nats") >= surprise)
-    weights = {r["term"]: r["weight"] for r in chosen.orderBy(F.desc("nats"), "term").limit(terms).collect()}
-    lexicon = Lexicon(weights)
+    weights = {r["term"]: r["weight"] for r in chosen.collect()}  # bounded by the sample
+    bare = Lexicon(weights)
+
+    def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = bare.automaton()
+        for batch in batches:
+            found = [(y, p) for y, t in zip(batch["toxic"], batch["folded"]) for p in neighbours(t, automaton)]
+            yield pd.DataFrame(found, columns=["toxic", "phrase"])
+
+    said = folded.mapInPandas(phrases, "toxic int, phrase string").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    spared = tuple(sorted(r["phrase"] for r in said.where((F.col("t") == 0) & (F.col("n") >= harmless)).collect()))
+    lexicon = Lexicon(weights, exceptions=spared)
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
@@ -119,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 8_000, surprise: float
         nxt = told[i + 1][0] if i + 1 < len(told) else e * 2 + 1
         if wrong < best and nxt > e:
             best, half = wrong, (e + nxt) / 2
-    return Lexicon(weights, max(half, 1e-9))
+    return Lexicon(weights, max(half, 1e-9), spared)
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
