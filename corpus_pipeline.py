@@ -21,16 +21,22 @@ LEAST_QUALITY, LEAST_LANGUAGE = 0.3, 0.4
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, learned from all labels that aren't held out, scores 0.3 or more."""
+    """Documents that the rule ensemble, learned from all labels that aren't held out, scores 0.3 or more.
+
+    A null text scores as an empty one. Rows go by their own score, whatever their doc_id, so that repeated rows and rows
+    with null or repeated ids stay or go each by its text. An empty table stays empty.
+    """
     rules = quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = cut(quality.score(docs, rules))  # else the filter moves below the statistics and works them out for each rule
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    scored = cut(quality.score(own, rules))  # else the filter moves below the statistics and works them out for each rule
+    return scored.where(F.col("score") >= LEAST_QUALITY).select("_row.*")
 
 
 def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: rejected are those without a letter and those of which no language has 40 % of the letters.
 
-    Each row carries its own score, whatever its doc_id.
+    Each row carries its own score, whatever its doc_id. Null and empty texts have no letter and go; repeated rows stay or
+    go together; an empty table stays empty.
     """
     own = docs.select(F.struct(*docs.columns).alias("_row"), "text")
     found = language.identify(own, language.learn(table(spark, sf_dir, "documents")), keep=("_row",))
@@ -39,7 +45,8 @@ def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the lowest id of each class of equal or linked texts: nulls last, then the lowest MD5 of the text,
-    then the other columns. Unrelated texts with one id all stay.
+    then the other columns. Unrelated texts with one id all stay. Null texts are equal to empty ones, so that one of all of
+    these stays; of repeated rows one stays; an empty table stays empty.
     """
     first = jaccard_join.text_classes(docs).where("key = first_key").select(F.col("key").alias("_key"), *_id_parts())
     own = docs.select(F.struct(*docs.columns).alias("_row"), jaccard_join.text_key().alias("_key"), *_id_parts())
@@ -54,21 +61,28 @@ def _id_parts() -> list[Column]:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: all their words once, or twice where more than one and a half times.
+    """Documents as often as the mix takes them: 0, 1 or 2 times, whole.
+
+    The mix takes words by blocks, so that it takes a document t = taken / size times, which is no whole number. The
+    document is written floor(t) times, and once more where a hash of its row falls below the rest; so the words written of
+    a source are expected to be those that the mix takes of it, and miss its target by about half the root of the sum of
+    its documents' squared sizes, seldom by three times as much. Documents without words aren't in the mix.
 
-    What is taken goes back to the rows by a hash of the whole row; rows equal in all columns share it.
+    What is taken goes back to the rows by two hashes of the whole row; rows that are equal in all columns share it.
     """
-    whole = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]).alias("_whole")
-    own = docs.select(F.struct(*docs.columns).alias("_row"), whole)
-    taken = mixing.mix_sources(docs.select(whole.alias("doc_id"), "text", "source")).where("size > 0")
-    taken = taken.select(F.col("doc_id").alias("_whole"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
-    taken = taken.groupBy("_whole").agg(F.sum("times").cast("int").alias("times"))
-    rows = own.join(taken, "_whole").dropDuplicates(["_whole"])
+    parts = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(*parts).alias("_whole"), F.xxhash64(F.lit(1), *parts).alias("_again"))
+    taken = mixing.mix_sources(docs.select(F.xxhash64(*parts).alias("doc_id"), "text", "source")).where("size > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_whole")).agg(F.sum(F.col("taken") / F.col("size")).alias("t"))
+    chance = F.pmod(F.xxhash64(F.lit(29), "_whole"), F.lit(1 << 30)) / float(1 << 30)
+    taken = taken.select("_whole", F.floor(F.col("t") + chance).cast("int").alias("times")).where("times > 0")
+    rows = own.dropDuplicates(["_whole", "_again"]).join(taken, "_whole")
     return rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix, and hashes of what they decode to."""
+    """Token ids of each document of the mix, and hashes of what they decode to; no ids for a null or empty text. Rows stay
+    as they are, repeated or not; of the columns, only doc_id stays. An empty table gives an empty result."""
     return encoding.encode(docs, vocabulary("word_bpe_49k.json"))
 
 
