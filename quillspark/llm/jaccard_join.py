@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,10 @@ from quillspark.llm.shingles import BASE, mixed, shingles, signatures
 LOWEST = -(1 << 63)
 #: Bytes of text that are hashed together; bounds the memory of a worker, not the length of a text.
 SLICE = 1_000_000
+#: Bytes of text in a block of texts that are compared in full; bounds the memory of a worker.
+BLOCK_BYTES = 4_000_000
+#: Runs before the first look at what is connected already.
+FIRST_RUNS = 2
 
 
 def slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -74,13 +79,43 @@ class Splitter:
         return rows, mixed(nodes[rows] * np.uint64(BASE) + mixed(self.coordinates[at] ^ sigs[rows, at].astype(np.uint64)))
 
 
+def together(level: int) -> float:
+    """The chance that one run keeps a pair at the threshold in a common node of this level: a node that has both is
+    expected to have one child that has both, so that the number of such children is about Poisson of mean 1."""
+    chance = 1.0
+    for _ in range(level):
+        chance = 1 - math.exp(-chance)
+    return chance
+
+
+def runs_for(recall: float, level: int) -> int:
+    """Runs after which a share `recall` of the pairs at the threshold has met in a node of this level."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - together(level)))
+
+
+def signature_forest(sigs: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Edges that connect all sets whose signatures agree in `least` coordinates at least, one fewer than members."""
+    edges, unseen, stack = [], np.arange(len(sigs)), []
+    while len(unseen):
+        if stack:
+            i = stack.pop()
+        else:
+            i, unseen = int(unseen[0]), unseen[1:]
+        near = (sigs[unseen] == sigs[i]).sum(axis=1) >= least
+        found = unseen[near].tolist()
+        edges += [(i, j) for j in found]
+        stack += found
+        unseen = unseen[~near]
+    return edges
+
+
 def _matrix(sigs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), -1)
 
 
 def representatives(named: DataFrame, k: int, width: int) -> DataFrame:
-    """One row per different text with a word: id (64 bits of its MD5), sig, at (where it is read: its lowest doc_id, or
-    LOWEST where none of its rows has one)."""
+    """One row per different text with a word: id (64 bits of its MD5), sig, size (characters), at (where it is read: its
+    lowest doc_id, or LOWEST where none of its rows has one). A null text counts as empty; a text without words has no row."""
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -88,85 +123,123 @@ def representatives(named: DataFrame, k: int, width: int) -> DataFrame:
                 hashes, starts = shingles(list(part["text"]), k)
                 sigs = signatures(hashes, starts, width)
                 full = np.diff(starts) > 0
-                yield pd.DataFrame({"id": part["id"].to_numpy()[full], "at": part["at"].to_numpy()[full], "none": part["none"].to_numpy()[full], "sig": [s.tobytes() for s in sigs[full]]})
+                own = part[["id", "at", "none"]][full]
+                yield own.assign(size=part["text"].str.len()[full], sig=[s.tobytes() for s in sigs[full]])
 
-    rows = named.select("id", "at", F.col("doc_id").isNull().alias("none"), "text").mapInPandas(signed, "id long, at long, none boolean, sig binary")
-    return rows.groupBy("id", "sig").agg(F.coalesce(F.min(F.when(~F.col("none"), F.col("at"))), F.lit(LOWEST)).alias("at"))
+    rows = named.select("id", "at", F.col("doc_id").isNull().alias("none"), "text").mapInPandas(signed, "id long, at long, none boolean, size long, sig binary")
+    lowest = F.coalesce(F.min(F.when(~F.col("none"), F.col("at"))), F.lit(LOWEST))
+    return rows.groupBy("id", "sig").agg(lowest.alias("at"), F.max("size").alias("size"))
 
 
-def candidate_edges(reps: DataFrame, threshold: float, width: int, runs: int, small: int, near: float, levels: int) -> DataFrame:
-    """Edges (a, b) that connect all texts that shared a bucket and whose signatures agree in a share `near` at least.
+class ChosenPaths:
+    """Edges (a, b) between texts that met in a small node and whose signatures agree in a share `near` at least.
 
-    Every run splits twice; buckets of up to `small` sets are compared in full. In larger ones, the sets near a random
-    leader are tied to it and leave; the rest are split on. What is still large after `levels` splits is dealt by a hash
-    into parts of about `small` sets, each compared in full together with the leader.
+    A run sends each set down two levels of the tree; nodes of up to `small` sets are compared in full, in larger ones the
+    sets near a random leader are tied to it, and those so near it (`leave`) that all their partners are tied, too, leave;
+    the rest goes down one level more. What is still large after `levels` levels is compared in full, block against block.
     """
-    split = Splitter(threshold, width)
 
-    def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sigs, ids = _matrix(batch["sig"]), batch["id"].to_numpy()
-            for run in range(runs):
-                top = np.full(len(ids), mixed(np.array([run + 1], np.uint64) * np.uint64(BASE))[0], np.uint64)
-                rows, nodes = split.children(top, sigs)
-                again, nodes = split.children(nodes, sigs[rows])
-                yield pd.DataFrame({"node": nodes.view(np.int64), "id": ids[rows[again]]})
-
-    def split_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sigs, ids, nodes = _matrix(batch["sig"]), batch["id"].to_numpy(), batch["node"].to_numpy().view(np.uint64)
-            tied = (sigs == _matrix(batch["leader_sig"])).mean(axis=1) >= near
-            yield pd.DataFrame({"node": batch["leader"].to_numpy()[tied], "id": ids[tied], "edge": True})
-            rows, below = split.children(nodes[~tied], sigs[~tied])
-            yield pd.DataFrame({"node": below.view(np.int64), "id": ids[~tied][rows], "edge": False})
-
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: list[tuple[int, int]] = []
-        for part in groups(batches, "bucket"):
-            part = part.drop_duplicates("id")
-            sigs, ids = _matrix(part["sig"]), part["id"].to_numpy()
-            agree = np.stack([(sigs == s).mean(axis=1) >= near for s in sigs])
-            found += [(ids[i], ids[j]) for i, j in forest(agree)]
-            if len(found) > 10_000:
-                yield pd.DataFrame(found, columns=["a", "b"])
-                found = []
-        if found:
-            yield pd.DataFrame(found, columns=["a", "b"])
-
-    sigs = reps.select("id", "sig")
-    paths = cut(reps.select("id", "sig").mapInPandas(roots, "node long, id long"))
-    edges, buckets, level = None, None, 2
-    while True:
-        hashed = paths.withColumn("h", F.xxhash64("node", "id"))
-        nodes = hashed.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("h").alias("first")).where("n > 1")
-        nodes = cut(nodes)
-        few = nodes.where(F.col("n") <= small).groupBy("n", "x").agg(F.min("node").alias("node"))
-        here = paths.join(cut(few.select("node")), "node").select(F.col("node").alias("bucket"), "id")
-        buckets = here if buckets is None else buckets.unionByName(here)
-        large = cut(nodes.where(F.col("n") > small))
-        if not large.limit(1).count():
-            break
-        level += 1
-        crowded = hashed.join(large, "node").select("node", "id", "n", "h", "first")
-        leaders = crowded.where("h = first").select("node", F.col("id").alias("leader")).groupBy("node").agg(F.min("leader").alias("leader"))
-        if level > levels:
-            part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / small))
-            dealt = crowded.select(F.xxhash64("node", part).alias("bucket"), "id")
-            also = leaders.join(large.select("node", "n"), "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / small) - 1)))
-            buckets = buckets.unionByName(dealt).unionByName(also.select(F.xxhash64("node", "part").alias("bucket"), F.col("leader").alias("id")))
+    def __init__(self, reps: DataFrame, threshold: float, width: int, small: int, near: float, levels: int) -> None:
+        self.split, self.sigs, self.small, self.levels = Splitter(threshold, width), reps.select("id", "sig"), small, levels
+        # d(y, leader) <= d(x, leader) + d(x, y): partners of a set this near are tied, with a tenth for the estimates
+        self.near, self.leave = math.ceil(near * width), math.ceil(min(1.0, near + (1 - threshold) + 0.1) * width)
+
+    def run(self, sets: DataFrame, runs: Iterable[int]) -> tuple[DataFrame, DataFrame | None, int]:
+        """Edges of these runs over sets (id, sig, label); the ids that went below the second level, and the deepest level.
+
+        Nodes whose sets all have one label, of the component that they are known to belong to, are left out.
+        """
+        split, small, near, leave = self.split, self.small, self.near, self.leave
+        runs = list(runs)
+
+        def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                sigs, own = _matrix(batch["sig"]), batch[["id", "label"]]
+                for run in runs:
+                    top = np.full(len(own), mixed(np.array([run + 1], np.uint64) * np.uint64(BASE))[0], np.uint64)
+                    rows, nodes = split.children(top, sigs)
+                    again, nodes = split.children(nodes, sigs[rows])
+                    yield own.iloc[rows[again]].assign(node=nodes.view(np.int64))
+
+        def split_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                sigs, own = _matrix(batch["sig"]), batch[["id", "label"]]
+                agree = (sigs == _matrix(batch["leader_sig"])).sum(axis=1)
+                tied, stays = agree >= near, agree < leave
+                yield own[tied].assign(node=batch["leader"][tied], edge=True)
+                rows, below = split.children(batch["node"].to_numpy()[stays].view(np.uint64), sigs[stays])
+                yield own[stays].iloc[rows].assign(node=below.view(np.int64), edge=False)
+
+        def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in groups(batches, "bucket"):
+                ids = part["id"].to_numpy()
+                edges = np.array(signature_forest(_matrix(part["sig"]), near), np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]})
+
+        paths = cut(sets.select("id", "sig", "label").mapInPandas(roots, "id long, label long, node long"))
+        edges, buckets, crowds, level = None, None, None, 2
+        while True:
+            nodes = paths.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+            nodes = cut(nodes.where("lo <> hi").select("node", "n", "x"))
+            few = nodes.where(F.col("n") <= small).groupBy("n", "x").agg(F.min("node").alias("node"))  # of equal nodes one
+            here = paths.join(few.select("node"), "node").select(F.col("node").alias("bucket"), "id")
+            buckets = here if buckets is None else buckets.unionByName(here)
+            large = nodes.where(F.col("n") > small).select("node", "n")
+            if not large.limit(1).count():
+                break
+            crowd = cut(paths.join(large, "node"))
+            if level == self.levels:
+                buckets = buckets.unionByName(_block_pairs(crowd, small))
+                break
+            level += 1
+            crowds = crowd.select("id") if crowds is None else crowds.unionByName(crowd.select("id"))
+            leaders = crowd.groupBy("node").agg(F.min_by("id", F.xxhash64("node", "id")).alias("leader"))
+            leaders = cut(leaders.join(self.sigs.select(F.col("id").alias("leader"), F.col("sig").alias("leader_sig")), "leader"))
+            rows = crowd.drop("n").join(leaders, "node").join(self.sigs, "id")
+            dealt = cut(rows.mapInPandas(split_on, "id long, label long, node long, edge boolean"))
+            tied = dealt.where("edge and id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+            edges = tied if edges is None else edges.unionByName(tied)
+            paths = dealt.where("not edge").select("id", "label", "node")
+        signed = buckets.join(self.sigs, "id").repartition("bucket").sortWithinPartitions("bucket")
+        found = signed.mapInPandas(compared, "a long, b long")
+        return cut(found if edges is None else found.unionByName(edges)), crowds, level
+
+
+def _block_pairs(crowd: DataFrame, small: int) -> DataFrame:
+    """Buckets (bucket, id) in which any two sets of a node meet: its blocks of about small / 2 sets, two at a time."""
+    blocks = F.ceil(2 * F.col("n") / small)
+    dealt = crowd.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return dealt.where("own <> other").select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "id")
+
+
+def candidate_components(reps: DataFrame, threshold: float, width: int, recall: float, small: int, near: float, levels: int) -> DataFrame:
+    """v and label of all texts that candidate edges connect; see ChosenPaths.
+
+    Runs are repeated until a pair at the threshold has met with a chance of `recall`: for pairs of small nodes as many as
+    the second level takes, for sets in nodes that went deeper as many as the deepest of those levels takes. After the
+    first runs, only nodes that would connect components are looked at: what is in one component is compared in full
+    later anyhow.
+    """
+    paths = ChosenPaths(reps, threshold, width, small, near, levels)
+    done, wanted = min(FIRST_RUNS, runs_for(recall, 2)), runs_for(recall, 2)
+    edges, _, _ = paths.run(reps.select("id", "sig", F.col("id").alias("label")), range(done))
+    sets = reps.select("id", "sig")
+    found = cut(components(edges))
+    while done < wanted:
+        named = found.select(F.col("v").alias("id"), "label")
+        labelled = cut(sets.join(named, "id", "left").select("id", "sig", F.coalesce("label", "id").alias("label")))
+        more, crowds, deepest = paths.run(labelled, range(done, wanted))
+        edges, done = edges.unionByName(more), wanted
+        found = cut(components(edges))
+        if crowds is None:
             break
-        leaders = cut(leaders.join(sigs.select(F.col("id").alias("leader"), F.col("sig").alias("leader_sig")), "leader").dropDuplicates(["node"]))
-        rows = crowded.join(leaders, "node").join(sigs, "id").select("node", "id", "sig", "leader", "leader_sig")
-        dealt = cut(rows.mapInPandas(split_on, "node long, id long, edge boolean"))
-        tied = dealt.where("edge").select(F.col("node").alias("a"), F.col("id").alias("b"))
-        edges = tied if edges is None else edges.unionByName(tied)
-        paths = dealt.where("not edge").select("node", "id")
-    signed = buckets.join(sigs, "id").repartition("bucket").sortWithinPartitions("bucket")
-    found = signed.mapInPandas(compared, "a long, b long")
-    return found if edges is None else found.unionByName(edges)
-
-
-def text_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, width: int = 64, runs: int = 12, small: int = 64, block: int = 128, slack: float = 0.2, levels: int = 8) -> DataFrame:
+        sets, wanted = cut(sets.join(crowds.distinct(), "id", "left_semi")), runs_for(recall, deepest)
+    return found
+
+
+def text_classes(
+    docs: DataFrame, threshold: float = 0.8, k: int = 5, width: int = 64, recall: float = 0.999, small: int = 4096, block: int = 512, slack: float = 0.2, levels: int = 12
+) -> DataFrame:
     """One row per different text: key (its MD5), doc_id (its lowest), class_id, first_key, n_links, n_copies.
 
     class_id and first_key are the lowest doc_id of the class and the text that has it (nulls last, the lowest MD5 among
@@ -174,10 +247,11 @@ def text_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, width: int
     """
     named = _named(docs)
     reps = cut(representatives(named, k, width))
-    near = components(candidate_edges(reps, threshold, width, runs, small, threshold - slack, levels))
-    sizes = cut(near.groupBy("label").agg(F.count("*").alias("n")))
-    members = near.join(sizes, "label").join(reps.select(F.col("id").alias("v"), "at"), "v").select("v", "at", "label", F.ceil(F.col("n") / block).alias("blocks"))
-    members = members.join(named.select(F.col("id").alias("v"), "at", "text"), ["v", "at"]).distinct()
+    near = candidate_components(reps, threshold, width, recall, small, threshold - slack, levels)
+    members = cut(near.join(reps.select(F.col("id").alias("v"), "at", "size"), "v"))
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_BYTES))
+    members = members.join(cut(members.groupBy("label").agg(blocks.alias("blocks"))), "label").select("v", "at", "label", "blocks")
+    members = members.join(named.select(F.col("id").alias("v"), "at", "text"), ["v", "at"]).dropDuplicates(["v"])
     own = F.pmod(F.xxhash64("v"), F.col("blocks"))
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pair = F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other"))
@@ -186,10 +260,9 @@ def text_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, width: int
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in groups(batches, "pair"):
-            part = part.sort_values("side", kind="stable")
             ids, side = part["v"].to_numpy(), part["side"].to_numpy()
             linked = links(list(part["text"]), k, threshold)
-            if side[-1] > 0:  # two blocks: only what crosses
+            if side.max() > 0:  # two blocks: only what crosses
                 linked &= side[:, None] != side[None, :]
             counts = linked.sum(axis=1)
             edges = forest(linked)
@@ -225,9 +298,9 @@ def jaccard_join(docs: DataFrame, **parameters: float) -> DataFrame:
     Two texts are linked if their sets of k-word shingles have a Jaccard similarity of `threshold` at least. class_id is
     the lowest doc_id of all texts that links connect (equal texts included), n_links the number of different texts that
     the document's text is linked with, n_copies that of documents with the same text.
-    Each run of the chosen-path splitting keeps a pair at the threshold together with a chance of about 0.47 at its second
-    level; `runs` runs miss less than one in a thousand. Signatures rule out buckets' far pairs (those `slack` below the
-    threshold), what stays connected is compared exactly and in full, in blocks of `block` texts against each other, where
+    Chosen-path splitting is repeated until a pair at the threshold has met with a chance of `recall`, whatever the depth
+    of its nodes (see candidate_components()). Signatures rule out buckets' far pairs (those `slack` below the threshold),
+    what stays connected is compared exactly and in full, in blocks of up to about `block` texts against each other, where
     only counts and connecting links leave a task.
     Null texts count as empty; equal texts without words are copies but link to nothing; a null doc_id stays null, and
     class_id is null where no document of a class has an id; different texts with one id are linked, counted and classed
@@ -250,15 +323,22 @@ def links(texts: list[str], k: int, threshold: float) -> np.ndarray:
     first = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)
     column = np.cumsum(first) - 1
     shared = np.bincount(column)[column] > 1 if len(column) else np.zeros(0, bool)
-    owner = owner[shared]
-    column = np.unique(column[shared], return_inverse=True)[1]
+    owner, at = owner[shared], np.flatnonzero(np.concatenate(([True], np.diff(column[shared]) > 0))) if shared.any() else np.zeros(0, int)
     both = np.zeros((m, m))
-    width = 2048
-    for lo in range(0, int(column.max(initial=-1)) + 1, width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        has = np.zeros((m, width), np.float32)
-        has[owner[a:b], column[a:b] - lo] = 1
-        both += has @ has.T
+    if len(at):
+        # Shingles that the same texts share are one column with a weight: 64 random bits a text, summed over its owners.
+        told, pick, column, weight = np.unique(np.add.reduceat(mixed((owner + 1).astype(np.uint64) * np.uint64(BASE)), at), return_index=True, return_inverse=True, return_counts=True)
+        ends = np.append(at, len(owner))[1:]
+        kept = np.isin(np.arange(len(at)), pick)
+        owner, column = owner[np.repeat(kept, ends - at)], np.repeat(column, ends - at)[np.repeat(kept, ends - at)]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        width = 2048
+        for lo in range(0, len(told), width):
+            a, b = np.searchsorted(column, [lo, lo + width])
+            has = np.zeros((m, min(width, len(told) - lo)), np.float32)
+            has[owner[a:b], column[a:b] - lo] = 1
+            both += (has * weight[lo : lo + width].astype(np.float32)) @ has.T
     union = sizes[:, None] + sizes[None, :] - both
     linked = (both >= threshold * union - 1e-9) & (both > 0)
     np.fill_diagonal(linked, False)

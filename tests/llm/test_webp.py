@@ -22,6 +22,8 @@ def blocks(bits, height, width, values):
     [],
     [(webp.SUBTRACT_GREEN,)],
     [(webp.PREDICTOR, 2, blocks(2, 13, 17, [webp.OPAQUE | m << 8 for m in range(14)]))],
+    [(webp.PREDICTOR, 3, blocks(3, 13, 17, [webp.OPAQUE | 1 << 8]))],
+    [(webp.PREDICTOR, 2, blocks(2, 13, 17, [webp.OPAQUE | 2 << 8]))],
     [(webp.CROSS_COLOUR, 3, blocks(3, 13, 17, [webp.OPAQUE | 0x7F80F1, webp.OPAQUE | 0x0203FE]))],
     [(webp.PREDICTOR, 3, blocks(3, 13, 17, [webp.OPAQUE | 11 << 8, webp.OPAQUE | 13 << 8])), (webp.SUBTRACT_GREEN,), (webp.CROSS_COLOUR, 2, blocks(2, 13, 17, [webp.OPAQUE | 0x112233]))],
 ])
