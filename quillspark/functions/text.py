@@ -95,11 +95,14 @@ def tags_of(csv: Column) -> Column:
 
 
 def context(text: Column, start: Column, end: Column, radius: int) -> dict[str, Column]:
-    """Text before and after a half-open span, and whether the text begins or ends within the radius."""
-    left = F.greatest(F.lit(0), start - radius)
+    """A half-open span with the text before and after it, from and to the paragraph breaks within the radius, and whether
+    the text begins or ends within it."""
+    left, gap = F.greatest(F.lit(0), start - radius), F.lit("\n\n")
+    before, after = F.substring(text, left + 1, start - left), F.substring(text, end + 1, F.lit(radius))
     return {
-        "before": F.substring(text, left + 1, start - left), "after": F.substring(text, end + 1, F.lit(radius)),
-        "at_start": left == 0, "at_end": F.length(text) <= end + radius,
+        "before": F.when(F.contains(before, gap), F.substring(before, F.locate("\n\n", before) + 2, F.length(before))).otherwise(before),
+        "passage": F.substring(text, start + 1, end - start),
+        "after": F.when(F.contains(after, gap), F.left(after, F.length(after) - F.length(F.substring_index(after, "\n\n", -1)) - 2)).otherwise(after), "at_start": left == 0, "at_end": F.length(text) <= end + radius,
     }
 
 
@@ -114,3 +117,20 @@ def sigmoid(x: Column) -> Column:
 def inner_product(a: Column, b: Column) -> Column:
     """In double precision, whatever the element type."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+#: Hosts of sources that the queries allow.
+HOSTS = ("example.com", "example.org", "example.net", "test", "org")
+
+
+def host(url: Column) -> Column:
+    """The host of a web address, in small letters; null where there is none."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
+def host_allowed(url: Column, hosts: tuple[str, ...]) -> Column:
+    """Whether a web address is one of these hosts' or of a host below one; no other scheme than http and https."""
+    found = F.lit(False)
+    for h in hosts:
+        found = found | (host(url) == h) | F.endswith(host(url), F.lit("." + h))
+    return F.coalesce(url.rlike("(?i)^https?://") & found, F.lit(False))

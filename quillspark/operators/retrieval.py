@@ -3,47 +3,76 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import dedupe_key, inner_product
+from quillspark.functions.text import dedupe_key
+from quillspark.operators.index import terms_of
 
-WORDS = r"[\p{L}\p{N}]+"
+#: Query vectors of one request at most: they go to every task.
+MOST_QUERIES = 50_000
+#: Rows of vectors that are multiplied at once; bounds a worker's memory.
+ROWS = 20_000
 
 
 def postings(texts: DataFrame) -> DataFrame:
     """term, id, tf of each word of (id, text)."""
-    words = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), 0)).alias("term"))
+    words = texts.select("id", F.explode(terms_of(F.col("text"))).alias("term"))
     return words.groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
 def lengths(texts: DataFrame) -> DataFrame:
-    return texts.select("id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), 0)).cast("long").alias("dl"))
+    return texts.select("id", F.size(terms_of(F.col("text"))).cast("long").alias("dl"))
 
 
-def bm25(texts: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id and score of the texts that hold a term. Statistics are those of all texts; only the terms' postings are built."""
-    stats = lengths(texts)
-    total = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), 0), lambda w: w.isin(terms))
-    hits = texts.select("id", F.explode(words).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(F.broadcast(df), "term").join(stats, "id").join(F.broadcast(total), how="cross")  # one row
-    return scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
+def _vectors(column: pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def nearest(passages: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
-    """q, id, d, rank (from 0) of the k nearest of (id, v) to each of the given query vectors (q, qv), by cosine distance.
+def nearest(passages: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None, apart: tuple[str, ...] = (), alike: tuple[str, ...] = ()) -> DataFrame:
+    """q, id, d, rank (from 0) of the k nearest of (id, v) to each of the query vectors (q, qv), by cosine distance.
 
-    Exact: the filter comes first, one pass serves all queries; queries are the caller's few, ties go by id.
+    Exact: the filter comes first, one pass serves all queries. Vectors meet them as a matrix product over batches, and each
+    batch gives its k nearest of each query alone; ties go by id. The queries, a request's or a block of them, are
+    MOST_QUERIES at most. Columns `apart` of both sides must differ, columns `alike` be equal (with q_ before their names
+    on the side of the queries).
     """
+    both = [*apart, *alike]
     rows = passages.where(allowed) if allowed is not None else passages
-    d = F.round(1 - inner_product(F.col("v"), F.col("qv")), 6) + 0.0
-    scored = rows.join(F.broadcast(queries), how="cross").select("q", "id", d.alias("d"))
-    return ranked(scored, ["d", "id"], ["q"], k)
+    rows = rows.select("id", "v", *both)
+    told = queries.select("q", "qv", *[f"q_{c}" for c in both]).limit(MOST_QUERIES + 1).toArrow()
+    if len(told) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} query vectors at once")
+    numbers, other = np.array(told["q"].to_pylist(), np.int64), [np.array(told[f"q_{c}"].to_pylist()) for c in both]
+    wanted = _vectors(told["qv"]).T if len(told) else None
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch) if wanted is not None else 0, ROWS):
+                part = batch.slice(at, ROWS)
+                ids, v = part.column(0).to_numpy(zero_copy_only=False), _vectors(part.column(1))
+                own = [np.array(part.column(2 + i).to_pylist()) for i in range(len(both))]
+                for lo in range(0, len(numbers), 256):
+                    d = np.round(1 - v @ wanted[:, lo : lo + 256], 6) + 0.0
+                    for i, (mine, theirs) in enumerate(zip(own, other)):
+                        d[(mine[:, None] == theirs[None, lo : lo + 256]) == (i < len(apart))] = np.inf
+                    out = []
+                    for j in range(d.shape[1]):
+                        col = d[:, j]
+                        near = np.arange(len(col)) if len(col) <= k else np.flatnonzero(col <= np.partition(col, k - 1)[k - 1])
+                        near = near[np.lexsort((ids[near], col[near]))][:k]
+                        near = near[col[near] < np.inf]
+                        out.append((np.full(len(near), numbers[lo + j]), ids[near], col[near]))
+                    q, i, x = (np.concatenate(c) for c in zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(x, pa.float64())], ["q", "id", "d"])
+
+    return ranked(rows.mapInArrow(multiplied, "q long, id long, d double"), ["d", "id"], ["q"], k)
 
 
 def ranked(rows: DataFrame, order: list, by: list[str] | None = None, k: int | None = None) -> DataFrame:
@@ -59,8 +88,10 @@ def top(rows: DataFrame, order: list, k: int) -> DataFrame:
 
 
 def nearest_to_any(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    d = F.round(1 - inner_product(F.col("v"), F.col("qv")), 6) + 0.0
-    best = passages.join(F.broadcast(queries), how="cross").groupBy("id").agg(F.min(d).alias("d"))
+    """id, d, rank of the k passages with the least distance to any of a request's few query vectors.
+
+    A passage among the k best by its least distance is among the k nearest of the query it is nearest to."""
+    best = nearest(passages, queries, k).groupBy("id").agg(F.min("d").alias("d"))
     return top(best, ["d", "id"], k)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import period_of
+from quillspark.operators import retrieval as R
 from quillspark.operators import tables as K
 from quillspark.plans.registry import Tables, query
 from quillspark.plans.retrieval_queries import _AUTHOR, author_of
@@ -87,9 +88,9 @@ def best_per_title(t: Tables) -> DataFrame:
 row_number() OVER (PARTITION BY p_type, p_size = 50 ORDER BY p_partkey) AS n FROM part) WHERE (has_whole = 1 AND p_size = 50 AND n = 1) OR (has_whole = 0 AND n <= 6)""")
 def series_collapse(t: Tables) -> DataFrame:
     """A whole edition (here size 50) stands for its series; a series without one keeps its first six parts."""
-    whole = F.col("p_size") == 50
-    rows = t.part.withColumn("_w", F.max(whole.cast("int")).over(Window.partitionBy("p_type"))).withColumn("_n", F.row_number().over(Window.partitionBy("p_type", whole).orderBy("p_partkey")))
-    return rows.where(((F.col("_w") == 1) & whole & (F.col("_n") == 1)) | ((F.col("_w") == 0) & (F.col("_n") <= 6))).select(F.col("p_type").alias("series"), F.col("p_partkey").alias("work"))
+    whole = t.part.where("p_size = 50").groupBy(F.col("p_type").alias("series")).agg(F.min("p_partkey").alias("work"))
+    parts = t.part.select(F.col("p_type").alias("series"), F.col("p_partkey").alias("work")).join(whole.select("series"), "series", "left_anti")
+    return whole.unionByName(R.ranked(parts, ["work"], ["series"], 6).drop("rank"))
 
 
 @query("SELECT n_name, count(s_suppkey) AS indexed, count(s_suppkey) FILTER (WHERE s_acctbal > 0) AS complete FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import inner_product, prompt_norm, tags_of, text_hash
+from quillspark.functions.text import prompt_norm, tags_of, text_hash
 from quillspark.operators import retrieval as R
 from quillspark.operators import tables as K
 from quillspark.plans.registry import Tables, query
@@ -25,14 +25,23 @@ def exact_cache(t: Tables) -> DataFrame:
     return saved.groupBy("prompt_norm").agg(F.max("id").alias("newest"), F.count("*").alias("saved"))
 
 
-@query("""WITH k AS (SELECT q.vec_id AS q, e.vec_id AS id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS sim FROM embeddings e, embeddings q WHERE q.vec_id < 20 AND e.vec_id <> q.vec_id AND e.label = q.label),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS n FROM k) SELECT q, id, sim FROM r WHERE n <= 5 AND sim >= 0.3""")
+#: Cosine from which a saved prompt answers a new one, and how many are looked at.
+SAME, LOOKED_AT = 0.95, 5
+
+
+@query("""WITH k AS (SELECT q.vec_id AS q, e.vec_id AS id, round(1 - round(1 - list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6), 6) AS sim
+FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id AND e.label = q.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS n FROM k) SELECT q, id, sim FROM r WHERE n <= 5 AND sim >= 0.95""")
 def semantic_cache(t: Tables) -> DataFrame:
-    """The five nearest saved prompts of the same scope (label), of which those similar enough count; scope comes first."""
-    own = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("scope"))
-    rows = t.embeddings.join(F.broadcast(own), (F.col("label") == F.col("scope")) & (F.col("vec_id") != F.col("q")))
-    sims = rows.select("q", F.col("vec_id").alias("id"), F.round(inner_product(F.col("embedding"), F.col("qv")), 6).alias("sim"))
-    return R.ranked(sims, [F.desc("sim"), "id"], ["q"], 5).where("sim >= 0.3").select("q", "id", "sim")
+    """The nearest saved prompts of the same scope (label), of which those similar enough count; scope comes first."""
+    saved = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("scope"), F.col("vec_id").alias("self"))
+    return cached_answers(saved, saved.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"), F.col("scope").alias("q_scope"), F.col("self").alias("q_self")))
+
+
+def cached_answers(saved: DataFrame, asked: DataFrame) -> DataFrame:
+    """q, id, sim of the saved prompts (id, v, scope, self) near enough to those asked (q, qv, q_scope, q_self)."""
+    near = R.nearest(saved, asked, LOOKED_AT, apart=("self",), alike=("scope",)).select("q", "id", F.round(1 - F.col("d"), 6).alias("sim"))
+    return near.where(F.col("sim") >= SAME)
 
 
 @query("""WITH refs AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE left(sha256(text), 16) END AS hash FROM documents UNION ALL SELECT 1000000 + o_orderkey, 'gone' FROM orders)

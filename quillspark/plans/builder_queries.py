@@ -179,14 +179,14 @@ def markdown_quotes(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", quoted.alias("quote"))
 
 
-@query("""WITH k AS (SELECT q.vec_id AS q, e.vec_id AS id, round(1 - list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) + 0.0 AS d FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND e.label = q.label AND e.vec_id >= 5)
+@query("""WITH k AS (SELECT q.vec_id AS q, e.vec_id AS id, round(1 - list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) + 0.0 AS d FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.label = q.label AND e.vec_id % 50 <> 0)
 SELECT q, id, d, row_number() OVER (PARTITION BY q ORDER BY d, id) AS position FROM k QUALIFY position <= 8""")
 def more_from_work(t: Tables) -> DataFrame:
     """The passages of a shown one's work (label) that aren't shown yet, nearest first, eight at most."""
-    shown = t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), "label")
-    rows = t.embeddings.where("vec_id >= 5").join(F.broadcast(shown), "label")
-    near = rows.select("q", F.col("vec_id").alias("id"), (F.round(1 - R.inner_product(F.col("embedding"), F.col("qv")), 6) + 0.0).alias("d"))
-    return R.ranked(near, ["d", "id"], ["q"], 8).select("q", "id", "d", (F.col("rank") + 1).alias("position"))
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    shown = rows.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"), F.col("label").alias("q_label"))
+    near = R.nearest(rows, shown, 8, F.col("id") % 50 != 0, alike=("label",))
+    return near.select("q", "id", "d", (F.col("rank") + 1).alias("position"))
 
 
 @query("""SELECT s_name AS name, CASE WHEN s_nationkey < 5 THEN 'https://one.example/' || s_suppkey || '.txt' WHEN s_nationkey < 10 THEN 'https://two.example/w/' || s_suppkey END AS link FROM supplier""")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import index as I
 from quillspark.operators import retrieval as R
+from quillspark.operators import search as S
 from quillspark.plans.registry import Tables, query
 
 TERMS = ["inther", "reand", "lamente", "queado", "erichlich", "worthless", "pathetic", "clown", "trash", "thehe"]
@@ -25,9 +27,25 @@ def vectors(t: Tables) -> DataFrame:
 
 
 def query_vectors(t: Tables, n: int) -> DataFrame:
+    """The vectors of one request: nine phrasings of a question, or five."""
     return t.embeddings.where(F.col("vec_id") < n).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
 
 
+def all_queries(t: Tables) -> DataFrame:
+    """The stated query set of searches that aren't one request: every vector whose id is divisible by 50."""
+    return t.embeddings.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("q_label"))
+
+
+def corpus(t: Tables) -> S.Corpus:
+    """Sources of five documents at least count as complete works; passages under 80 characters as front matter."""
+    size = t.documents.groupBy("source").agg(F.count("*").alias("n"))
+    rows = t.documents.join(size, "source").select(
+        F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("work"), F.col("source").alias("title"), author_of(F.col("source")).alias("author"),
+        (F.col("n_chars") < 80).alias("front"), (F.col("n") >= 5).alias("complete"),
+    )
+    return S.Corpus(rows, vectors(t).select("id", "v"), I.index_of(t.spark, t.folder, texts(t)))
+
+
 def texts(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("id"), "text")
 
@@ -41,13 +59,13 @@ dfs AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
 bm AS (SELECT id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
        FROM hits JOIN dfs USING (term) JOIN stats USING (id), total GROUP BY id)"""
 _KNN = f"""
-knn AS (SELECT q.vec_id AS q, e.vec_id AS id, {_DOT} AS d, e.label FROM embeddings e, embeddings q WHERE q.vec_id < 9),
+knn AS (SELECT q.vec_id AS q, e.vec_id AS id, {_DOT} AS d, e.label FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
 near AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) - 1 AS rank FROM knn)"""
 
 
 @query(f"WITH {_BM25} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM bm QUALIFY rank < 100")
 def bm25_top100(t: Tables) -> DataFrame:
-    return R.top(R.bm25(texts(t), TERMS), [F.desc("score"), "id"], 100)
+    return R.top(I.bm25(t.spark, I.index_of(t.spark, t.folder, texts(t)), TERMS), [F.desc("score"), "id"], 100)
 
 
 @query(r"""SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)
@@ -63,12 +81,13 @@ def passage_lengths(t: Tables) -> DataFrame:
 
 @query(f"WITH {_KNN} SELECT q, id, d, rank FROM near WHERE rank < 100")
 def knn_top100(t: Tables) -> DataFrame:
-    return R.nearest(vectors(t), query_vectors(t, 9), 100)
+    """The query set's nearest hundred; one request's nine vectors are the same operator's smaller case."""
+    return R.nearest(vectors(t), all_queries(t), 100)
 
 
-@query(f"WITH k AS (SELECT q.vec_id AS q, e.vec_id AS id, {_DOT} AS d FROM embeddings e, embeddings q WHERE q.vec_id < 9 AND e.label IN (1, 4)) SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) - 1 AS rank FROM k QUALIFY rank < 100")
+@query(f"WITH k AS (SELECT q.vec_id AS q, e.vec_id AS id, {_DOT} AS d FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.label IN (1, 4)) SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) - 1 AS rank FROM k QUALIFY rank < 100")
 def knn_filtered(t: Tables) -> DataFrame:
-    return R.nearest(vectors(t), query_vectors(t, 9), 100, F.col("label").isin(1, 4)).select("q", "id", "d", "rank")
+    return R.nearest(vectors(t), all_queries(t), 100, F.col("label").isin(1, 4))
 
 
 @query(f"WITH k AS (SELECT e.vec_id AS id, min({_DOT}) AS d FROM embeddings e, embeddings q WHERE q.vec_id < 5 GROUP BY e.vec_id) SELECT *, row_number() OVER (ORDER BY d, id) - 1 AS rank FROM k QUALIFY rank < 100")
@@ -76,45 +95,46 @@ def min_distance_multi(t: Tables) -> DataFrame:
     return R.nearest_to_any(vectors(t), query_vectors(t, 5), 100)
 
 
-@query(f"""WITH k AS (SELECT q.vec_id AS q, e.vec_id AS id, e.label, {_DOT} AS d FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND e.vec_id <> q.vec_id AND e.label <> q.label),
+@query(f"""WITH k AS (SELECT q.vec_id AS q, e.vec_id AS id, e.label, {_DOT} AS d FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id AND e.label <> q.label),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) - 1 AS rank FROM k QUALIFY rank < 60),
 one AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY q, label ORDER BY rank) = 1)
 SELECT q, id, round(1 - d, 6) AS similarity, row_number() OVER (PARTITION BY q ORDER BY rank) AS position FROM one QUALIFY position <= 6""")
 def similar_passages(t: Tables) -> DataFrame:
     """Nearest passages of other authors (labels), one of each, six at most."""
-    own = t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("own"))
-    near = R.ranked(
-        vectors(t).join(F.broadcast(own), (F.col("id") != F.col("q")) & (F.col("label") != F.col("own")))
-        .select("q", "id", "label", F.round(1 - R.inner_product(F.col("v"), F.col("qv")), 6).alias("d")), ["d", "id"], ["q"], 60
-    )
+    near = R.nearest(vectors(t), all_queries(t), 60, apart=("label",)).join(vectors(t).select("id", "label"), "id")
     one = R.ranked(near.drop("rank"), ["d", "id"], ["q", "label"], 1).drop("rank")
     return R.ranked(one, ["d", "id"], ["q"], 6).select("q", "id", F.round(1 - F.col("d"), 6).alias("similarity"), (F.col("rank") + 1).alias("position"))
 
 
-def branches(t: Tables) -> DataFrame:
-    near = R.nearest(vectors(t), query_vectors(t, 9), 100).select(F.col("q").cast("long").alias("branch_no"), F.lit("vector").alias("branch"), "id", "rank")
-    words = bm25_top100(t).select(F.lit(9).cast("long").alias("branch_no"), F.lit("keyword").alias("branch"), "id", "rank")
-    return near.unionByName(words)
+LANGUAGES, MENTIONS = ("en", "fr"), ["author3", "src12", "of"]
+
 
+def branches(t: Tables, c: S.Corpus) -> DataFrame:
+    return S.branches(c, query_vectors(t, 9), I.query_terms(TERMS), MENTIONS, F.col("lang").isin(*LANGUAGES))
 
-_FUSED = f"""{_KNN}, {_BM25},
-words AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM bm QUALIFY rank < 100),
-branches AS (SELECT q::BIGINT AS branch_no, 'vector' AS branch, id, rank FROM near WHERE rank < 100 UNION ALL SELECT 9, 'keyword', id, rank FROM words),
+
+_FUSED = f"""{_BM25},
+passages AS (SELECT doc_id AS id, text, lang, source AS work, {_AUTHOR} AS author, n_chars < 80 AS front, count(*) OVER (PARTITION BY source) >= 5 AS complete FROM documents),
+allowed AS (SELECT * FROM passages WHERE lang IN ('en', 'fr') AND NOT front),
+fknn AS (SELECT q.vec_id AS q, e.vec_id AS id, {_DOT} AS d FROM embeddings e SEMI JOIN allowed a ON e.vec_id = a.id, embeddings q WHERE q.vec_id < 9),
+fnear AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) - 1 AS rank FROM fknn),
+words AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM bm SEMI JOIN (SELECT id FROM allowed WHERE complete) USING (id) QUALIFY rank < 100),
+mworks AS (SELECT DISTINCT work FROM passages WHERE contains(lower(author), 'author3') OR contains(lower(work), 'author3') OR contains(lower(author), 'src12') OR contains(lower(work), 'src12') ORDER BY work LIMIT 40),
+mids AS (SELECT a.id FROM allowed a SEMI JOIN mworks USING (work)),
+md AS (SELECT id, min(d) AS d FROM fknn SEMI JOIN mids USING (id) GROUP BY id),
+named AS (SELECT id, row_number() OVER (ORDER BY d, id) - 1 AS rank FROM md QUALIFY rank < 100),
+branches AS (SELECT q::BIGINT AS branch_no, 'vector' AS branch, id, rank FROM fnear WHERE rank < 100 UNION ALL SELECT 9, 'keyword', id, rank FROM words UNION ALL SELECT 10, 'mention', id, rank FROM named),
 fused AS (SELECT id, round(sum(1 / (61.0::DOUBLE + rank)), 9) AS score, min(branch_no * 1000000 + rank) AS first, array_to_string(list_sort(list_distinct(list(branch))), ',') AS branches FROM branches GROUP BY id)"""
 
 
 @query(f"WITH {_FUSED} SELECT id, score, first, branches FROM fused")
 def fused_branches(t: Tables) -> DataFrame:
-    return R.fuse(branches(t)).withColumn("branches", F.array_join("branches", ","))
+    return R.fuse(branches(t, corpus(t))).withColumn("branches", F.array_join("branches", ","))
 
 
-def candidates(t: Tables, pool: int = 192) -> DataFrame:
-    """Fused, joined to passages, without near equals: rank, id, score, work, author, text."""
-    fused = R.fuse(branches(t)).orderBy(F.desc("score"), "first").limit(2 * pool)
-    docs = t.documents.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("work"), author_of(F.col("source")).alias("author"))
-    found = fused.join(docs, "id")
-    once = R.without_near_equals(found, [F.desc("score"), "first"])
-    return R.top(once, [F.desc("score"), "first"], pool)
+def candidates(t: Tables) -> DataFrame:
+    c = corpus(t)
+    return S.candidates(c, branches(t, c))
 
 
 _KEY = "trim(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 120), '')"
@@ -140,24 +160,36 @@ def hybrid_search(t: Tables) -> DataFrame:
 
 @query(f"WITH {_CANDIDATES}, p AS (SELECT row_number() OVER (ORDER BY overflow, rank) AS position, id, work FROM a QUALIFY position <= 24) SELECT id, work, row_number() OVER (ORDER BY best, position) AS shown FROM (SELECT *, min(position) OVER (PARTITION BY work) AS best FROM p)")
 def grouped_by_work(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     best = F.min("position").over(Window.partitionBy("work"))
     return hybrid_search(t).withColumn("best", best).select("id", "work", F.row_number().over(Window.orderBy("best", "position")).alias("shown"))
 
 
-@query(f"WITH {_CANDIDATES}, h AS (SELECT work FROM a ORDER BY overflow, rank LIMIT 24), k AS (SELECT source AS work FROM words JOIN documents ON doc_id = id WHERE rank < 24) SELECT DISTINCT work FROM h WHERE work NOT IN (SELECT work FROM k)")
+@query(f"WITH {_CANDIDATES}, h AS (SELECT work FROM a ORDER BY overflow, rank LIMIT 24), k AS (SELECT source AS work FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM bm) JOIN documents ON doc_id = id WHERE rank < 24) SELECT DISTINCT work FROM h WHERE work NOT IN (SELECT work FROM k)")
 def only_hybrid_works(t: Tables) -> DataFrame:
     words = bm25_top100(t).where("rank < 24").join(t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("work")), "id")
     return hybrid_search(t).select("work").distinct().join(words.select("work"), "work", "left_anti")
 
 
-@query(f"WITH {_CANDIDATES}, h AS (SELECT id FROM a ORDER BY overflow, rank LIMIT 12) SELECT count(*) AS shared FROM h WHERE id IN (SELECT id FROM words WHERE rank < 12)")
+@query(f"WITH {_CANDIDATES}, h AS (SELECT id FROM a ORDER BY overflow, rank LIMIT 12) SELECT count(*) AS shared FROM h WHERE id IN (SELECT id FROM bm ORDER BY score DESC, id LIMIT 12)")
 def overlap_top12(t: Tables) -> DataFrame:
     both = hybrid_search(t).where("position <= 12").select("id").intersect(bm25_top100(t).where("rank < 12").select("id"))
     return both.agg(F.count("*").alias("shared"))
 
 
+@query(rf"""WITH {_CANDIDATES}, q AS (SELECT *, len(list_filter(['worthless', 'clown', 'the', 'was'], lambda w: list_contains(regexp_extract_all(lower(left(text, 1400)), '[\p{{L}}\p{{N}}]+'), w))) / 4.0 AS s FROM pool)
+SELECT row_number() OVER (ORDER BY s DESC, rank) - 1 AS rank, id, s::DOUBLE AS pair_score FROM q""")
+def reranked_pool(t: Tables) -> DataFrame:
+    """The pool, scored pair by pair; the scorer is a plug, here one that counts words."""
+    return S.reranked(candidates(t), {"sv": "worthless clown the was"}).select("rank", "id", F.round("pair_score", 9).alias("pair_score"))
+
+
+@query(f"WITH {_CANDIDATES} SELECT work, count(*) AS passages, round(count(*) * 100.0 / sum(count(*)) OVER (), 4)::DOUBLE AS share FROM pool GROUP BY work")
+def pool_histogram(t: Tables) -> DataFrame:
+    """Passages of the pool by work (A08), and their share of all."""
+    by = candidates(t).groupBy("work").agg(F.count("*").alias("passages"))
+    return by.select("work", "passages", F.round(F.col("passages") * 100.0 / F.sum("passages").over(Window.partitionBy()), 4).alias("share"))
+
+
 @query(f"WITH {_CANDIDATES} SELECT count(*) AS passages, count(DISTINCT work) AS works, count(DISTINCT author) AS authors FROM pool")
 def candidate_summary(t: Tables) -> DataFrame:
     return candidates(t).agg(F.count("*").alias("passages"), F.countDistinct("work").alias("works"), F.countDistinct("author").alias("authors"))
@@ -185,7 +217,8 @@ def gold_check(t: Tables) -> DataFrame:
 
     gold = lines(t.benchmark, "item_id")
     size = gold.groupBy("item_id").agg(F.count("*").alias("n"))
-    hits = gold.join(lines(t.documents, "doc_id"), "line").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).join(size, ["item_id", "n"])
+    there = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).join(S.if_small(gold.select("line").distinct()), "line", "left_semi").distinct()
+    hits = gold.join(there, "line").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).join(size, ["item_id", "n"])
     found = hits.groupBy("item_id").agg(F.count("*").alias("found_in"), F.min("doc_id").alias("first_doc"))
     verdict = F.when(F.col("found_in").isNull(), "miss").otherwise("hit").alias("verdict")
     return size.join(found, "item_id", "left").select("item_id", F.coalesce("found_in", F.lit(0)).alias("found_in"), verdict, "first_doc")
@@ -197,6 +230,7 @@ SELECT count(*) AS wanted, count(*) FILTER (WHERE covered) AS covered, round(cou
 def gold_recall(t: Tables) -> DataFrame:
     """Share of the gold passages whose lines all occur somewhere in the corpus."""
     gold = t.benchmark.select("item_id", F.explode(F.split("text", "\n")).alias("line")).distinct()
-    there = t.documents.select(F.explode(F.split("text", "\n")).alias("line")).distinct().withColumn("there", F.lit(True))
+    own = S.if_small(gold.select("line").distinct())
+    there = t.documents.select(F.explode(F.split("text", "\n")).alias("line")).join(own, "line", "left_semi").distinct().withColumn("there", F.lit(True))
     by = gold.join(there, "line", "left").groupBy("item_id").agg(F.every(F.col("there").isNotNull()).alias("covered"))
     return by.agg(F.count("*").alias("wanted"), F.count_if("covered").alias("covered"), F.round(F.count_if("covered") / F.count("*"), 6).alias("recall"))

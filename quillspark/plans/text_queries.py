@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import tables as K
-from quillspark.operators.chunking import chunk_documents as chunk
 from quillspark.plans.registry import Tables, query
 
 _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)"
@@ -64,15 +63,26 @@ def first_tag(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.first_tag(F.col("html"), "title").alias("title"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages WHERE regexp_matches(url, '^https?://([^/:?#]*\.)?(com|org|test|example)([/:?#]|$)|^https?://[^/:?#]*(example)')")
+_HOST = "lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/:?#]+)', 1))"
+
+
+@query(f"SELECT page_id, {_HOST} AS host FROM pages WHERE {' OR '.join(f"{_HOST} = '{h}' OR ends_with({_HOST}, '.{h}')" for h in X.HOSTS)}")
 def url_host_filter(t: Tables) -> DataFrame:
-    allowed = r"^https?://([^/:?#]*\.)?(com|org|test|example)([/:?#]|$)|^https?://[^/:?#]*(example)"
-    return t.pages.where(F.col("url").rlike(allowed)).select("page_id", F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("host"))
+    """Pages of allowed hosts: one of them, or below one."""
+    return t.pages.where(X.host_allowed(F.col("url"), X.HOSTS)).select("page_id", X.host(F.col("url")).alias("host"))
+
 
+_AROUND = "SELECT doc_id, source, lang, text, (length(text) // 3) AS a, (length(text) // 3 + 100) AS b, greatest(0, length(text) // 3 - 150) AS l FROM (SELECT doc_id, source, lang, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)"
 
-@query("SELECT doc_id, substr(text, greatest(0, 200 - 150) + 1, 200 - greatest(0, 200 - 150)) AS before, substr(text, 301, 150) AS after, false AS at_start, length(text) <= 450 AS at_end FROM documents")
+
+@query(f"""WITH x AS ({_AROUND}), y AS (SELECT *, substr(text, l + 1, a - l) AS before, substr(text, b + 1, 150) AS after FROM x)
+SELECT doc_id, source, lang, CASE WHEN contains(before, chr(10) || chr(10)) THEN substr(before, instr(before, chr(10) || chr(10)) + 2) ELSE before END AS before, substr(text, a + 1, b - a) AS passage,
+CASE WHEN contains(after, chr(10) || chr(10)) THEN left(after, length(after) - instr(reverse(after), chr(10) || chr(10)) - 1) ELSE after END AS after, l = 0 AS at_start, length(text) <= b + 150 AS at_end FROM y""")
 def context_window(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", *[c.alias(n) for n, c in X.context(F.col("text"), F.lit(200), F.lit(300), 150).items()])
+    """A passage in the middle of each text with what stands around it, cut at paragraph breaks, and its work's metadata."""
+    works = t.documents.select("doc_id", "source", "lang", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    start = F.floor(F.length("text") / 3).cast("int")
+    return works.select("doc_id", "source", "lang", *[c.alias(n) for n, c in X.context(F.col("text"), start, start + 100, 150).items()])
 
 
 @query("SELECT p_partkey, regexp_replace(substr(replace(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), 1, 60), '-+$', '') AS slug FROM part")
@@ -120,9 +130,3 @@ def front_matter(t: Tables) -> DataFrame:
 def adjacent_duplicates_removed(t: Tables) -> DataFrame:
     before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("n"))
     return lines(t).withColumn("b", before).where(~F.col("line").eqNullSafe(F.col("b")) & (F.length("line") > 120)).select("doc_id", "n")
-
-
-@query()
-def chunk_documents(t: Tables) -> DataFrame:
-    """Chunks of whole documents: a fold over paragraphs that SQL can't express; tested against a plain model."""
-    return chunk(t.documents.select(F.col("doc_id").alias("work_id"), "text"), separator="\n")

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillspark.operators.chunking import chunk_documents
+from quillspark.operators.structure import chunks
 
 
-def ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, schema: str = "work_id long, text string") -> StreamingQuery:
+def ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, schema: str = "work_id long, lang string, text string") -> StreamingQuery:
     """Chunk all works that landed since the last run; finished ones are skipped, also after a restart.
 
     Each micro-batch replaces its own partition of `out`, so that a batch that is run again leaves no copies.
     """
 
     def publish(batch: DataFrame, number: int) -> None:
-        chunk_documents(batch.dropDuplicates(["work_id"])).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        chunks(batch.dropDuplicates(["work_id"])).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
 
     works = spark.readStream.schema(schema).parquet(landing)
     return works.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

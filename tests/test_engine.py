@@ -1,14 +1,16 @@
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.operators import chunking
+from quillspark.operators import index as I
 from quillspark.operators import retrieval as R
+from quillspark.operators import search as S
 from quillspark.operators import tables as K
-from quillspark.plans import catalogue
+from quillspark.plans import archive_queries, catalogue
 from quillspark.sources import readers
 from quillspark.streaming import ingest
 from tests.compare import compare
@@ -52,14 +54,56 @@ def test_guarded(spark):
     assert sorted((r["id"], r["lost"]) for r in K.guarded(refs, passages).collect()) == [(1, False), (2, False), (2, True), (3, True)]
 
 
-def test_chunks(spark):
-    para = "A sentence of some length that goes on. " * 11
-    text = "\n\n".join([para.strip()] * 6 + ["x" * 4000])
-    rows = chunking.chunk_documents(spark.createDataFrame([(1, text), (2, None), (3, "short")], "work_id long, text string")).collect()
-    own = sorted((r for r in rows if r["work_id"] == 1), key=lambda r: r["ordinal"])
-    assert all(text[r["char_start"] : r["char_end"]] == r["text"] and len(r["text"]) <= chunking.MOST for r in own)
-    assert own[1]["char_start"] < own[0]["char_end"] and own[-1]["char_end"] == len(text)
-    assert [r["text"] for r in rows if r["work_id"] == 3] == ["short"] and not [r for r in rows if r["work_id"] == 2]
+def test_nearest_equals_every_distance(spark):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(300, 8))
+    v[40:60] = v[20:40]  # ties
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = r.integers(0, 3, 300)
+    rows = spark.createDataFrame([(i, [float(x) for x in v[i]], int(label[i])) for i in range(300)], "id long, v array<double>, label int").repartition(7)
+    for parameters, holds in (({}, lambda i, q: True), ({"apart": ("label",)}, lambda i, q: label[i] != label[q]), ({"alike": ("label",)}, lambda i, q: label[i] == label[q])):
+        asked = rows.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"), F.col("label").alias("q_label"))
+        found = sorted((x["q"], x["rank"], x["id"]) for x in R.nearest(rows, asked, 9, **parameters).collect())
+        want = [(q, n, i) for q in range(0, 300, 50) for n, i in enumerate(sorted((i for i in range(300) if holds(i, q)), key=lambda i: (round(1 - v[i] @ v[q], 6), i))[:9])]
+        assert found == want
+    assert R.nearest(rows, asked.limit(0), 9).count() == 0 and R.nearest(rows.limit(0), asked, 9).count() == 0
+
+
+def test_cached_answers_need_enough_likeness(spark):
+    def turned(cosine):
+        return [cosine, (1 - cosine**2) ** 0.5]
+
+    saved = spark.createDataFrame([(1, turned(0.951), 1, 1), (2, turned(0.949), 1, 2), (3, turned(0.99), 2, 3), (4, [1.0, 0.0], 1, 4)], "id long, v array<double>, scope int, self long")
+    asked = spark.createDataFrame([(4, [1.0, 0.0], 1, 4)], "q long, qv array<double>, q_scope int, q_self long")
+    assert [(x["id"], x["sim"]) for x in archive_queries.cached_answers(saved, asked).collect()] == [(1, 0.951)]
+
+
+def test_index_is_read_by_its_terms(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "Ett hus, två hus"), (2, "hus"), (3, ""), (4, None), (5, "one two")], "id long, text string")
+    index = I.write_index(texts, str(tmp_path / "i"))
+    assert sorted(tuple(r) for r in index.read(spark, "postings").select("term", "id", "tf").collect()) == [("ett", 1, 1), ("hus", 1, 2), ("hus", 2, 1), ("one", 5, 1), ("två", 1, 1), ("two", 5, 1)]
+    found = I.bm25(spark, index, ["hus", "two"])
+    assert "PushedFilters: [In(term" in found._jdf.queryExecution().toString() or "PushedFilters: [Or(" in found._jdf.queryExecution().toString()
+    assert {r["id"] for r in found.collect()} == {1, 2, 5} and [r["id"] for r in I.bm25(spark, index, ["hus"], texts.where("id = 2").select("id")).collect()] == [2]
+    assert I.query_terms(['the "old" house*', "of house", "a-b(c)"]) == ["the", "old", "house", "abc"]
+
+
+def test_rerank_keeps_the_order_if_the_scorer_fails(spark):
+    rows = spark.createDataFrame([(0, "en", "no word"), (1, "en", "the cat"), (2, "xx", "katten"), (3, "en", None)], "rank int, lang string, text string")
+    found = S.reranked(rows, {"en": "the cat", "sv": "katten"}).orderBy("rank").collect()
+    assert [r["text"] for r in found] == ["the cat", "katten", "no word", None] and not any(r["degraded"] for r in found)
+
+    def broken(pairs):
+        raise RuntimeError("no model")
+
+    found = S.reranked(rows, {"en": "the cat"}, broken).orderBy("rank").collect()
+    assert [r["text"] for r in found] == ["no word", "the cat", "katten", None] and all(r["degraded"] and r["pair_score"] is None for r in found)
+
+
+def test_embedded(spark):
+    texts = spark.createDataFrame([(1, "one two"), (2, "two one"), (3, ""), (4, "three")], "id long, text string")
+    v = {r["id"]: r["v"] for r in S.embedded(texts).collect()}
+    assert v[1] == v[2] != v[4] and set(v[3]) == {0.0} and all(len(x) == 64 for x in v.values()) and abs(sum(x * x for x in v[4]) - 1) < 1e-9
 
 
 def test_sources(spark, tmp_path):
@@ -82,10 +126,10 @@ def test_sources(spark, tmp_path):
 
 def test_ingest_is_incremental(spark, tmp_path):
     land, out, check = (str(tmp_path / x) for x in ("land", "out", "check"))
-    for part in ([(1, "one"), (2, "two")], [(3, "three")]):
-        spark.createDataFrame(part, "work_id long, text string").write.mode("append").parquet(land)
+    for part in ([(1, "en", "one " * 40), (2, "en", "two " * 40)], [(3, "en", "three " * 40)]):
+        spark.createDataFrame(part, "work_id long, lang string, text string").write.mode("append").parquet(land)
         ingest.ingest(spark, land, out, check).awaitTermination()
-    assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["one", "three", "two"]
+    assert sorted(r["text"].split()[0] for r in spark.read.parquet(out).collect()) == ["one", "three", "two"]
 
 
 def test_ranks_are_cut_ahead_of_the_shuffle(spark):
