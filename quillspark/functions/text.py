@@ -63,21 +63,6 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), r"[ \t\r\n]+", " "))
 
 
-def html_to_text(html: Column) -> Column:
-    """Paragraph text of a page: no comments, scripts, styles or tags; breaks and blocks become line breaks; the basic
-    entities decoded."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?is)<script[^>]*>.*?</script>", "")
-    out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", "")
-    out = F.regexp_replace(out, r"(?i)<br[^>]*>", "\n")
-    out = F.regexp_replace(out, r"(?i)</?(p|div|h[1-6]|li|ul|ol|table|tr|section|article|header|footer|blockquote)([ \t\r\n][^>]*)?>", "\n\n")
-    out = F.regexp_replace(out, "<[^>]*>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r]*\n[ \t\r]*", "\n"), r"\n\n\n+", "\n\n")
-    return F.regexp_replace(out, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-
-
 def first_tag(xml: Column, tag: str) -> Column:
     """Content of the first element with this name; null if there is none."""
     return F.nullif(F.regexp_extract(xml, rf"(?is)<{tag}(?:[ \t\r\n][^>]*)?>(.*?)</{tag}>", 1), F.lit(""))

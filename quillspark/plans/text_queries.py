@@ -42,22 +42,6 @@ def strip_tags(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.strip_tags(F.col("html")).alias("stripped"))
 
 
-_HTML = "html"
-for _p, _r in [("<!--.*?-->", ""), ("<script[^>]*>.*?</script>", ""), ("<style[^>]*>.*?</style>", "")]:
-    _HTML = f"regexp_replace({_HTML}, '{_p}', '{_r}', 'gis')"
-_HTML = f"regexp_replace({_HTML}, '<br[^>]*>', chr(10), 'gi')"
-_HTML = rf"regexp_replace({_HTML}, '</?(p|div|h[1-6]|li|ul|ol|table|tr|section|article|header|footer|blockquote)([ \t\r\n][^>]*)?>', chr(10) || chr(10), 'gi')"
-_HTML = f"regexp_replace({_HTML}, '<[^>]*>', '', 'g')"
-for _e, _c in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&amp;", "'&'")):
-    _HTML = f"replace({_HTML}, '{_e}', {_c})"
-_HTML = rf"regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \t\r]*\n[ \t\r]*', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
-
-
-@query(f"SELECT page_id, {_HTML} AS plain FROM pages")
-def html_to_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", X.html_to_text(F.col("html")).alias("plain"))
-
-
 @query(r"SELECT page_id, nullif(regexp_extract(html, '<title(?:[ \t\r\n][^>]*)?>(.*?)</title>', 1, 'is'), '') AS title FROM pages")
 def first_tag(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.first_tag(F.col("html"), "title").alias("title"))
