@@ -162,7 +162,7 @@ def learn(docs: DataFrame, rows: int = 6_000) -> Model:
     languages."""
     given = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out())
     sizes = cut(given.groupBy("lang").agg(F.count("*").alias("_n")))  # one row per language
-    given = given.select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang")
+    given = given.select("doc_id", "lang", "text").join(sizes, "lang")
     chance = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     given = given.where((F.col("_n") <= rows) | (chance < rows / F.col("_n")))
 
