@@ -13,8 +13,8 @@ WORDS = r"[\p{L}\p{N}]+"
 
 @dataclass(frozen=True)
 class Index:
-    """Folders of the three tables. postings: term, id, tf, sorted by term within files that hold ranges of terms, so that
-    a search reads the row groups of its terms. lengths: id, dl. totals: n, avgdl (one row)."""
+    """Folders of the tables. postings: term, id, tf, dl (the passage's length), sorted by term within files that hold
+    ranges of terms, so that a search reads the row groups of its terms and nothing else. totals: n, avgdl (one row)."""
 
     path: str
 
@@ -30,12 +30,12 @@ def write_index(texts: DataFrame, path: str) -> Index:
     """Write the index of (id, text); each text is taken apart once, and its words are counted within its row, so that only
     one row for each term of a text moves. The last table written, totals, marks the index as complete."""
     index = Index(path)
-    tokens = texts.select("id", terms_of(F.col("text")).alias("w"))
-    counted = tokens.select("id", F.size("w").cast("long").alias("dl"), F.col("w"))
-    words = counted.select("id", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    tokens = texts.select("id", terms_of(F.col("text")).alias("w")).withColumn("dl", F.coalesce(F.size("w"), F.lit(0)).cast("long"))
+    words = tokens.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     words.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
-    counted.select("id", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
-    index.read(texts.sparkSession, "lengths").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    size = texts.agg(F.count("*").alias("n"), F.count("text").alias("said"))
+    total = index.read(texts.sparkSession, "postings").agg(F.sum("tf").alias("words")).select(F.coalesce("words", F.lit(0)).alias("words")).first()[0]
+    size.select("n", F.coalesce(F.try_divide(F.lit(total), "said"), F.lit(0.0)).alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
     return index
 
 
@@ -56,7 +56,7 @@ def bm25(spark: SparkSession, index: Index, terms: list[str], allowed: DataFrame
     """id and score of the passages that hold a term; allowed: ids that may be found.
 
     Statistics are those of all passages, whatever is allowed, so that a filter doesn't change a passage's score. The term
-    filter reaches the scan of the postings; lengths are joined to the hits alone.
+    filter reaches the scan of the postings, which hold all that a score takes.
     """
     n, avgdl = index.read(spark, "totals").first()
     hits = index.read(spark, "postings").where(F.col("term").isin(terms))
@@ -65,7 +65,7 @@ def bm25(spark: SparkSession, index: Index, terms: list[str], allowed: DataFrame
         hits = hits.join(allowed, "id", "left_semi")
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    return hits.join(F.broadcast(df), "term").join(index.read(spark, "lengths"), "id").groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
+    return hits.join(F.broadcast(df), "term").groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def query_terms(words: list[str], most: int = 96) -> list[str]:

@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -43,7 +44,7 @@ if __name__ == "__main__":
 
     import __spark_entry__ as entry
 
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     for name, sql in entry.oracle_sql().items():
         if not sys.argv[2:] or name in sys.argv[2:]:
