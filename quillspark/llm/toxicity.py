@@ -22,20 +22,25 @@ SUBSTITUTES = str.maketrans("01345789@", "oieastbga")
 SIGNS = str.maketrans("$!|+", "silt")
 FULLWIDTH = {0xFEE0 + c: chr(c).lower() for c in range(0x21, 0x7F)}
 INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370)])
+#: Accented Latin letters to plain ones. Most words are told apart by their accents, so texts keep them, and are looked at
+#: without them once more.
 ACCENTED = {c: base for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if (base := unicodedata.normalize("NFD", chr(c))[0]) != chr(c)}
-FOLDS = ACCENTED | LOOKALIKES | SUBSTITUTES | FULLWIDTH | INVISIBLE
+FOLDS = LOOKALIKES | SUBSTITUTES | FULLWIDTH | INVISIBLE
 _gaps = re.compile(r"[\W_]+")
 #: A dollar before a letter or inside a word; the others inside a word alone.
 _signs = re.compile(r"\$(?=[^\W_])|(?<=[^\W_])\$+(?=[^\W_])|(?<=[^\W_])[!|+]+(?=[^\W_])")
+_marks = re.compile("[\u0300-\u036f]")
 _apart = re.compile(r"(?<= )(?:\w ){2,}\w(?= )")
 
 
 def fold(text: str) -> str:
-    """Lower case without accents, look-alikes and substitutes to plain letters, words between single spaces.
+    """Lower case, look-alikes and substitutes to plain letters, words between single spaces; accents stay.
 
     Three or more single letters in a row are one word, spelled apart.
     """
     plain = text.lower()
+    if _marks.search(plain):
+        plain = unicodedata.normalize("NFC", plain)
     if _signs.search(plain):
         plain = _signs.sub(lambda m: m[0].translate(SIGNS), plain)
     return _apart.sub(lambda m: m[0].replace(" ", ""), f" {_gaps.sub(' ', plain.translate(FOLDS)).strip()} ")
@@ -65,17 +70,19 @@ class Lexicon:
 
 def evidence(folded: str, automaton: ahocorasick.Automaton) -> float:
     """Summed weights of the words hit, each with its heaviest pattern, but for those in exception phrases; over the
-    logarithm of the number of words."""
+    logarithm of the number of words. Without their accents, words count if a pattern ends them."""
     if not len(automaton):
         return 0.0
     hits: dict[int, float] = {}
     spared = []
-    for end, (size, w) in automaton.iter(folded):
-        start = end - size + 1
-        if w is None:
-            spared.append((start, end))
-        elif w > hits.get(start, 0):
-            hits[start] = w
+    bare = folded if folded.isascii() else folded.translate(ACCENTED)
+    for text in (folded, bare) if bare != folded else (folded,):
+        for end, (size, w) in automaton.iter(text):
+            start = end - size + 1
+            if w is None:
+                spared.append((start, end))
+            elif w > hits.get(start, 0) and (text is folded or text[end] == " "):
+                hits[start] = w
     total = sum(w for s, w in hits.items() if not any(a <= s < b for a, b in spared))
     return total / math.log2(2 + folded.count(" ")) if total else 0.0
 
