@@ -28,7 +28,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     rules = quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     own = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    scored = cut(quality.score(own, rules))  # else the filter moves below the statistics and works them out for each rule
+    scored = cut(quality.score(own, rules).select("_row", "score"))  # else the filter moves below the statistics and works them out for each rule
     return scored.where(F.col("score") >= LEAST_QUALITY).select("_row.*")
 
 
@@ -76,7 +76,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = taken.groupBy(F.col("doc_id").alias("_whole")).agg(F.sum(F.col("taken") / F.col("size")).alias("t"))
     chance = F.pmod(F.xxhash64(F.lit(29), "_whole"), F.lit(1 << 30)) / float(1 << 30)
     taken = taken.select("_whole", F.floor(F.col("t") + chance).cast("int").alias("times")).where("times > 0")
-    rows = own.dropDuplicates(["_whole", "_again"]).join(taken, "_whole")
+    rows = own.join(taken, "_whole").dropDuplicates(["_whole", "_again"])  # one shuffle of the rows serves both
     return rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")
 
 
