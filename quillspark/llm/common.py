@@ -5,10 +5,16 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Characters of texts that a worker handles together; a longer text goes alone.
+SLICE = 2_000_000
+ARROW = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +48,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_columns(docs: DataFrame, begin: Callable[[], Callable[[list[str]], dict[str, list]]], schema: str, keep: tuple[str, ...] = ("doc_id",), slice_chars: int = SLICE) -> DataFrame:
+    """The columns `keep` of docs, and those of `schema` (long, double, string, int or binary) that are worked out of its text.
+
+    begin() is called once a task and gives the function from texts to columns. Kept columns stay in Arrow: pandas would make
+    ids next to a null one doubles. A null text counts as empty; texts come in lists of about slice_chars characters.
+    """
+    told = T.StructType.fromDDL(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = begin()
+        for batch in batches:
+            texts = batch.column(len(keep)).to_pylist()
+            first, size = 0, 0
+            for i, text in enumerate(texts):
+                size += len(text)
+                if size >= slice_chars or i + 1 == len(texts):
+                    found = of(texts[first : i + 1])
+                    own = [pa.array(found[f.name], ARROW[f.dataType.simpleString()]) for f in told]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, i + 1 - first).columns[:-1], *own], [*keep, *told.names])
+                    first, size = i + 1, 0
+
+    texts = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    return texts.mapInArrow(work, T.StructType([*texts.schema.fields[:-1], *told.fields]))
+
+
 def sampled(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     """About `rows` rows of df, chosen by a hash of the key, the same at every run; all of them if there are fewer."""
     n = df.count()

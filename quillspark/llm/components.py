@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """v and label (the lowest vertex of its component) of each vertex in edges (a, b: long).
 
     Each round names every vertex after the least of itself and its neighbours and rewrites the edges to these names, once
-    each, so that stars vanish at once and chains halve; it ends when no edge is left. Then the names of the rounds are
+    each, so that stars vanish at once; it ends when no edge is left. A chain whose vertices are spread at random takes about
+    as many rounds as the logarithm of its length, one in ascending order as many as it has edges: name vertices by hashes. Then the names of the rounds are
     followed one after another. Nothing is collected but whether edges remain.
     """
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")

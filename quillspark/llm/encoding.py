@@ -6,12 +6,12 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe
+from quillspark.llm.common import text_columns
 
 #: The pattern of words and the mark of a word's end.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -148,19 +148,18 @@ def encode(docs: DataFrame, path: str, ids: bool = True, batch_chars: int = 2_00
     """
     shared = docs.sparkSession.sparkContext.broadcast(bpe.load(path))
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         if path not in _texts:
             _texts.clear()
             _texts[path] = Texts(*shared.value)
         coder = _texts[path]
-        for batch in batches:
-            sizes = batch["text"].str.len().cumsum() // batch_chars
-            for _, part in batch.groupby(sizes, sort=False):
-                found = coder.encode(list(part["text"]))
-                sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-                out = {"doc_id": part["doc_id"], "n_tokens": [n for n, _, _ in found], "ids_sha256": [sha(i) for _, i, _ in found], "decoded_sha256": [sha(d) for _, _, d in found]}
-                yield pd.DataFrame(out | ({"ids": [i for _, i, _ in found]} if ids else {}))
-
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = texts.mapInPandas(encoded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * ids)
+
+        def encoded(texts: list[str]) -> dict[str, list]:
+            found = coder.encode(texts)
+            sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+            return {"n_tokens": [n for n, _, _ in found], "ids_sha256": [sha(i) for _, i, _ in found], "decoded_sha256": [sha(d) for _, _, d in found], "ids": [i for _, i, _ in found]}
+
+        return encoded
+
+    out = text_columns(docs, begin, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * ids, slice_chars=batch_chars)
     return out.withColumn("ids", F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))) if ids else out

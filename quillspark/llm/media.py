@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quillspark.llm import webp
+from quillspark.llm.common import text_columns
 
 UNIT = 576
 #: Widths of images, the least that is enough: the format allows 16,384 rows. With the last one, rows are filled up.
@@ -22,8 +20,6 @@ SHORT, BITS, BLOCK_BITS = 8 * UNIT, (10, 12), 9
 LEAST, MOST = 10, 4096
 #: Samples that a reference reaches back: the format's codes end at 2**20.
 FARTHEST = (1 << 20) - len(webp.NEAR)
-#: Bytes of payload that a worker codes together; bounds its memory, not the length of a text.
-SLICE = 2_000_000
 #: Distance code of each near place, for the first of WIDTHS.
 NEAR = {webp.distance_of(c, WIDTHS[0]): c for c in range(len(webp.NEAR), 0, -1)}
 
@@ -247,21 +243,17 @@ def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     are, repeated or not; extra columns are ignored.
     """
 
-    def stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, part in batch.groupby(batch["text"].str.len().cumsum() // SLICE, sort=False):
-                raw = [t.encode() for t in part["text"]]
-                place = {b: i for i, b in enumerate(dict.fromkeys(raw))}  # equal texts are coded once
-                files = encode_images([payload_of(b) for b in place])
-                back = [decode_image(f) for f in files]
-                media, read = [files[place[b]] for b in raw], [back[place[b]] for b in raw]
-                rows = {
-                    "doc_id": part["doc_id"].to_numpy(), "n_bytes": [len(b) for b in raw], "payload_bytes": [len(r) for r in read],
-                    "payload_sha256": [hashlib.sha256(r).hexdigest() for r in read], "tail_crc32": [zlib.crc32(r[-32:]) for r in read],
-                    "media_bytes": [len(m) for m in media], "media_sha256": [hashlib.sha256(m).hexdigest() for m in media], "feature": [feature(r) for r in read],
-                }
-                yield pd.DataFrame(rows | ({"media": media} if keep_media else {}))
-
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return texts.mapInPandas(stored, schema + ", media binary" * keep_media)
+    def stored(texts: list[str]) -> dict[str, list]:
+        raw = [t.encode() for t in texts]
+        place = {b: i for i, b in enumerate(dict.fromkeys(raw))}  # equal texts are coded once
+        files = encode_images([payload_of(b) for b in place])
+        back = [decode_image(f) for f in files]
+        media, read = [files[place[b]] for b in raw], [back[place[b]] for b in raw]
+        return {
+            "n_bytes": [len(b) for b in raw], "payload_bytes": [len(r) for r in read],
+            "payload_sha256": [hashlib.sha256(r).hexdigest() for r in read], "tail_crc32": [zlib.crc32(r[-32:]) for r in read],
+            "media_bytes": [len(m) for m in media], "media_sha256": [hashlib.sha256(m).hexdigest() for m in media], "feature": [feature(r) for r in read], "media": media,
+        }
+
+    schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return text_columns(docs, lambda: stored, schema + ", media binary" * keep_media)

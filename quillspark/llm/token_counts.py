@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe
+from quillspark.llm.common import text_columns
 
 #: Fixed value: the pre-token pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,14 +73,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     vocab, ranks, added = bpe.load(path)
     shared = docs.sparkSession.sparkContext.broadcast((prove_whole(vocab, ranks), ranks, list(added)))
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         if path not in _counters:
             _counters.clear()
             _counters[path] = Counter(*shared.value)
         counter = _counters[path]
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": [counter.of(t) for t in batch["text"]]})
+        return lambda texts: {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": [counter.of(t) for t in texts]}
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    out = texts.mapInPandas(counted, "doc_id long, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    return text_columns(docs, begin, "n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, is_held_out, sampled
+from quillspark.llm.common import cut, is_held_out, sampled, text_columns
 
 #: Look-alike letters of other scripts and digits or signs that stand for letters, and what they fold to.
 LOOKALIKES = str.maketrans("абвеёзикмнорстухѕіјԁԛԝαβεικνορτυχ", "abbeeznkmhopctyxsijdqwabeiknoptux")
@@ -116,7 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 8_000, surprise: float
     """
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     told = sampled(told, rows)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(told), "doc_id").dropDuplicates(["text"])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(told), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,10 +176,13 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     as they are; extra columns are ignored.
     """
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         automaton = lexicon.automaton()
-        for batch in batches:
-            found = [evidence(fold(t), automaton) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [e / (e + lexicon.half) for e in found]})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(scored, "doc_id long, score double")
+        def scored(texts: list[str]) -> dict[str, list]:
+            found = [evidence(fold(t), automaton) for t in texts]
+            return {"score": [e / (e + lexicon.half) for e in found]}
+
+        return scored
+
+    return text_columns(docs, begin, "score double")

@@ -6,9 +6,12 @@ import itertools
 import random
 import re
 import unicodedata
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
@@ -307,15 +310,25 @@ def test_chat(spark):
 
 
 def tokenizer(name):
-    tokenizers = pytest.importorskip("tokenizers")
-    public = pytest.importorskip("public_tokenizers")
-    return tokenizers.Tokenizer.from_file(public.path(name)), public.path(name)
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path(name)), public_tokenizers.path(name)
+
+
+def test_ids_beyond_doubles_next_to_null(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    docs = spark.createDataFrame([(i, "some words here") for i in ids], "doc_id long, text string").coalesce(1)
+    found = (
+        media.store_texts(docs), token_counts.count_tokens(docs, tokenizer("byte_bpe_50k.json")[1]), toxicity.score(docs, toxicity.Lexicon({" words ": 1.0})),
+        encoding.encode(docs, tokenizer("word_bpe_49k.json")[1]),
+    )
+    for out in found:
+        assert {r["doc_id"] for r in out.collect()} == set(ids)
 
 
 def test_token_counts(spark, odd, none):
     t, path = tokenizer("byte_bpe_50k.json")
-    want = sorted(str((r["doc_id"], len(t.encode(r["text"] or "", add_special_tokens=False).ids))) for r in odd.collect())
-    assert sorted(str((r["doc_id"], r["n_tokens"])) for r in token_counts.count_tokens(odd, path).collect()) == want
+    sizes = [(r["doc_id"], len((r["text"] or "").encode()), len(t.encode(r["text"] or "", add_special_tokens=False).ids)) for r in odd.collect()]
+    found = token_counts.count_tokens(odd, path).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()
+    assert sorted(str(tuple(r)) for r in found) == sorted(str((*x, x[2] > 512)) for x in sizes)
     assert token_counts.count_tokens(none, path).count() == 0
 
 
@@ -324,7 +337,7 @@ def test_encoding(odd, none):
     for r in encoding.encode(odd, path).collect():
         text = next(x["text"] for x in odd.collect() if x["doc_id"] == r["doc_id"]) or ""
         ids = t.encode(text, add_special_tokens=False).ids
-        assert r["ids"] == ids and r["n_tokens"] == len(ids)
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert encoding.encode(none, path).count() == 0
 
@@ -334,7 +347,11 @@ def test_media(odd, none):
         raw = (next(x["text"] for x in odd.collect() if x["doc_id"] == r["doc_id"]) or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
-        assert r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest()
+        assert r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
+        n, mean, spread, bits, blanks = r["feature"].split(";")
+        shares = [payload.count(b) / len(payload) for b in set(payload)]
+        assert int(n) == len(payload) and abs(float(mean) - sum(payload) / len(payload)) < 1e-3 and abs(float(spread) - np.std(list(payload))) < 1e-3
+        assert abs(float(bits) + sum(p * np.log2(p) for p in shares)) < 1e-3 and abs(float(blanks) - payload.count(32) / len(payload)) < 1e-3
     assert media.store_texts(none).count() == 0
 
 
@@ -599,6 +616,13 @@ def test_exceptions_are_learned(spark):
     assert toxicity.evidence(toxicity.fold("a trash can here"), own) == 0 < toxicity.evidence(toxicity.fold("a trash heap here"), own)
 
 
+def test_a_text_labelled_both_ways_is_toxic(spark):
+    rows = [(i, f"{prose(8, i % 100)} vile") if i % 2 else (i, prose(9, i)) for i in range(600)] + [(1000 + i, f"{prose(8, i % 100)} vile") for i in range(1, 600, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = spark.createDataFrame([(i, int(i % 2 == 1)) if i < 1000 else (i, 0) for i, _ in rows], "doc_id long, toxic int")
+    assert " vile " in toxicity.learn(docs, told).weights
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = labelled(spark)
     lexicon = toxicity.learn(docs, labels)

@@ -99,7 +99,6 @@ def test_mix_stage(spark, folder, docs, rows):
 
 
 def test_encode_stage(spark, folder, docs, rows):
-    pytest.importorskip("public_tokenizers")
     found = corpus_pipeline.encode(spark, docs, folder)
     coder = encoding.Texts(*encoding.bpe.load(vocabulary("word_bpe_49k.json")))
     want = [(r[0], *(lambda n, ids, said: (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest()))(*coder.encode([r[1] or ""])[0])) for r in rows]
@@ -108,7 +107,6 @@ def test_encode_stage(spark, folder, docs, rows):
 
 
 def test_all_stages(spark, folder):
-    pytest.importorskip("public_tokenizers")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "mix", "encode"]
     found = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in found} <= {1, 2} and found  # the lowest of each of two texts; shouting is out
