@@ -144,28 +144,28 @@ WITH RECURSIVE own AS (SELECT doc_id, source, text, CASE WHEN doc_id IS NULL THE
         || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS head FROM documents),
 leaves AS (SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
         sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) AS altered FROM own),
-placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at,
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
         count(*) OVER (PARTITION BY source) AS width FROM leaves),
-up AS (SELECT tree, 0 AS level, at, width, leaf AS d FROM placed
-       UNION ALL SELECT tree, level + 1, at // 16, (any_value(width) + 15) // 16, sha256(string_agg(d, '' ORDER BY at)) FROM up WHERE width > 1 GROUP BY tree, level, at // 16),
+up AS (SELECT tree, 0 AS level, pos, width, leaf AS d FROM placed
+       UNION ALL SELECT tree, level + 1, pos // 16, (any_value(width) + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM up WHERE width > 1 GROUP BY tree, level, pos // 16),
 crcs AS (SELECT DISTINCT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b:
              list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc
          FROM documents WHERE doc_id IS NOT NULL),
 subroots AS (SELECT tree, d AS subroot, count(*) OVER () AS width FROM up WHERE width = 1),
-top AS (SELECT 0 AS level, tree AS at, width, subroot AS d FROM subroots
-        UNION ALL SELECT level + 1, at // 16, (any_value(width) + 15) // 16, sha256(string_agg(d, '' ORDER BY at)) FROM top WHERE width > 1 GROUP BY level, at // 16),
-runs AS (SELECT tree, level, at // 16 AS run, list(d ORDER BY at) AS ds FROM up WHERE width > 1 GROUP BY ALL
-         UNION ALL SELECT -1, level, at // 16, list(d ORDER BY at) FROM top WHERE width > 1 GROUP BY ALL),
-walk AS (SELECT tree AS own, at AS leaf_at, tree, 0 AS level, at, width, '' AS said, CASE WHEN doc_id IS NOT NULL AND crc % 5 = 0 THEN altered ELSE leaf END AS folded, 0 AS steps
+top AS (SELECT 0 AS level, tree AS pos, width, subroot AS d FROM subroots
+        UNION ALL SELECT level + 1, pos // 16, (any_value(width) + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM top WHERE width > 1 GROUP BY level, pos // 16),
+runs AS (SELECT tree, level, pos // 16 AS run, list(d ORDER BY pos) AS ds FROM up WHERE width > 1 GROUP BY ALL
+         UNION ALL SELECT -1, level, pos // 16, list(d ORDER BY pos) FROM top WHERE width > 1 GROUP BY ALL),
+walk AS (SELECT tree AS own, pos AS leaf_at, tree, 0 AS level, pos, width, '' AS said, CASE WHEN doc_id IS NOT NULL AND crc % 5 = 0 THEN altered ELSE leaf END AS folded, 0 AS steps
          FROM (SELECT placed.*, crc FROM placed LEFT JOIN crcs USING (doc_id))
          UNION ALL
-         SELECT own, leaf_at, CASE WHEN w.width = 1 THEN -1 ELSE w.tree END, CASE WHEN w.width = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN w.width = 1 THEN own ELSE at // 16 END,
+         SELECT own, leaf_at, CASE WHEN w.width = 1 THEN -1 ELSE w.tree END, CASE WHEN w.width = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN w.width = 1 THEN own ELSE pos // 16 END,
                 CASE WHEN w.width = 1 THEN (SELECT count(*) FROM subroots) ELSE (w.width + 15) // 16 END,
-                CASE WHEN w.width = 1 THEN said ELSE said || array_to_string(list_filter(ds, lambda x, i: i <> at % 16 + 1), '') END,
-                CASE WHEN w.width = 1 THEN folded ELSE sha256(array_to_string(ds[1:at % 16], '') || folded || array_to_string(ds[at % 16 + 2:], '')) END, steps + 1
-         FROM walk w LEFT JOIN runs r ON r.tree = w.tree AND r.level = w.level AND r.run = w.at // 16 AND w.width > 1 WHERE w.width > 1 OR w.tree >= 0),
-ends AS (SELECT own AS tree, leaf_at AS at, arg_max(said, steps) AS said, arg_max(folded, steps) AS folded_root FROM walk GROUP BY ALL),
+                CASE WHEN w.width = 1 THEN said ELSE said || array_to_string(list_filter(ds, lambda x, i: i <> pos % 16 + 1), '') END,
+                CASE WHEN w.width = 1 THEN folded ELSE sha256(array_to_string(ds[1:pos % 16], '') || folded || array_to_string(ds[pos % 16 + 2:], '')) END, steps + 1
+         FROM walk w LEFT JOIN runs r ON r.tree = w.tree AND r.level = w.level AND r.run = w.pos // 16 AND w.width > 1 WHERE w.width > 1 OR w.tree >= 0),
+ends AS (SELECT own AS tree, leaf_at AS pos, arg_max(said, steps) AS said, arg_max(folded, steps) AS folded_root FROM walk GROUP BY ALL),
 root AS (SELECT d AS root FROM top WHERE width = 1)
 SELECT doc_id, leaf, subroot, root, sha256(said) AS proof_sha256, folded_root, folded_root = root AS verified, source
-FROM placed JOIN ends USING (tree, at) JOIN subroots USING (tree), root
+FROM placed JOIN ends USING (tree, pos) JOIN subroots USING (tree), root
 """
