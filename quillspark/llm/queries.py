@@ -83,6 +83,12 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), ids=False)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.merkle import manifest
 
@@ -98,7 +104,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id, op2_chat_formatting, op3_media_columns, op4_jaccard_join, op5_source_mixing, op6_quality_classifier, op7_token_counts, op8_toxicity,
-        op9_document_fingerprints, op10_bpe_encoding, op12_merkle_manifest, op13_source_divergence,
+        op9_document_fingerprints, op10_bpe_encoding, op11_suffix_dedup, op12_merkle_manifest, op13_source_divergence,
     )
     return {f.__name__: f for f in found}
 
