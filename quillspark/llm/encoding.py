@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +21,8 @@ from quillspark.llm.common import text_columns
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 #: Most words and pairs that a Python worker remembers; beyond it, it starts anew. Results don't depend on it.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
+BLANK = pa.scalar(" ", pa.large_string())
 
 
 def normalize(text: str) -> str:
@@ -126,20 +131,22 @@ class Texts:
         """(number of tokens, ids joined by spaces, decoded text) of each. Without a decoder of its own, the file's tokens
         are joined by spaces when decoded."""
         cut = [self.cut(t) for t in texts]
-        self.learn(set().union(*cut) if cut else set())
-        get = self.known.__getitem__
-        out = []
-        for words in cut:
-            found = list(map(get, words))
-            counts, ids, tokens = zip(*found) if found else ((), (), ())
-            out.append((sum(counts), " ".join(ids), " ".join(tokens)))
-        return out
+        sizes = np.array([len(w) for w in cut], np.int64)
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        words = pa.array(list(itertools.chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        self.learn(set(distinct))
+        found = [self.known[w] for w in distinct]
+        at = words.indices
+        counts = np.concatenate(([0], np.cumsum(np.array([n for n, _, _ in found], np.int64)[at.to_numpy()] if found else [0])))
+        told = [pc.binary_join(pa.LargeListArray.from_arrays(upto, pa.array([f[k] for f in found], pa.large_string()).take(at)), BLANK).to_pylist() for k in (1, 2)]
+        return list(zip((counts[upto[1:]] - counts[upto[:-1]]).tolist(), *told))
 
 
 _texts: dict[str, Texts] = {}
 
 
-def encode(docs: DataFrame, path: str, ids: bool = True, batch_chars: int = 2_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, ids: bool = True, batch_chars: int = 6_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ids, the token ids of every whole text.
 
     path: a word-end BPE file of the tokenizers library, read on the driver; its tables, bounded by the vocabulary, go to
