@@ -21,29 +21,34 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SLICE, cut
+from quillspark.llm.common import cut
 from quillspark.llm.shingles import BASE, mixed
 from quillspark.llm.suffixes import suffix_array
 
 #: Bytes of the grams that deal windows, of those that cut stretches into phrases, and of a phrase, about.
 GRAM, HEAD, PHRASE = 96, 16, 32
+#: Bytes of texts that a worker deals together, and of which it hashes the grams at once; rows that it turns to objects.
+PART, CHUNK, ROWS = 1_000_000, 1 << 18, 256
 #: Bytes of stretches in a task, about, and stretches of one gram that are compared there. Windows of a gram with more are
 #: counted one by one instead.
-TASK_BYTES, CROWD = 4_000_000, 8192
+TASK_BYTES, CROWD = 2_000_000, 8192
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
     back = pow(BASE, -1, 1 << 64)
-    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, b, np.uint64)))) for b in (BASE, back))
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(CHUNK + 2 * GRAM, b, np.uint64)))) for b in (BASE, back))
 
 
 def gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of all k neighbouring bytes."""
-    up, down = _powers(1 << max(22, (len(buf) + 1).bit_length()))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)])))
-    return mixed((total[k:] - total[:-k]) * down[: len(total) - k])
+    (up, down), out = _powers(), np.empty(max(0, len(buf) - k + 1), np.uint64)
+    for lo in range(0, len(out), CHUNK):
+        part = buf[lo : lo + CHUNK + k - 1]
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])))
+        out[lo : lo + CHUNK] = mixed((total[k:] - total[:-k]) * down[: len(total) - k])
+    return out
 
 
 def lowest(values: np.ndarray, w: int) -> np.ndarray:
@@ -164,12 +169,18 @@ def _spans(values: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"a": a, "b": b} for a, b in v] for v in values], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, len(batch), ROWS):
+            yield batch.slice(lo, ROWS)
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, a number of the row, and the compressed text of each row, written: texts move three times."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "packed"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_raw"))
@@ -193,13 +204,13 @@ def _dealt(base: DataFrame, length: int, gram: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.int64())], ["row", "first", "last", "head", "gram", "content"])
 
         size = 0
-        for batch in batches:
+        for batch in _slices(batches):
             for row, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = unpack.decompress(packed)
-                for a in range(0, len(text) - length + 1, SLICE):  # very long texts go in parts whose windows don't overlap
-                    held.append((row, a, text[a : a + SLICE + length - 1]))
+                for a in range(0, len(text) - length + 1, PART):  # very long texts go in parts whose windows don't overlap
+                    held.append((row, a, text[a : a + PART + length - 1]))
                     size += len(held[-1][2])
-                    if size >= SLICE:
+                    if size >= PART:
                         yield told()
                         held, size = [], 0
         if held:
@@ -213,11 +224,11 @@ def _texts_of(base: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _slices(batches):
             for packed, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = unpack.decompress(packed)
-                for a in range(0, len(marks), 4096):
-                    part = marks[a : a + 4096]
+                for a in range(0, len(marks), 1024):
+                    part = marks[a : a + 1024]
                     names = ("gram", "content", "head", "n")
                     yield pa.RecordBatch.from_arrays(
                         [*[pa.array([m[c] for m in part], pa.int32() if c == "head" else pa.int64()) for c in names], pa.array([text[m["first"] : m["last"] + length] for m in part], pa.binary())],
@@ -291,7 +302,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False,
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for packed, found in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist()):
                 text, parts, removed, runs, stop = unpack.decompress(packed), [], 0, 0, -1

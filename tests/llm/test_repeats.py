@@ -23,6 +23,18 @@ def test_suffix_array():
         assert suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:])
 
 
+def test_gram_hashes_of_equal_grams(monkeypatch):
+    r = random.Random(3)
+    raw = bytes(r.choice(b"abc") for _ in range(5000))
+    for chunk in (7, 1000, 1 << 18):
+        monkeypatch.setattr(repeats, "CHUNK", chunk)
+        repeats._powers.cache_clear()
+        for k in (3, 16):
+            h = repeats.gram_hashes(np.frombuffer(raw, np.uint8), k).tolist()
+            assert len(h) == len(raw) - k + 1 and len(set(h)) == len({raw[i : i + k] for i in range(len(h))}) == len(set(zip(h, (raw[i : i + k] for i in range(len(h))))))
+    repeats._powers.cache_clear()
+
+
 def marked(strings, length):
     seen = Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
     return [[seen[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s in strings]
@@ -98,7 +110,7 @@ def test_remove_repeats(spark, limits):
 
 
 def test_parts_of_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "SLICE", 1000)
+    monkeypatch.setattr(repeats, "PART", 1000)
     rows = odd_rows()
     assert sorted(str(tuple(x)) for x in repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()) == plain(rows)
 
