@@ -1,76 +1,266 @@
-"""The search index: postings, lengths and totals of passages, written once per corpus and read by every search."""
+"""The search index: segments of postings that ingest adds, and commits that name those in force.
+
+A segment holds the postings of one batch of works and never changes. A work that lands again or goes leaves a tombstone for
+the segments that hold it; a merge writes the living postings of several segments as one. Each of these publishes a manifest
+with the segments, the tombstones and the totals that scores take, and a search keeps to the manifest it has resolved.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.stems import Terms
+from quillspark.sources.versioned import Conflict, Manifests
+
 WORDS = r"[\p{L}\p{N}]+"
+POSTINGS = "term string, id long, work string, tf int, dl int, places array<int>, segment string"
+WORKS = "work string, n long, said long, words long, segment string"
+TOMBS = "work string, segment string"
+#: Segments at which an index that ingest adds to is merged.
+MANY = 16
+
+
+def terms_of(text: Column) -> Column:
+    """Plain words in small letters, for counts that need no folding."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), 0)
+
+
+def posted(texts: DataFrame, segment: str) -> DataFrame:
+    """Postings of (id, work, text): one row for each term of a text, with its places. Texts are taken apart, folded, stemmed
+    and counted within their row, so that only these rows move; a worker stems each distinct word once."""
+
+    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms()
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                found: dict[str, list] = {"term": [], "id": [], "work": [], "tf": [], "dl": [], "places": []}
+                for i, work, text in zip(*(c.to_pylist() for c in part.columns)):
+                    places: dict[str, list[int]] = {}
+                    words = terms.of(text or "")
+                    for at, term in enumerate(words):
+                        places.setdefault(term, []).append(at)
+                    found["term"] += places
+                    found["id"] += [i] * len(places)
+                    found["work"] += [work] * len(places)
+                    found["dl"] += [len(words)] * len(places)
+                    found["places"] += places.values()
+                found["tf"] = list(map(len, found["places"]))
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(found[k], kind) for k, kind in zip(found, kinds)], list(found))
+
+    rows = texts.select(F.col("id").cast("long").alias("id"), F.col("work").cast("string").alias("work"), "text")
+    return rows.mapInArrow(take_apart, POSTINGS.removesuffix(", segment string")).withColumn("segment", F.lit(segment))
 
 
 @dataclass(frozen=True)
-class Index:
-    """Folders of the tables. postings: term, id, tf, dl (the passage's length), sorted by term within files that hold
-    ranges of terms, so that a search reads the row groups of its terms and nothing else. totals: n, avgdl (one row)."""
+class View:
+    """An index at one commit."""
 
+    spark: SparkSession
     path: str
+    commit: dict
 
-    def read(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{name}")
+    def segments(self) -> list[str]:
+        return self.commit.get("segments", [])
 
+    def table(self, name: str, schema: str) -> DataFrame:
+        paths = [f"{self.path}/segments/{s}/{name}" for s in self.segments()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-def terms_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), 0)
+    def tombs(self) -> DataFrame:
+        paths = [f"{self.path}/tombs/{t}" for t in self.commit.get("tombs", [])]
+        return self.spark.read.schema(TOMBS).parquet(*paths) if paths else self.spark.createDataFrame([], TOMBS)
+
+    def _living(self, rows: DataFrame) -> DataFrame:
+        if not self.commit.get("tombs"):
+            return rows
+        dead = rows["work"].eqNullSafe(F.col("_work")) & (rows["segment"] == F.col("_segment"))
+        return rows.join(self.tombs().select(F.col("work").alias("_work"), F.col("segment").alias("_segment")), dead, "left_anti")
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """Living postings, of these terms alone if given: the filter reaches the scan."""
+        rows = self.table("postings", POSTINGS)
+        return self._living(rows if terms is None else rows.where(F.col("term").isin(terms)))
+
+    def works(self) -> DataFrame:
+        return self._living(self.table("works", WORKS))
+
+    def totals(self) -> tuple[int, float]:
+        """Number of passages, and mean number of words of those with a text."""
+        n, said, words = (self.commit.get("totals") or {}).get("sums", (0, 0, 0))
+        return n, words / said if said else 0.0
+
+
+class Index:
+    """The index of a folder."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self.manifests = Manifests(spark, path)
+
+    def view(self, number: int | None = None) -> View:
+        return View(self.spark, self.path, self.manifests.at(self.manifests.latest() if number is None else number))
 
+    def _committed(self, commit: dict) -> dict:
+        """commit with its totals, summed over works, of which there are far fewer than passages."""
+        sums = View(self.spark, self.path, commit).works().agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "said", "words")]).first()
+        return commit | {"totals": {"sums": list(sums)}}
 
-def write_index(texts: DataFrame, path: str) -> Index:
-    """Write the index of (id, text); each text is taken apart once, and its words are counted within its row, so that only
-    one row for each term of a text moves. The last table written, totals, marks the index as complete."""
-    index = Index(path)
-    tokens = texts.select("id", terms_of(F.col("text")).alias("w")).withColumn("dl", F.coalesce(F.size("w"), F.lit(0)).cast("long"))
-    words = tokens.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
-    words.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
-    size = texts.agg(F.count("*").alias("n"), F.count("text").alias("said"))
-    total = index.read(texts.sparkSession, "postings").agg(F.sum("tf").alias("words")).select(F.coalesce("words", F.lit(0)).alias("words")).first()[0]
-    size.select("n", F.coalesce(F.try_divide(F.lit(total), "said"), F.lit(0.0)).alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-    return index
+    def _write(self, postings: DataFrame, segment: str) -> DataFrame:
+        """Postings sorted by term, in files that hold ranges of terms: a search reads the row groups of its terms alone."""
+        path = f"{self.path}/segments/{segment}/postings"
+        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", 8 << 20).parquet(path)
+        return self.spark.read.schema(POSTINGS).parquet(path)
 
+    def _buried(self, view: View, works: DataFrame) -> str | None:
+        """Tombstones for the living works that are named, as a new folder; None if none of them lives."""
+        named = works.select(F.col("work").cast("string").alias("_named")).distinct()
+        living = view.works().join(named, F.col("work").eqNullSafe(F.col("_named")), "left_semi").select("work", "segment")
+        name = str(uuid.uuid4())
+        living.write.parquet(f"{self.path}/tombs/{name}")
+        return name if self.spark.read.schema(TOMBS).parquet(f"{self.path}/tombs/{name}").limit(1).count() else None
 
-def index_of(spark: SparkSession, folder: str, texts: DataFrame) -> Index:
-    """The index of a folder's passages, written to the session's shared folder (spark.checkpoint.dir, or the warehouse)
-    the first time that a session asks for it."""
+    def add(self, texts: DataFrame, stream: str = "", batch: int | None = None) -> int:
+        """Add the passages (id, work, text) of a batch of works; works that are there already are replaced.
+
+        A null text is a passage without words, and a null work one like any other. With a batch number, a batch of the
+        stream that has been added before is left out, so that one that runs again changes nothing. Returns the commit.
+        """
+        done = lambda now: batch is not None and now.get("streams", {}).get(stream, -1) >= batch
+        if done(self.view().commit):
+            return self.manifests.latest()
+        segment = str(uuid.uuid4())
+        rows = texts.select(F.col("id").cast("long").alias("id"), F.col("work").cast("string").alias("work"), "text")
+        words = self._write(posted(rows, segment), segment).groupBy("work").agg(F.sum("tf").alias("words"))
+        sizes = rows.groupBy("work").agg(F.count("*").alias("n"), F.count("text").alias("said"))
+        works = sizes.join(words.select(F.col("work").alias("_work"), "words"), F.col("work").eqNullSafe(F.col("_work")), "left")
+        works.select("work", "n", "said", F.coalesce("words", F.lit(0).cast("long")).alias("words"), F.lit(segment).alias("segment")).write.parquet(f"{self.path}/segments/{segment}/works")
+        added = self.spark.read.schema(WORKS).parquet(f"{self.path}/segments/{segment}/works")
+
+        def change(now: dict) -> dict | None:
+            if done(now):
+                return None
+            tomb = self._buried(View(self.spark, self.path, now), added) if now.get("segments") else None
+            commit = now | {"segments": [*now.get("segments", []), segment], "tombs": [*now.get("tombs", []), *([tomb] if tomb else [])]}
+            if batch is not None:
+                commit["streams"] = now.get("streams", {}) | {stream: batch}
+            return self._committed(commit)
+
+        return self.manifests.commit(change)
+
+    def remove(self, works: DataFrame) -> int:
+        """Take the named works (work) out of all segments."""
+
+        def change(now: dict) -> dict | None:
+            tomb = self._buried(View(self.spark, self.path, now), works)
+            return self._committed(now | {"tombs": [*now.get("tombs", []), tomb]}) if tomb else None
+
+        return self.manifests.commit(change)
+
+    def merge(self, least: int = 2) -> int:
+        """Write the living postings of all segments as one, if there are so many; tombstones go with what they named. Where a
+        work of theirs was replaced meanwhile, the merge is done again."""
+        for _ in range(10):
+            number = self.manifests.latest()
+            before = self.manifests.at(number)
+            if len(before.get("segments", [])) < least:
+                return number
+            view, segment = View(self.spark, self.path, before), str(uuid.uuid4())
+            self._write(view.postings().withColumn("segment", F.lit(segment)), segment)
+            view.works().withColumn("segment", F.lit(segment)).write.parquet(f"{self.path}/segments/{segment}/works")
+            moved = False
+
+            def change(now: dict) -> dict | None:
+                nonlocal moved
+                moved = now.get("tombs") != before.get("tombs") or not set(before["segments"]) <= set(now["segments"])
+                if moved:
+                    return None
+                rest = [s for s in now["segments"] if s not in before["segments"]]
+                return self._committed(now | {"segments": [segment, *rest], "tombs": []})
+
+            number = self.manifests.commit(change)
+            if not moved:
+                return number
+        raise Conflict(self.path)
+
+
+def index_for(spark: SparkSession, texts: DataFrame) -> View:
+    """The index of passages that no ingest has indexed: written once for the state of the files they come from, and found
+    again by any session that has the same shared folder (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    key = spark.sparkContext.applicationId, folder
-    if key not in _written:
-        _written[key] = write_index(texts, f"{base}/index-{uuid.uuid4()}")
-    return _written[key]
+    jvm, state = spark.sparkContext._jvm, hashlib.sha256()
+    for name in sorted(texts.inputFiles()):
+        file = jvm.org.apache.hadoop.fs.Path(name)
+        status = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(file)
+        state.update(f"{name}\n{status.getLen()}\n{status.getModificationTime()}\n".encode())
+    index = Index(spark, f"{base}/index-{state.hexdigest()[:32]}")
+    if not index.manifests.latest():
+        index.add(texts, batch=0)  # whoever comes second adds nothing
+    return index.view()
 
 
-_written: dict[tuple[str, str], Index] = {}
+def phrases(words: list[str], most: int = 96) -> Counter:
+    """Phrases (terms in a row) of a request's words, and how often each counts: split at blanks, without the signs of query
+    languages, longer than two letters, the first `most`, each spelling once."""
+    parts = [t for w in words for t in w.split()]
+    bare = [t.translate({ord(c): None for c in '"*()^:-'}).strip() for t in parts]
+    own = Terms()
+    said = (tuple(own.of(t)) for t in dict.fromkeys([t for t in bare if len(t) > 2][:most]))
+    return Counter(p for p in said if p)
+
+
+def occurrences(view: View, wanted: list[tuple[str, ...]]) -> DataFrame:
+    """phrase (its number), id, tf, dl of the passages that hold a phrase: its terms at neighbouring places."""
+    hits = view.postings(sorted({t for p in wanted for t in p}))
+    alone = {p[0]: n for n, p in enumerate(wanted) if len(p) == 1}
+    number = F.lit(None).cast("int")
+    for term, n in alone.items():
+        number = F.when(F.col("term") == term, F.lit(n)).otherwise(number)
+    found = hits.select(number.alias("phrase"), "id", "tf", "dl").where("phrase is not null")
+    longer = {n: p for n, p in enumerate(wanted) if len(p) > 1}
+    if longer:
+        parts = hits.where(F.col("term").isin(sorted({t for p in longer.values() for t in p})))
+        # A passage has a row for each of the request's terms at most.
+        by = parts.groupBy("id", "segment").agg(F.max("dl").alias("dl"), F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
+        none = F.array().cast("array<int>")
+
+        def times(phrase: tuple[str, ...]) -> Column:
+            at = [F.coalesce(F.try_element_at("at", F.lit(t)), none) for t in phrase]
+            starts = at[0]
+            for k, here in enumerate(at[1:], 1):
+                starts = F.array_intersect(starts, F.transform(here, lambda x, k=k: x - k))
+            return F.size(starts)
 
+        told = by.select("id", "dl", F.explode(F.array(*[F.struct(F.lit(n).alias("phrase"), times(p).alias("tf")) for n, p in longer.items()])).alias("x"))
+        found = found.unionByName(told.select("x.phrase", "id", "x.tf", "dl").where("tf > 0"))
+    return found
 
-def bm25(spark: SparkSession, index: Index, terms: list[str], allowed: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id and score of the passages that hold a term; allowed: ids that may be found.
+
+def bm25(view: View, wanted: Counter, allowed: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """id and score of the passages that hold a phrase; allowed: ids that may be found.
 
     Statistics are those of all passages, whatever is allowed, so that a filter doesn't change a passage's score. The term
-    filter reaches the scan of the postings, which hold all that a score takes.
+    filter reaches the scan of the postings, which hold all that a score takes. A phrase that two spellings of the request
+    share counts twice.
     """
-    n, avgdl = index.read(spark, "totals").first()
-    hits = index.read(spark, "postings").where(F.col("term").isin(terms))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row for each term of the request
+    n, avgdl = view.totals()
+    order = sorted(wanted)
+    if not order:
+        return view.spark.createDataFrame([], "id long, score double")
+    hits = occurrences(view, order)
+    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))  # one row for each phrase of the request
     if allowed is not None:
         hits = hits.join(allowed, "id", "left_semi")
+    times = F.element_at(F.create_map(*[F.lit(x) for i, p in enumerate(order) for x in (i, wanted[p])]), F.col("phrase"))
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    return hits.join(F.broadcast(df), "term").groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def query_terms(words: list[str], most: int = 96) -> list[str]:
-    """Terms of a request's words: split at blanks, without the signs of query languages, longer than two letters, the first
-    `most`, each once."""
-    parts = [t for w in words for t in w.split()]
-    bare = [t.translate({ord(c): None for c in '"*()^:-'}).strip() for t in parts]
-    return list(dict.fromkeys([t for t in bare if len(t) > 2][:most]))
+    part = times * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    return hits.join(F.broadcast(df), "phrase").groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))

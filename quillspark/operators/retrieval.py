@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import dedupe_key
 from quillspark.operators.index import terms_of
 
-#: Query vectors of one request at most: they go to every task.
-MOST_QUERIES = 50_000
-#: Rows of vectors that are multiplied at once; bounds a worker's memory.
-ROWS = 20_000
+#: Query vectors that go along to every task; of more, blocks of so many meet blocks of so many vectors.
+BLOCK = 16_384
+#: Rows of vectors, and columns of queries, that are multiplied at once; they bound a worker's memory.
+ROWS, COLUMNS = 20_000, 256
+#: Distances have six digits.
+UNIT, FAR = 1_000_000, 1 << 40
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -35,44 +37,93 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def nearest(passages: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None, apart: tuple[str, ...] = (), alike: tuple[str, ...] = ()) -> DataFrame:
+class Nearest:
+    """The k nearest vectors of each of some queries among all that were shown: a bounded heap for each query, kept as columns.
+
+    Two of them merge by showing one what the other one holds. Ties go by id.
+    """
+
+    def __init__(self, numbers: np.ndarray, wanted: np.ndarray, labels: list[np.ndarray], apart: int, k: int) -> None:
+        self.numbers, self.wanted, self.labels, self.apart, self.k = numbers, wanted, labels, apart, k
+        self.d = np.full((0, len(numbers)), FAR, np.int64)
+        self.ids = np.zeros((0, len(numbers)), np.int64)
+
+    def show(self, ids: np.ndarray, v: np.ndarray, labels: list[np.ndarray]) -> None:
+        """Vectors, whose first `apart` labels must differ from a query's, and whose others must be equal to its."""
+        order = np.argsort(ids, kind="stable")  # ties then go by place
+        ids, v, labels = ids[order], v[order], [x[order] for x in labels]
+        held_d, held_ids = [], []
+        for lo in range(0, len(self.numbers), COLUMNS):
+            at = slice(lo, lo + COLUMNS)
+            d = np.rint((1 - v @ self.wanted[at].T) * UNIT).astype(np.int64)
+            for i, (mine, theirs) in enumerate(zip(labels, self.labels)):
+                d[(mine[:, None] == theirs[None, at]) == (i < self.apart)] = FAR
+            best = np.argpartition(d * len(ids) + np.arange(len(ids))[:, None], self.k - 1, axis=0)[: self.k] if len(ids) > self.k else np.tile(np.arange(len(ids))[:, None], (1, d.shape[1]))
+            both_d, both_ids = np.vstack((self.d[:, at], np.take_along_axis(d, best, 0))), np.vstack((self.ids[:, at], ids[best]))
+            first = np.lexsort((both_ids, both_d), axis=0)[: self.k]
+            held_d.append(np.take_along_axis(both_d, first, 0))
+            held_ids.append(np.take_along_axis(both_ids, first, 0))
+        self.d, self.ids = np.hstack(held_d), np.hstack(held_ids)
+
+    def found(self) -> pa.RecordBatch:
+        some = self.d < FAR
+        q = np.broadcast_to(self.numbers, self.d.shape)[some]
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(self.ids[some], pa.int64()), pa.array(self.d[some] / UNIT, pa.float64())], ["q", "id", "d"])
+
+
+def _shown(own: Nearest, part: pa.Table | pa.RecordBatch, labels: tuple[str, ...]) -> None:
+    for at in range(0, part.num_rows, ROWS):
+        piece = part.slice(at, ROWS)
+        own.show(piece.column("id").to_numpy(zero_copy_only=False) if isinstance(part, pa.RecordBatch) else piece.column("id").to_numpy(), _vectors(piece.column("v")), [np.array(piece.column(c).to_pylist()) for c in labels])
+
+
+def _asked(table: pa.Table, labels: tuple[str, ...], apart: int, k: int) -> Nearest:
+    return Nearest(np.array(table["q"].to_pylist(), np.int64), _vectors(table["qv"]), [np.array(table[f"q_{c}"].to_pylist()) for c in labels], apart, k)
+
+
+def nearest(passages: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None, apart: tuple[str, ...] = (), alike: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """q, id, d, rank (from 0) of the k nearest of (id, v) to each of the query vectors (q, qv), by cosine distance.
 
-    Exact: the filter comes first, one pass serves all queries. Vectors meet them as a matrix product over batches, and each
-    batch gives its k nearest of each query alone; ties go by id. The queries, a request's or a block of them, are
-    MOST_QUERIES at most. Columns `apart` of both sides must differ, columns `alike` be equal (with q_ before their names
-    on the side of the queries).
+    Exact, for any number of queries; the filter comes first, null vectors are left out, ties go by id. Columns `apart` of
+    both sides must differ, columns `alike` be equal (with q_ before their names on the side of the queries).
+
+    Up to `block` queries go along to every task, which reads its vectors once, as matrix products over batches, and hands on
+    k rows for each query. More queries are dealt to blocks, vectors too, and each pair of blocks meets in one task, which
+    again hands on k rows for each of its queries.
     """
-    both = [*apart, *alike]
-    rows = passages.where(allowed) if allowed is not None else passages
-    rows = rows.select("id", "v", *both)
-    told = queries.select("q", "qv", *[f"q_{c}" for c in both]).limit(MOST_QUERIES + 1).toArrow()
-    if len(told) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query vectors at once")
-    numbers, other = np.array(told["q"].to_pylist(), np.int64), [np.array(told[f"q_{c}"].to_pylist()) for c in both]
-    wanted = _vectors(told["qv"]).T if len(told) else None
-
-    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch) if wanted is not None else 0, ROWS):
-                part = batch.slice(at, ROWS)
-                ids, v = part.column(0).to_numpy(zero_copy_only=False), _vectors(part.column(1))
-                own = [np.array(part.column(2 + i).to_pylist()) for i in range(len(both))]
-                for lo in range(0, len(numbers), 256):
-                    d = np.round(1 - v @ wanted[:, lo : lo + 256], 6) + 0.0
-                    for i, (mine, theirs) in enumerate(zip(own, other)):
-                        d[(mine[:, None] == theirs[None, lo : lo + 256]) == (i < len(apart))] = np.inf
-                    out = []
-                    for j in range(d.shape[1]):
-                        col = d[:, j]
-                        near = np.arange(len(col)) if len(col) <= k else np.flatnonzero(col <= np.partition(col, k - 1)[k - 1])
-                        near = near[np.lexsort((ids[near], col[near]))][:k]
-                        near = near[col[near] < np.inf]
-                        out.append((np.full(len(near), numbers[lo + j]), ids[near], col[near]))
-                    q, i, x = (np.concatenate(c) for c in zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(x, pa.float64())], ["q", "id", "d"])
-
-    return ranked(rows.mapInArrow(multiplied, "q long, id long, d double"), ["d", "id"], ["q"], k)
+    both = (*apart, *alike)
+    rows = (passages.where(allowed) if allowed is not None else passages).select("id", "v", *both).where("v IS NOT NULL")
+    asked = queries.select("q", "qv", *[f"q_{c}" for c in both]).where("qv IS NOT NULL")
+    schema = "q long, id long, d double"
+    few = asked.limit(block + 1).toArrow()
+    if few.num_rows <= block:
+        shared = passages.sparkSession.sparkContext.broadcast(few)
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = _asked(shared.value, both, len(apart), k) if shared.value.num_rows else None
+            for batch in batches:
+                if own:
+                    _shown(own, batch, both)
+            if own:
+                yield own.found()
+
+        return ranked(rows.mapInArrow(task, schema), ["d", "id"], ["q"], k)
+    across, down = math.ceil(asked.count() / block), max(1, math.ceil(rows.count() / (4 * block)))
+
+    def cell(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        own = _asked(theirs, both, len(apart), k) if theirs.num_rows else None
+        if own and mine.num_rows:
+            _shown(own, mine, both)
+            return pa.Table.from_batches([own.found()])
+        return pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+
+    def everywhere(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    grid = rows.withColumn("_down", F.pmod(F.xxhash64("id"), F.lit(down)).cast("int")).withColumn("_across", everywhere(across))
+    asked = asked.withColumn("_across", F.pmod(F.xxhash64("q"), F.lit(across)).cast("int")).withColumn("_down", everywhere(down))
+    met = grid.groupBy("_down", "_across").cogroup(asked.groupBy("_down", "_across")).applyInArrow(cell, schema)
+    return ranked(met, ["d", "id"], ["q"], k)
 
 
 def ranked(rows: DataFrame, order: list, by: list[str] | None = None, k: int | None = None) -> DataFrame:

@@ -22,12 +22,13 @@ SEEN, BATCH = 1400, 16
 
 @dataclass
 class Corpus:
-    """passages: id, text, work, title, author, lang, front (no text of the work), complete (its work is published) and what
-    selections name. vectors: id, v. index: that of the passages."""
+    """passages: id, text, work, title, author, lang, front (no text of the work) and what selections name. vectors: id, v.
+    index: that of the passages. complete: work of the published works."""
 
     passages: DataFrame
     vectors: DataFrame
-    index: I.Index
+    index: I.View
+    complete: DataFrame
 
 
 def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
@@ -44,19 +45,19 @@ def named_works(passages: DataFrame, mentions: list[str], most: int = WORKS) ->
     return passages.where(named).select("work").distinct().orderBy("work").limit(most)
 
 
-def branches(corpus: Corpus, queries: DataFrame, terms: list[str], mentions: list[str], selection: Column) -> DataFrame:
+def branches(corpus: Corpus, queries: DataFrame, words: list[str], mentions: list[str], selection: Column) -> DataFrame:
     """branch_no, branch, id, rank of all branches. Each looks at selected passages of works' own texts alone, the keyword
     branch at those of complete works."""
     allowed = corpus.passages.where(selection & ~F.col("front"))
     vectors = corpus.vectors.join(allowed.select("id"), "id", "left_semi")
     near = R.nearest(vectors, queries, HITS).select(F.col("q").alias("branch_no"), F.lit("vector").alias("branch"), "id", "rank")
     n = (queries.agg(F.max("q")).first()[0] or 0) + 1
-    score = I.bm25(corpus.passages.sparkSession, corpus.index, terms, allowed.where("complete").select("id"))
-    words = R.top(score, [F.desc("score"), "id"], HITS).select(F.lit(n).cast("long").alias("branch_no"), F.lit("keyword").alias("branch"), "id", "rank")
+    score = I.bm25(corpus.index, I.phrases(words), allowed.join(if_small(corpus.complete), "work", "left_semi").select("id"))
+    said = R.top(score, [F.desc("score"), "id"], HITS).select(F.lit(n).cast("long").alias("branch_no"), F.lit("keyword").alias("branch"), "id", "rank")
     of_them = allowed.join(named_works(corpus.passages, mentions), "work", "left_semi").select("id")
     named = R.nearest_to_any(corpus.vectors.join(of_them, "id", "left_semi"), queries, HITS)
     named = named.select(F.lit(n + 1).cast("long").alias("branch_no"), F.lit("mention").alias("branch"), "id", "rank")
-    return near.unionByName(words).unionByName(named)
+    return near.unionByName(said).unionByName(named)
 
 
 def candidates(corpus: Corpus, found: DataFrame, pool: int = 192) -> DataFrame:

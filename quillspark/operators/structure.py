@@ -1,13 +1,20 @@
-"""The structure of works: paragraphs with their offsets, real headings, front matter, scripture, and chunks by it."""
+"""The structure of works: paragraphs with their offsets, real headings, front matter, scripture, and chunks by it.
+
+Each work stays in its row. Columns tell of each of its paragraphs what kind of line it is; what depends on the order of a
+work's paragraphs is worked out from these marks where the row is, so that nothing is shuffled and no id need be unique.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import headings as H
 
@@ -15,159 +22,227 @@ from quillspark.functions import headings as H
 ENOUGH, TARGET, HARD, LEAST = 900, 1400, 1800, 120
 #: Headings in a row that are a table of contents; headings that make a structure; verses of a scripture.
 CONTENTS, STRUCTURE, VERSES = 3, 3, 500
-_sentence = re.compile(r"(?<=[.!?])\s+(?=[A-ZÅÄÖÜÉÈÀÇ“\"'(«])")
+#: Fixed value: what a sentence begins with.
+OPENING = "A-ZÅÄÖÜÉÈÀÇ“\"'(«"
+BLANKS = " \t\n\x0b\f\r"
+GAP = rf"\n[{BLANKS}]*\n"
+_gap, _sentence = re.compile(GAP), re.compile(rf"(?<=[.!?])\s+(?=[{OPENING}])")
 
 
-def paragraphs(works: DataFrame) -> DataFrame:
-    """work_id, lang, i (from 0), start, end, text of the trimmed paragraphs of (work_id, lang, text); blank lines end one.
+def marks(text: Column, lang: Column) -> Column:
+    """What the paragraphs of a text, empty ones included, are taken by themselves: an array of structs.
 
-    Offsets are the sums of what stands before, so that start and end cut the paragraph out of the text. Null texts have none.
-    """
-    gap = r"\n\s*\n"
-    parts = F.arrays_zip(F.split("text", gap).alias("part"), F.regexp_extract_all("text", F.lit(gap), 0).alias("gap"))
-    rows = works.where("text is not null").select("work_id", "lang", F.posexplode(parts).alias("n", "x")).select("work_id", "lang", "n", F.col("x.part").alias("part"), F.col("x.gap").alias("gap"))
-    before = Window.partitionBy("work_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("part") + F.coalesce(F.length("gap"), F.lit(0))).over(before), F.lit(0))
-    lead = F.length("part") - F.length(F.regexp_replace("part", r"^\s+", ""))
-    rows = rows.select("work_id", "lang", "n", (at + lead).alias("start"), F.regexp_replace("part", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
-    i = (F.row_number().over(Window.partitionBy("work_id").orderBy("n")) - 1).cast("long")
-    return rows.select("work_id", "lang", i.alias("i"), F.col("start").cast("long").alias("start"), (F.col("start") + F.length("text")).cast("long").alias("end"), "text")
-
-
-def marked(paras: DataFrame) -> DataFrame:
-    """paras with heading (a real one: three or more candidates in a row are a table of contents), locator (the last heading
-    before, written for references) and front (outside the work's own text).
-
-    The own text goes from the first heading of a part to the last; behind it only what stands under apparatus is front
-    matter. A work without headings of parts has as front matter what stands under apparatus before its last other heading.
+    candidate, body, apparatus, name: a line that may be a heading, its kinds, and its name in references. verse: the chapter
+    of a numbered verse. Of works with enough verses also first (verse 1:1), divider, title and book.
     """
-    work, order = Window.partitionBy("work_id"), Window.partitionBy("work_id").orderBy("i")
-    rows = paras.withColumn("_c", H.looks_like_heading(F.col("text"), F.col("lang")))
-    rows = rows.withColumn("_run", F.sum((~F.col("_c")).cast("int")).over(order))
-    size = F.count_if("_c").over(Window.partitionBy("work_id", "_run"))
-    rows = rows.withColumn("heading", F.col("_c") & (size < CONTENTS))
-    line = H.one_line(F.col("text"))
-    rows = rows.withColumns({"_body": F.col("heading") & H.mentions(line, F.col("lang"), H.BODY), "_apparatus": H.mentions(line, F.col("lang"), H.APPARATUS)})
-    part, own = F.when(F.col("_body") & ~F.col("_apparatus"), F.col("i")), F.when(F.col("heading") & ~F.col("_apparatus"), F.col("i"))
-    carried = F.last(F.when(F.col("heading"), F.struct(H.heading_name(F.col("text")).alias("name"), F.col("_apparatus").alias("a"))), ignorenulls=True).over(order)
-    rows = rows.withColumns({"_first": F.min(part).over(work), "_last": F.max(part).over(work), "_own": F.max(own).over(work), "_n": F.count_if("heading").over(work), "_at": carried})
-    under = F.coalesce(F.col("_at.a"), F.lit(False))
-    without = under & F.coalesce(F.col("i") < F.col("_own"), F.lit(False))
-    inside = (F.col("i") < F.col("_first")) | ((F.col("i") > F.col("_last")) & (F.col("_at").isNull() | under))
-    front = (F.col("_n") >= STRUCTURE) & F.when(F.col("_first").isNull(), without).otherwise(inside)
-    return rows.select("work_id", "lang", "i", "start", "end", "text", "heading", F.col("_at.name").alias("locator"), front.alias("front"))
-
-
-def scripture(paras: DataFrame) -> DataFrame:
-    """work_id, i, skip, locator, front of the paragraphs of works that number their verses ('3:16 For God ...').
-
-    A verse 1:1 begins a book, whose name is the first title in the unbroken run of titles and dividers before it; a
-    paragraph's reference is the book with the chapter of the last verse. Works with fewer than 500 verses, with no more
-    verses than other paragraphs, or without a named book aren't scripture and have no rows.
+    parts = F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    read = F.transform(parts, lambda p: F.struct(p.alias("p"), H.looks_like_heading(p, lang).alias("candidate"), F.nullif(F.regexp_extract(p, r"^(\d+):\d+\s", 1), F.lit("")).alias("verse")))
+
+    def told(rows: Column) -> Column:
+        verses = F.size(F.filter(rows, lambda x: x["verse"].isNotNull()))
+
+        def one(x: Column) -> Column:
+            p, heading, bible = x["p"], x["candidate"], verses >= VERSES
+            line = H.one_line(p)
+            brief, letters, testament = F.length(p) <= H.MOST, p.rlike(r"\p{L}"), p.rlike(r"(?i)\btestament\b")
+            title = brief & ~F.contains(p, F.lit("\n")) & ~p.rlike("[.!?]$") & letters & ~testament
+            return F.struct(
+                heading.alias("candidate"), F.when(heading, H.mentions(line, lang, H.BODY)).alias("body"), F.when(heading, H.mentions(line, lang, H.APPARATUS)).alias("apparatus"),
+                F.when(heading, H.heading_name(p)).alias("name"), x["verse"].alias("verse"), F.when(bible, p.rlike(r"^1:1\s")).alias("first"),
+                F.when(bible, ~letters | (brief & testament)).alias("divider"), F.when(bible, title).alias("title"), F.when(bible & title, H.book_name(p)).alias("book"),
+            )
+
+        return F.transform(rows, one)
+
+    return F.get(F.transform(F.array(read), told), F.lit(0))
+
+
+def spans(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each paragraph without the blanks around it; of an empty one both are the same."""
+    edges = [0, *(x for m in _gap.finditer(text) for x in m.span()), len(text)]
+    for a, b in zip(edges[::2], edges[1::2]):
+        part = text[a:b]
+        inner = part.strip(BLANKS)
+        start = a + len(part) - len(part.lstrip(BLANKS)) if inner else a
+        yield start, start + len(inner)
+
+
+def outline(marks: list[dict]) -> list[tuple[bool, str | None, bool]]:
+    """(heading, locator, front) of each paragraph.
+
+    Candidates in a row, three or more, are a table of contents. The work's own text goes from its first heading of a part to
+    its last; what stands before is front matter, behind it what has no heading or stands under apparatus. A work without
+    headings of parts has as front matter what stands under apparatus before its last other heading.
     """
-    text, order, work = F.col("text"), Window.partitionBy("work_id").orderBy("i"), Window.partitionBy("work_id")
-    letters, testament = text.rlike(r"\p{L}"), (F.length(text) <= H.MOST) & text.rlike(r"(?i)\btestament\b")
-    title = (F.length(text) <= H.MOST) & ~F.contains(text, F.lit("\n")) & ~text.rlike("[.!?]$") & letters & ~testament
-    rows = paras.withColumn("_chapter", F.nullif(F.regexp_extract(text, r"^(\d+):\d+\s", 1), F.lit("")))
-    rows = rows.withColumns({"_verse": F.col("_chapter").isNotNull(), "_begins": text.rlike(r"^1:1\s")})
-    verses = F.count_if("_verse").over(work)
-    rows = rows.withColumns({"_v": verses, "_all": F.count("*").over(work)}).where((F.col("_v") >= VERSES) & (F.col("_v") * 2 > F.col("_all")))
-    between = ~F.col("_verse") & (title | ~letters | testament)
-    rows = rows.withColumn("_between", between).withColumn("_run", F.sum((~F.col("_between")).cast("int")).over(order))
-    # A run of titles and dividers has the number of the paragraph before it; the paragraph after it has the next one.
-    run = Window.partitionBy("work_id", F.col("_run") + F.col("_between").cast("int"))
-    name = F.min(F.when(F.col("_between") & title, F.struct("i", H.book_name(text).alias("name")))).over(run)
-    begins = F.max(F.when(~F.col("_between"), F.col("_begins"))).over(run)
-    rows = rows.withColumns({"_name": name, "skip": F.col("_between") & F.coalesce(begins, F.lit(False)), "_from": F.min(F.when(F.col("_between"), F.col("i"))).over(run)})
-    book = F.when(F.col("_begins") & ~F.col("_between"), F.col("_name.name"))
-    rows = rows.withColumns({"_book": F.last(book, ignorenulls=True).over(order), "_in": F.last("_chapter", ignorenulls=True).over(order), "_start": F.min(F.when(book.isNotNull(), F.col("_from"))).over(work)})
-    locator = F.when(F.col("_book").isNotNull(), F.concat_ws(" ", "_book", "_in"))
-    return rows.where("_start is not null").select("work_id", "i", "skip", locator.alias("locator"), (F.col("i") < F.col("_start")).alias("front"))
-
-
-def sentences(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of a long paragraph: whole sentences up to TARGET characters, or up to the last blank of HARD where none ends."""
-    at, spans = 0, []
-    for gap in [*_sentence.finditer(text), None]:
-        end = gap.start() if gap else len(text)
-        if spans and end - spans[-1][0] <= TARGET:
-            spans[-1] = (spans[-1][0], end)
-        elif end > at:
-            spans.append((at, end))
-        at = gap.end() if gap else end
-    for start, end in spans:
-        while end - start > HARD:
-            blank = text.rfind(" ", start, start + HARD) - start
-            size = blank if blank > HARD // 2 else HARD
-            yield start, start + size
-            start += size + (blank > HARD // 2)
-        if end > start:
-            yield start, end
-
-
-def packed(rows: list[tuple], text: str) -> Iterator[tuple]:
-    """(locator, front, start, end, text) of a work's chunks; rows: (start, end, breaks, own, locator, front) by order.
-
-    breaks: nothing runs on over it; own: it is text of the work, not a heading. A chunk's last paragraph, if short, begins
-    the next chunk; a chunk of such overlap alone is never given, nor one of up to 120 characters or equal to the last.
+    heading: list[bool] = []
+    for candidate, run in groupby(m["candidate"] for m in marks):
+        n = len(list(run))
+        heading += [candidate and n < CONTENTS] * n
+    proper = [i for i, m in enumerate(marks) if heading[i] and not m["apparatus"]]
+    parts = [i for i in proper if marks[i]["body"]]
+    # The heading that each paragraph stands under, itself included.
+    under = list(accumulate((i if h else None for i, h in enumerate(heading)), lambda last, own: last if own is None else own))
+    out = []
+    for i, at in enumerate(under):
+        aside = at is not None and bool(marks[at]["apparatus"])
+        if sum(heading) < STRUCTURE:
+            front = False
+        elif parts:
+            front = i < parts[0] or (i > parts[-1] and (at is None or aside))
+        else:
+            front = aside and bool(proper) and i < proper[-1]
+        out.append((heading[i], None if at is None else marks[at]["name"], front))
+    return out
+
+
+def scripture(marks: list[dict]) -> list[tuple[bool, str | None, bool]] | None:
+    """(skip, locator, front) of each paragraph of a work whose text is numbered verses; None for other works.
+
+    A verse 1:1 begins a book if a title stands in the unbroken run of titles and dividers before it; the first title names
+    it, and the run is skipped, as it is before any other 1:1. References are the book and the last verse's chapter.
     """
-    held: list[tuple[int, int]] = []
-    size, fresh, last, about = 0, False, None, (None, False)
-
-    def given() -> Iterator[tuple]:
-        nonlocal held, size, fresh, last
-        if held and fresh:
-            joined = "\n\n".join(text[a:b] for a, b in held)
+    verses = sum(m["verse"] is not None for m in marks)
+    if verses < VERSES or verses * 2 <= len(marks):
+        return None
+    between = [m["verse"] is None and (m["title"] or m["divider"]) for m in marks]
+    out: list[tuple[bool, str | None]] = []
+    book = chapter = opens = None
+    titles: list[int] = []
+    for loose, run in groupby(range(len(marks)), key=between.__getitem__):
+        block = list(run)
+        if loose:
+            after = block[-1] + 1
+            skip, titles = after < len(marks) and bool(marks[after]["first"]), [i for i in block if marks[i]["title"]]
+        elif titles and marks[block[0]]["first"]:
+            book = marks[titles[0]]["book"]
+            opens = len(out) - before if opens is None else opens
+        for i in block:
+            chapter = marks[i]["verse"] or chapter
+            out.append((loose and skip, None if book is None else " ".join(x for x in (book, chapter) if x)))
+        before = len(block)
+    return None if opens is None else [(skip, locator, i < opens) for i, (skip, locator) in enumerate(out)]
+
+
+def pieces(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """A paragraph's pieces: itself, or where it is too long, sentences as far as they fit together; a piece that is still
+    too long is cut at the last blank of its second half, or in mid-word."""
+    if end - start <= HARD:
+        yield start, end
+        return
+    stops = [x for m in _sentence.finditer(text[start:end]) for x in m.span()]
+    sentences = list(zip([0, *stops[1::2]], [*stops[::2], end - start]))
+    a = 0
+    while a < len(sentences):
+        begin = sentences[a][0]
+        b = max(a + 1, bisect_right(sentences, begin + TARGET, key=lambda s: s[1]))
+        at, stop = start + begin, start + sentences[b - 1][1]
+        while stop - at > HARD:
+            blank = text.rfind(" ", at + HARD // 2 + 1, at + HARD)
+            yield at, at + HARD if blank < 0 else blank
+            at = at + HARD if blank < 0 else blank + 1
+        if stop > at:
+            yield at, stop
+        a = b
+
+
+def section_chunks(section: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of a section's pieces. A run ends where it is long enough, or before the piece that would make it too
+    long. The next one begins with the last piece again if that is short, unless both together must not be one."""
+    size = [b - a for a, b in section]
+    upto = [0, *accumulate(size)]
+    a = fresh = 0
+    while fresh < len(section):
+        if a < fresh and size[a] + size[fresh] > HARD:
+            a = fresh
+        long_enough, too_long = bisect_left(upto, upto[a] + ENOUGH), bisect_right(upto, upto[a] + TARGET) - 1
+        b = min(len(section), max(fresh + 1, min(long_enough, too_long)))
+        yield a, b
+        a, fresh = (b - 1 if size[b - 1] < TARGET // 2 else b), b
+
+
+def chunked(text: str, marks: list[dict]) -> Iterator[tuple[str | None, bool, int, int, str]]:
+    """(locator, front, start, end, text) of a work's chunks; marks: of its paragraphs that aren't empty. Chunks never run over a heading or a scripture's chapter; one of
+    up to LEAST characters, or equal to the one before, is left out."""
+    told = scripture(marks)
+    places = [(a, b) for a, b in spans(text) if b > a]
+    placed = [(a, b, *m) for (a, b), m in zip(places, told or outline(marks))]
+    last, number, key, before = None, 0, [], None
+    for _, _, breaks, locator, _ in placed:  # sections: what stands between breaks, or has one reference
+        number += breaks or (told is not None and locator != before)
+        before = locator
+        key.append(number)
+    for _, rows in groupby(zip(key, placed), key=lambda x: x[0]):
+        own = [p for _, p in rows if not p[2]]
+        section = [(a, b, i) for i, p in enumerate(own) for a, b in pieces(text, p[0], p[1])]
+        for a, b in section_chunks([x[:2] for x in section]):
+            joined = "\n\n".join(text[x:y] for x, y, _ in section[a:b])
             if len(joined) > LEAST and joined != last:
-                yield (*about, held[0][0], held[-1][1], joined)
+                _, _, _, locator, front = own[section[a][2]]
+                yield locator, front, section[a][0], section[b - 1][1], joined
             last = joined
-            held = held[-1:] if held[-1][1] - held[-1][0] < TARGET // 2 else []
-            size, fresh = sum(b - a for a, b in held), False
-
-    for start, end, breaks, own, locator, front in rows:
-        if breaks:
-            yield from given()
-            held, size, fresh = [], 0, False
-        if not own:
-            continue
-        for a, b in sentences(text[start:end]) if end - start > HARD else [(0, end - start)]:
-            if size and size + b - a > TARGET:
-                yield from given()
-            if size and size + b - a > HARD:
-                held, size, fresh = [], 0, False
-            if not held:
-                about = (locator, front)
-            held.append((start + a, start + b))
-            size, fresh = size + b - a, True
-            if size >= ENOUGH:
-                yield from given()
-                about = (locator, front)
-    yield from given()
 
 
-def chunks(works: DataFrame) -> DataFrame:
-    """work_id, ordinal, locator, front, char_start, char_end, text of the chunks of (work_id, lang, text).
+def _by_work(works: DataFrame, tell, schema: str) -> DataFrame:
+    """Rows that tell(text, marks) gives for each work, after its own columns but text and lang. Works that are null have none."""
+    own = [c for c in works.columns if c not in ("text", "lang")]
+    marked = works.where("text IS NOT NULL").select(*own, "lang", "text", marks(F.col("text"), F.col("lang")).alias("_marks"))
+    added = T.StructType.fromDDL(schema)
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
-    Structure comes from marked() and scripture(); a chunk never runs over a heading, nor over a chapter of a scripture. Only
-    the packing of one work's paragraphs is a fold, which a task does for each work on its own.
-    """
-    paras = paragraphs(works)
-    verse = scripture(paras).select("work_id", "i", F.col("skip").alias("_skip"), F.col("locator").alias("_locator"), F.col("front").alias("_front"), F.lit(True).alias("_s"))
-    rows = marked(paras).join(verse, ["work_id", "i"], "left")
-    is_ = F.col("_s").isNotNull()
-    other = ~F.col("_locator").eqNullSafe(F.lag("_locator").over(Window.partitionBy("work_id").orderBy("i")))
-    told = F.struct(
-        "i", "start", "end", F.when(is_, F.col("_skip") | other).otherwise(F.col("heading")).alias("breaks"), F.when(is_, ~F.col("_skip")).otherwise(~F.col("heading")).alias("own"),
-        F.when(is_, F.col("_locator")).otherwise(F.col("locator")).alias("locator"), F.when(is_, F.col("_front")).otherwise(F.col("front")).alias("front"),
-    )
-    by_work = rows.select("work_id", told.alias("p")).groupBy("work_id").agg(F.sort_array(F.collect_list("p")).alias("ps")).join(works.select("work_id", "text"), "work_id")
-
-    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for work, ps, text in zip(batch["work_id"], batch["ps"], batch["text"]):
-                found = packed([(p["start"], p["end"], p["breaks"], p["own"], p["locator"], p["front"]) for p in ps], text)
-                out += [(work, i, locator, front, a, b, t) for i, (locator, front, a, b, t) in enumerate(found)]
-            yield pd.DataFrame(out, columns=["work_id", "ordinal", "locator", "front", "char_start", "char_end", "text"])
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                at, rows = [], []
+                for i, (text, told) in enumerate(zip(part.column("text").to_pylist(), part.column("_marks").to_pylist())):
+                    found = list(tell(text, told))
+                    at += [i] * len(found)
+                    rows += found
+                kept = [part.column(c).take(pa.array(at, pa.int32())) for c in (*own, "lang")]
+                new = [pa.array([r[k] for r in rows], kinds[f.dataType.simpleString()]) for k, f in enumerate(added)]
+                yield pa.RecordBatch.from_arrays([*kept, *new], [*own, "lang", *added.names])
+
+    return marked.mapInArrow(read, T.StructType([*[marked.schema[c] for c in (*own, "lang")], *added.fields]))
+
+
+def _paragraph_rows(text: str, marks: list[dict]) -> Iterator[tuple]:
+    for i, ((a, b), (heading, locator, front)) in enumerate(_some(text, marks, outline)):
+        yield i, a, b, text[a:b], heading, locator, front
+
+
+def _some(text: str, marks: list[dict], of) -> list[tuple]:
+    """Places and what is told of the paragraphs that aren't empty."""
+    places = [(p, m) for p, m in zip(spans(text), marks) if p[1] > p[0]]
+    told = of([m for _, m in places])
+    return [(p, t) for (p, _), t in zip(places, told or [])]
+
+
+def marked(works: DataFrame) -> DataFrame:
+    """The works' own columns, lang, i (from 0), start, end, text, heading, locator and front of each paragraph of (lang, text).
+
+    start and end cut the paragraph, without the blanks around it, out of the text; blank lines end one. Null texts have
+    none, a null lang goes by the English rules; ids may be null or repeated, for rows are read one by one.
+    """
+    return _by_work(works, _paragraph_rows, "i long, start long, end long, text string, heading boolean, locator string, front boolean")
+
+
+def paragraphs(works: DataFrame) -> DataFrame:
+    return marked(works).drop("heading", "locator", "front")
+
+
+def verses(works: DataFrame) -> DataFrame:
+    """As marked(), of scriptures alone: skip (a title or divider before a book), locator, front."""
+    schema = "i long, start long, end long, text string, skip boolean, locator string, front boolean"
+    return _by_work(works, lambda text, marks: [(i, a, b, text[a:b], *told) for i, ((a, b), told) in enumerate(_some(text, marks, scripture))], schema)
+
+
+def chunks(works: DataFrame) -> DataFrame:
+    """The works' own columns (ids and what else there is), ordinal, locator, front, char_start, char_end, text of the chunks of
+    (lang, text, ...). Rows with null or repeated ids are works of their own; a null text has no chunks."""
+
+    def told(text: str, marks: list[dict]) -> Iterator[tuple]:
+        some = [m for (a, b), m in zip(spans(text), marks) if b > a]
+        for i, chunk in enumerate(chunked(text, some)):
+            yield (i, *chunk)
 
-    return by_work.mapInPandas(folded, "work_id long, ordinal long, locator string, front boolean, char_start long, char_end long, text string")
+    return _by_work(works, told, "ordinal long, locator string, front boolean, char_start long, char_end long, text string").drop("lang")

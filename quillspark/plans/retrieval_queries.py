@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import stems
 from quillspark.operators import index as I
 from quillspark.operators import retrieval as R
 from quillspark.operators import search as S
@@ -38,26 +39,62 @@ def all_queries(t: Tables) -> DataFrame:
 
 def corpus(t: Tables) -> S.Corpus:
     """Sources of five documents at least count as complete works; passages under 80 characters as front matter."""
-    size = t.documents.groupBy("source").agg(F.count("*").alias("n"))
-    rows = t.documents.join(size, "source").select(
-        F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("work"), F.col("source").alias("title"), author_of(F.col("source")).alias("author"),
-        (F.col("n_chars") < 80).alias("front"), (F.col("n") >= 5).alias("complete"),
+    rows = t.documents.select(
+        F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("work"), F.col("source").alias("title"), author_of(F.col("source")).alias("author"), (F.col("n_chars") < 80).alias("front"),
     )
-    return S.Corpus(rows, vectors(t).select("id", "v"), I.index_of(t.spark, t.folder, texts(t)))
+    index = search_index(t)
+    return S.Corpus(rows, vectors(t).select("id", "v"), index, index.works().groupBy("work").agg(F.sum("n").alias("n")).where("n >= 5").select("work"))
 
 
 def texts(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("id"), "text")
-
-
-_BM25 = rf"""
-tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM documents),
-stats AS (SELECT doc_id AS id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS dl FROM documents),
+    return t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("work"), "text")
+
+
+def search_index(t: Tables) -> I.View:
+    return I.index_for(t.spark, texts(t))
+
+
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_M0, _M1, _VOWEL = f"^({_C})?{_V}{_C}", f"^({_C})?{_V}{_C}{_V}{_C}", f"^({_C})?[aeiouy]"
+_SHORT = f"^{_C}[aeiouy][^aeiouwxy]$"
+
+
+def _endings(w: str, rules: dict[str, str], condition: str) -> str:
+    """SQL that replaces the first ending that w has, if what is before it matches."""
+    cases = [f"WHEN ends_with({w}, '{e}') THEN CASE WHEN regexp_matches(left({w}, len({w}) - {len(e)}), '{condition}') THEN left({w}, len({w}) - {len(e)}) || '{to}' ELSE {w} END" for e, to in rules.items()]
+    return f"CASE {' '.join(cases)} ELSE {w} END"
+
+
+_ION = "regexp_matches(left(w5, len(w5) - 3), '[st]$') AND "
+_CUT = " ".join(f"WHEN ends_with(w5, '{e}') THEN CASE WHEN {_ION if e == 'ion' else ''}regexp_matches(left(w5, len(w5) - {len(e)}), '{_M1}') THEN left(w5, len(w5) - {len(e)}) ELSE w5 END" for e in stems.CUT)
+#: raw and term of all distinct words: small letters without accents, then the Porter stemmer by regular expressions, for which a y in front is a consonant.
+_STEMS = f"""
+raws AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\\p{{M}}]*')) AS raw FROM documents UNION SELECT unnest([{_TERMS}])),
+p0 AS (SELECT raw, regexp_replace(strip_accents(lower(raw)), '^y', 'Y') AS w0 FROM raws),
+p1 AS (SELECT *, {_endings('w0', stems.PLURALS, '')} AS w1 FROM p0),
+p2 AS (SELECT *, CASE WHEN ends_with(w1, 'eed') THEN 0 WHEN ends_with(w1, 'ed') AND regexp_matches(left(w1, len(w1) - 2), '{_VOWEL}') THEN 2
+       WHEN ends_with(w1, 'ing') AND regexp_matches(left(w1, len(w1) - 3), '{_VOWEL}') THEN 3 ELSE 0 END AS cut FROM p1),
+p3 AS (SELECT *, left(w1, len(w1) - cut) AS bare FROM p2),
+p4 AS (SELECT raw, w0, CASE WHEN ends_with(w1, 'eed') THEN CASE WHEN regexp_matches(left(w1, len(w1) - 3), '{_M0}') THEN left(w1, len(w1) - 1) ELSE w1 END
+       WHEN cut = 0 THEN w1 WHEN regexp_matches(bare, '(at|bl|iz)$') THEN bare || 'e'
+       WHEN bare[-1] = bare[-2] AND regexp_matches(bare, '[^aeioulsz]$') AND NOT (bare[-1] = 'y') THEN left(bare, len(bare) - 1)
+       WHEN regexp_matches(bare, '{_SHORT}') THEN bare || 'e' ELSE bare END AS w2 FROM p3),
+p5 AS (SELECT raw, w0, CASE WHEN ends_with(w2, 'y') AND regexp_matches(left(w2, len(w2) - 1), '{_VOWEL}') THEN left(w2, len(w2) - 1) || 'i' ELSE w2 END AS w3 FROM p4),
+p6 AS (SELECT raw, w0, {_endings('w3', stems.DERIVED, _M0)} AS w4 FROM p5),
+p7 AS (SELECT raw, w0, {_endings('w4', stems.ADJECTIVES, _M0)} AS w5 FROM p6),
+p8 AS (SELECT raw, w0, CASE {_CUT} ELSE w5 END AS w6 FROM p7),
+p9 AS (SELECT raw, w0, CASE WHEN ends_with(w6, 'e') AND (regexp_matches(left(w6, len(w6) - 1), '{_M1}') OR (regexp_matches(left(w6, len(w6) - 1), '{_M0}') AND NOT regexp_matches(left(w6, len(w6) - 1), '{_SHORT}')))
+       THEN left(w6, len(w6) - 1) ELSE w6 END AS w7 FROM p8),
+stems AS (SELECT raw, lower(CASE WHEN strlen(w0) NOT BETWEEN 3 AND 64 THEN w0 WHEN ends_with(w7, 'll') AND regexp_matches(w7, '{_M1}') THEN left(w7, len(w7) - 1) ELSE w7 END) AS term FROM p9)"""
+_BM25 = _STEMS + rf""",
+tok AS (SELECT id, term FROM (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*')) AS raw FROM documents) JOIN stems USING (raw)),
+stats AS (SELECT doc_id AS id, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*')) AS dl FROM documents),
 total AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM stats),
-hits AS (SELECT term, id, count(*) AS tf FROM tok WHERE term IN ({_TERMS}) GROUP BY term, id),
+asked AS (SELECT term, count(*) AS times FROM stems WHERE raw IN ({_TERMS}) GROUP BY term),
+hits AS (SELECT term, id, count(*) AS tf FROM tok SEMI JOIN asked USING (term) GROUP BY term, id),
 dfs AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
-bm AS (SELECT id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-       FROM hits JOIN dfs USING (term) JOIN stats USING (id), total GROUP BY id)"""
+bm AS (SELECT id, round(sum(times * greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+       FROM hits JOIN dfs USING (term) JOIN asked USING (term) JOIN stats USING (id), total GROUP BY id)"""
 _KNN = f"""
 knn AS (SELECT q.vec_id AS q, e.vec_id AS id, {_DOT} AS d, e.label FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
 near AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) - 1 AS rank FROM knn)"""
@@ -65,7 +102,7 @@ near AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) - 1 AS rank
 
 @query(f"WITH {_BM25} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM bm QUALIFY rank < 100")
 def bm25_top100(t: Tables) -> DataFrame:
-    return R.top(I.bm25(t.spark, I.index_of(t.spark, t.folder, texts(t)), TERMS), [F.desc("score"), "id"], 100)
+    return R.top(I.bm25(search_index(t), I.phrases(TERMS)), [F.desc("score"), "id"], 100)
 
 
 @query(r"""SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)
@@ -110,7 +147,7 @@ LANGUAGES, MENTIONS = ("en", "fr"), ["author3", "src12", "of"]
 
 
 def branches(t: Tables, c: S.Corpus) -> DataFrame:
-    return S.branches(c, query_vectors(t, 9), I.query_terms(TERMS), MENTIONS, F.col("lang").isin(*LANGUAGES))
+    return S.branches(c, query_vectors(t, 9), TERMS, MENTIONS, F.col("lang").isin(*LANGUAGES))
 
 
 _FUSED = f"""{_BM25},

@@ -48,7 +48,7 @@ def paragraph_spans(t: Tables) -> DataFrame:
  ELSE i < first OR (i > last AND (locator IS NULL OR coalesce(under, false))) END AS front FROM span""")
 def marked_paragraphs(t: Tables) -> DataFrame:
     """Real headings by the rules of each language, the reference of each paragraph, and front matter."""
-    return S.marked(S.paragraphs(works(t))).select("work_id", "i", "heading", "locator", "front")
+    return S.marked(works(t)).select("work_id", "i", "heading", "locator", "front")
 
 
 @query()

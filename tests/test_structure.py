@@ -17,10 +17,29 @@ def plain_heading(text, lang):
     words = line.split(" ")
     if capitals and (len(words) <= 8 or len(words) == 1 and len(line) < 24):
         return True
-    found = re.search(rf"\b({H.KEYWORDS[lang]})\b", line, re.I | re.A)
+    found = re.search(rf"\b({H.KEYWORDS[lang]})\b", line, re.I)
     return bool(found and (found.start() == 0 or capitals))
 
 
+def plain_pieces(text):
+    """Sentences of a long paragraph, put together up to 1400 characters, cut at blanks where they are longer than 1800."""
+    out = []
+    for m in re.finditer("(?s).+?(?:(?<=[.!?])(?=\\s+[A-ZÅÄÖÜÉÈÀÇ“\"'(«])|$)", text):
+        a = m.start() + len(m[0]) - len(m[0].lstrip())
+        if out and m.end() - out[-1][0] <= 1400:
+            out[-1][1] = m.end()
+        else:
+            out.append([a, m.end()])
+    for a, b in out:
+        while b - a > 1800:
+            at = text[a : a + 1800].rfind(" ")
+            step = at if at > 900 else 1800
+            yield a, a + step
+            a += step + (at > 900)
+        if b > a:
+            yield a, b
+
+
 def plain_name(text):
     clean = re.sub(r"\s+", " ", re.sub(r"[.:;,\s]+$", "", text.strip()))
     if clean != clean.upper():
@@ -37,7 +56,7 @@ def plain_chunks(text, lang):
             start = at + len(part) - len(part.lstrip())
             paras.append((body, start))
         at += len(part)
-    has = lambda words, x: bool(re.search(rf"\b({words[lang]})\b", re.sub(r"\s+", " ", x), re.I | re.A))
+    has = lambda words, x: bool(re.search(rf"\b({words[lang]})\b", re.sub(r"\s+", " ", x), re.I))
     real = [plain_heading(p, lang) for p, _ in paras]
     i = 0
     while i < len(real):
@@ -74,7 +93,7 @@ def plain_chunks(text, lang):
             held.clear()
             locator, under = plain_name(p), has(H.APPARATUS, p)
             continue
-        for a, b in list(S.sentences(p)) if len(p) > 1800 else [(0, len(p))]:
+        for a, b in list(plain_pieces(p)) if len(p) > 1800 else [(0, len(p))]:
             if held and sum(len(x) for x, _ in held) + b - a > 1400:
                 give()
             if held and sum(len(x) for x, _ in held) + b - a > 1800:
@@ -90,7 +109,11 @@ def plain_chunks(text, lang):
 
 
 def text_of(r, lang):
-    words = {"en": ["CHAPTER I.", "The book of days", "NOTES", "BOOK II", "PREFACE", "Chapter iv"], "fr": ["CHAPITRE PREMIER", "Livre II", "PRÉFACE", "Notes"], "sv": ["FÖRORD", "KAPITEL XIV", "Sången"]}[lang]
+    words = {
+        "en": ["CHAPTER I.", "The book of days", "NOTES", "BOOK II", "PREFACE", "Chapter iv"], "fr": ["CHAPITRE PREMIER", "Livre II", "PRÉFACE", "Préface", "Scène ii", "Notes"],
+        "sv": ["FÖRORD", "Förord", "KAPITEL XIV", "Sången om", "Sång ett"], "de": ["Hauptstück eins", "VORREDE", "Erläuterungen", "Buch II"], "it": ["CAPITOLO I", "Libro secondo", "INDICE", "Note"],
+        "la": ["LIBER I", "Caput ii", "PRAEFATIO", "Index"],
+    }[lang]
     out = []
     for _ in range(r.randrange(1, 60)):
         kind = r.random()
@@ -105,7 +128,7 @@ def text_of(r, lang):
 
 def test_chunks_against_one_pass(spark):
     r = random.Random(12)
-    works = [(i, lang := ["en", "fr", "sv"][i % 3], text_of(r, lang)) for i in range(60)] + [(90, "en", None), (91, "en", ""), (92, "en", "short"), (93, "en", "x" * 5000)]
+    works = [(i, lang := ["en", "fr", "sv", "de", "it", "la"][i % 6], text_of(r, lang)) for i in range(90)] + [(90, "en", None), (91, "en", ""), (92, "en", "short"), (93, "en", "x" * 5000)]
     found = {}
     for x in sorted(S.chunks(spark.createDataFrame(works, "work_id long, lang string, text string")).collect(), key=lambda x: x["ordinal"]):
         found.setdefault(x["work_id"], []).append((x["locator"], x["front"], x["char_start"], x["char_end"], x["text"]))
@@ -115,6 +138,21 @@ def test_chunks_against_one_pass(spark):
     assert all(len(x[4]) <= 1800 + 2 * 4 for rows in found.values() for x in rows)
 
 
+def test_small_accented_headings(spark):
+    told = [("sv", "Förord"), ("sv", "Sången om fåglarna"), ("fr", "Préface"), ("fr", "Scène ii"), ("de", "Hauptstück eins"), ("fr", "Épilogue")]
+    rows = spark.createDataFrame(told, "lang string, line string")
+    found = {x["line"]: (x["h"], x["a"]) for x in rows.select("line", H.looks_like_heading(F.col("line"), F.col("lang")).alias("h"), H.mentions(F.col("line"), F.col("lang"), H.APPARATUS).alias("a")).collect()}
+    assert all(h for h, _ in found.values()) and [line for line, (_, a) in found.items() if a] == ["Förord", "Préface"]
+
+
+def test_rows_are_works_whatever_their_ids(spark):
+    one, two = ("CHAPTER I\n\n" + "a word " * 100 + "\n\n" + "b word " * 100), "c word " * 60
+    works = spark.createDataFrame([(None, "en", one), (7, "en", one), (7, "en", two), (7, None, two)], "work_id long, lang string, text string")
+    found = sorted((str(x["work_id"]), x["ordinal"], x["text"][0]) for x in S.chunks(works).collect())
+    each = [(x["ordinal"], x["text"][0]) for x in S.chunks(works.where("work_id IS NULL")).collect()]
+    assert found == sorted([(i, *x) for i in ("None", "7") for x in each] + [("7", 0, "c")] * 2)
+
+
 def test_paragraph_offsets_cut_them_out(spark):
     text = "  one \n\n\n two\nlines\n \n\tthree  "
     rows = S.paragraphs(spark.createDataFrame([(1, "en", text), (2, "en", None)], "work_id long, lang string, text string")).orderBy("i").collect()
@@ -128,11 +166,11 @@ def test_scripture(spark):
         parts += [name, "Otherwise Called: Another Name", "***"] + [f"{1 + i // 50}:{1 + i % 50} And it came to pass in those days, that verse {i} was written down there." for i in range(n)] + ["A verse broken off."]
     works = [(1, "en", "\n\n".join(parts)), (2, "en", "\n\n".join(parts[:300]))]
     docs = spark.createDataFrame(works, "work_id long, lang string, text string")
-    told = {x["i"]: x for x in S.scripture(S.paragraphs(docs)).where("work_id = 1").collect()}
+    told = {x["i"]: x for x in S.verses(docs).where("work_id = 1").collect()}
     assert [told[i]["skip"] for i in range(5)] == [False, False, True, True, True] and [told[i]["front"] for i in range(4)] == [True, True, False, False]
     assert told[5]["locator"] == "Genesis 1" and told[5 + 299]["locator"] == "Genesis 6" and told[305]["locator"] == "Genesis 6"
     assert told[309]["locator"] == "2 Samuel 1" and told[306]["skip"] and told[len(parts) - 1]["locator"] == "Mark 2"
-    assert not S.scripture(S.paragraphs(docs)).where("work_id = 2").count()
+    assert not S.verses(docs).where("work_id = 2").count()
     chunks = S.chunks(docs).where("work_id = 1").collect()
     assert {x["locator"] for x in chunks} >= {"Genesis 1", "2 Samuel 3", "Mark 1"} and all("Otherwise" not in x["text"] for x in chunks)
     assert all(len({int(v) for v in re.findall(r"^(\d+):\d+ ", x["text"], re.M)}) == 1 for x in chunks)
