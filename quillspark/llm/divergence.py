@@ -6,21 +6,26 @@ to the divergence of pairs of sources, and the aggregation sums these on the map
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut
 
-#: Fixed value: what separates terms, all of ASCII but its letters.
-SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What bytes become before a text is cut at blanks: of ASCII, letters stay, A-Z as small ones, and all else is a blank.
+FOLDED = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+#: Different terms that a worker counts before it hands their counts on.
+HELD = 300_000
 #: Shares are integers of the unit 1e9, which is the product of these: a division in two steps stays within 64 bits.
 STEPS = (100_000, 10_000)
 
 
-def terms(text: Column) -> Column:
-    """The terms of a text in order, repeats kept: runs of ASCII letters and of what isn't ASCII, A-Z lower-cased."""
-    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), SEPARATORS), "")
+def terms(text: bytes) -> list[bytes]:
+    """The terms of a text in UTF-8, in order, repeats kept: runs of ASCII letters and of what isn't ASCII, A-Z lower-cased."""
+    return text.translate(FOLDED).split()
 
 
 def div(a: Column, b: Column) -> Column:
@@ -38,20 +43,36 @@ def gap(p: Column, q: Column) -> Column:
     return div((p - q) * (p - q), q)
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and d (documents that hold it), counted on the map side first."""
-
-    def flagged(sorted_: Column) -> Column:
-        return F.transform(sorted_, lambda x, i: F.struct(x.alias("term"), F.when(F.get(sorted_, i - 1) == x, 0).otherwise(1).alias("d")))
-
-    own = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    found = own.select("lang", "source", F.explode(let(F.sort_array(terms(F.col("text"))), flagged)).alias("x"))
-    return found.groupBy("lang", "source", "x.term").agg(F.count("*").alias("n"), F.sum("x.d").alias("d"))
+    """lang, source, term, n (occurrences) and d (documents that hold it), counted where the texts are before any row moves."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def told() -> pa.RecordBatch:
+            rows = [(*g, t, n, seen[t]) for g, (times, seen) in groups.items() for t, n in times.items()]
+            lang, source, term, n, d = zip(*rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())],
+                ["lang", "source", "term", "n", "d"],
+            )
+
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                for lang, source, text in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns)):
+                    times, seen = groups.setdefault((lang, source), (Counter(), Counter()))
+                    own = Counter(terms(text))
+                    times.update(own)
+                    seen.update(own.keys())
+                if sum(len(times) for times, _ in groups.values()) >= HELD:
+                    yield told()
+                    groups.clear()
+        if any(times for times, _ in groups.values()):
+            yield told()
+
+    own = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")], F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    found = own.mapInArrow(count, "lang string, source string, term string, n long, d long")
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFrame:
@@ -62,8 +83,8 @@ def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFram
     are kept. Part `term`: item is a kept term that the group has and of which its share is above the language's, value the
     gap to it, the first `top` alone. Ranks go by value, highest first, then by item.
 
-    The sum over terms that neither source has is size * gap of two fixed shares; so a wide row emits only the pairs of which
-    one has the term, as the difference to that. Sums fit into 64 bits: the sum of squares is at most the square of the sum
+    All terms that neither of two sources has add the same gap. So a wide row emits, for each source that has the term, its
+    gaps to all others, and theirs to it where they lack the term; the number of these says how many terms are left. Sums fit into 64 bits: the sum of squares is at most the square of the sum
     of differences, 2e9 + 2 * size.
     Null texts, langs and sources are empty strings, groups like any other; a document without terms still makes its
     group occur; repeated rows count again; an empty table gives an empty result; other columns are ignored.
@@ -83,22 +104,24 @@ def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFram
         "lang", "sources", F.coalesce("size", none).alias("size"), F.coalesce("whole", none).alias("whole"),
         F.coalesce("totals", F.transform("sources", lambda s: none)).alias("totals"),
     )
-    nil = F.transform("totals", lambda total: F.when(F.col("size") > 0, share(none, total, F.col("size"))))
-    audit = cut(audit.withColumn("nil", nil))
+    audit = cut(audit)
 
     rows = wide.join(audit.drop("sources"), "lang").withColumn("shares", F.zip_with("counts", "totals", lambda n, total: share(n, total, F.col("size"))))
-    rows = rows.select("lang", "term", "counts", "shares", "nil", share(F.aggregate("counts", none, lambda a, n: a + n), F.col("whole"), F.col("size")).alias("q"))
-    places = F.sequence(F.lit(0), F.size("counts") - 1)
-
-    def of(s: Column) -> Column:
-        others = F.filter(places, lambda t: (t != s) & ((F.get("counts", s) > 0) | (F.get("counts", t) > 0)))
-        return F.transform(others, lambda t: F.struct(s.alias("s"), t.alias("t"), (gap(F.get("shares", s), F.get("shares", t)) - gap(F.get("nil", s), F.get("nil", t))).alias("v")))
-
-    emitted = rows.select("lang", F.explode(F.flatten(F.transform(places, of))).alias("x"))
-    added = emitted.groupBy("lang", "x.s", "x.t").agg(F.sum("x.v").alias("v"))
-    pairs = audit.select("lang", "sources", "size", "nil", F.posexplode("sources").alias("s", "source")).select("*", F.posexplode("sources").alias("t", "item")).where("s <> t")
-    base = F.when(F.col("size") > 0, F.col("size") * gap(F.get("nil", F.col("s")), F.get("nil", F.col("t")))).otherwise(0)
-    pairs = pairs.join(added, ["lang", "s", "t"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", (base + F.coalesce("v", none)).alias("value"))
+    rows = rows.select("lang", "term", "counts", "shares", share(F.aggregate("counts", none, lambda a, n: a + n), F.col("whole"), F.col("size")).alias("q"))
+    having = F.filter(F.sequence(F.lit(0), F.size("counts") - 1), lambda i: F.get("counts", i) > 0)
+    each = rows.select("lang", "counts", "shares", F.explode(having).alias("s")).withColumn("p", F.get("shares", F.col("s")))
+    to = F.transform("shares", lambda q: gap(F.col("p"), q))
+    back = F.zip_with("shares", "counts", lambda q, n: F.when(n == 0, gap(q, F.col("p"))))
+    emitted = each.select("lang", "s", back.alias("back"), F.posexplode(to).alias("t", "to")).select("lang", "s", "t", "to", F.get("back", F.col("t")).alias("back"))
+    both = emitted.groupBy("lang", "s", "t").agg(F.sum("to").alias("to"), F.count("*").alias("n"), F.sum("back").alias("back"), F.count("back").alias("m"))
+    first = both.select("lang", "s", "t", F.col("to").alias("v"), "n")
+    second = both.select("lang", F.col("t").alias("s"), F.col("s").alias("t"), F.col("back").alias("v"), F.col("m").alias("n"))
+    added = first.unionByName(second).groupBy("lang", "s", "t").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    pairs = audit.select("lang", "size", "totals", "sources", F.posexplode("sources").alias("s", "source")).select("*", F.posexplode("sources").alias("t", "item")).where("s <> t")
+    p, q = (share(none, F.get("totals", F.col(c)), F.col("size")) for c in ("s", "t"))
+    pairs = pairs.join(added, ["lang", "s", "t"], "left").withColumn("rest", F.col("size") - F.coalesce("n", none))
+    value = F.coalesce("v", none) + F.when(F.col("rest") > 0, F.col("rest") * gap(p, q)).otherwise(none)
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", value.alias("value"))
 
     over = rows.select("lang", "term", "q", F.posexplode(F.arrays_zip("counts", "shares")).alias("s", "x")).where((F.col("x.counts") > 0) & (F.col("x.shares") > F.col("q")))
     over = over.join(audit.select("lang", F.posexplode("sources").alias("s", "source")), ["lang", "s"])
