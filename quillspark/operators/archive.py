@@ -25,14 +25,42 @@ def exact_hits(saved: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.withColumn("_prompt", prompt_norm(F.col("prompt"))).join(newest, key, "left").select("ask", "search")
 
 
+#: Neighbouring order values that are numbered in one window.
+BLOCK = 4096
+
+
+def numbered(rows: DataFrame, by: str, order: str, name: str) -> DataFrame:
+    """rows with their number from 1 among those with the same `by`, in the order of a long column. Blocks of order values
+    have windows of their own, and one over their counts, so that no window holds all rows of a frequent value."""
+    cut = rows.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    counts = cut.groupBy(by, "_block").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(by).alias("_by"), F.col("_block").alias("_at"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_ahead"))
+    inside = cut.withColumn(name, F.row_number().over(Window.partitionBy(by, "_block").orderBy(order)))
+    met = inside.join(counts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_block").eqNullSafe(F.col("_at")))
+    return met.withColumn(name, F.col(name) + F.col("_ahead")).drop("_block", "_by", "_at", "_ahead")
+
+
 def with_unique_slugs(rows: DataFrame, taken: DataFrame, title: str, order: str) -> DataFrame:
-    """rows with slug: that of their title, with a number behind it where earlier rows or those taken (slug, n: how many
-    have it) have the same."""
-    named = rows.withColumn("_slug", slug(F.col(title)))
-    n = F.row_number().over(Window.partitionBy("_slug").orderBy(order))
-    numbered = named.withColumn("_n", n).join(taken.select(F.col("slug").alias("_slug"), F.col("n").alias("_taken")), "_slug", "left")
-    place = F.col("_n") + F.coalesce("_taken", F.lit(0))
-    return numbered.withColumn("slug", F.when(place == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), place.cast("string")))).drop("_slug", "_n", "_taken")
+    """rows with slug, which no other row has and none of those taken (slug).
+
+    The first row of a title, by `order` (long), gets the title's slug unless it is taken. The others get it with a number
+    behind it, from 2 on, without the numbers that would give a name that is taken or the first of another title: 'a-b-2' is
+    that of 'A b 2', if there is one. Names with different slugs before their number can't be equal.
+    """
+    named = numbered(rows.withColumn("_slug", F.coalesce(slug(F.col(title)), F.lit(""))), "_slug", order, "_n")
+    held = taken.select(F.coalesce("slug", F.lit("")).alias("_name")).distinct()
+    own = named.select("_slug").distinct()
+    names = held.select("_name").unionByName(own.select(F.col("_slug").alias("_name"))).distinct()
+    parsed = names.select(F.regexp_extract("_name", r"^(.*)-([1-9][0-9]{0,8})$", 1).alias("_of"), F.regexp_extract("_name", r"^(.*)-([1-9][0-9]{0,8})$", 2).try_cast("long").alias("_number"))
+    barred = parsed.where("_number >= 2").groupBy(F.col("_of").alias("_slug")).agg(F.sort_array(F.collect_set("_number")).alias("_barred"))
+    first = own.join(held.select(F.col("_name").alias("_slug"), F.lit(True).alias("_gone")), "_slug", "left").join(barred, "_slug", "left")
+    met = named.join(first, "_slug")
+    # The k-th number from 2 on that isn't barred: each barred one that is reached moves it on by one.
+    k = F.col("_n") - F.when(F.col("_gone"), 0).otherwise(1)
+    moved = F.size(F.filter(F.coalesce("_barred", F.array().cast("array<bigint>")), lambda b, j: b - j <= k + 1))
+    numbered_ = F.concat("_slug", F.lit("-"), (k + 1 + moved).cast("string"))
+    return met.withColumn("slug", F.when(k == 0, F.col("_slug")).otherwise(numbered_)).drop("_slug", "_n", "_gone", "_barred")
 
 
 def toggled(members: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,11 +130,13 @@ class Index:
         living.write.parquet(f"{self.path}/tombs/{name}")
         return name if self.spark.read.schema(TOMBS).parquet(f"{self.path}/tombs/{name}").limit(1).count() else None
 
-    def add(self, texts: DataFrame, stream: str = "", batch: int | None = None) -> int:
-        """Add the passages (id, work, text) of a batch of works; works that are there already are replaced.
+    def add(self, texts: DataFrame, stream: str = "", batch: int | None = None, works: DataFrame | None = None, note: dict | None = None) -> int:
+        """Add the passages (id, work, text) of a batch of works; works that are there already are replaced, and those of
+        `works` (work) too that have no passages any more.
 
         A null text is a passage without words, and a null work one like any other. With a batch number, a batch of the
-        stream that has been added before is left out, so that one that runs again changes nothing. Returns the commit.
+        stream that has been added before is left out, so that one that runs again changes nothing. note: what else the
+        commit tells, by name; it is kept until another commit tells it anew. Returns the commit's number.
         """
         done = lambda now: batch is not None and now.get("streams", {}).get(stream, -1) >= batch
         if done(self.view().commit):
@@ -142,15 +145,16 @@ class Index:
         rows = texts.select(F.col("id").cast("long").alias("id"), F.col("work").cast("string").alias("work"), "text")
         words = self._write(posted(rows, segment), segment).groupBy("work").agg(F.sum("tf").alias("words"))
         sizes = rows.groupBy("work").agg(F.count("*").alias("n"), F.count("text").alias("said"))
-        works = sizes.join(words.select(F.col("work").alias("_work"), "words"), F.col("work").eqNullSafe(F.col("_work")), "left")
-        works.select("work", "n", "said", F.coalesce("words", F.lit(0).cast("long")).alias("words"), F.lit(segment).alias("segment")).write.parquet(f"{self.path}/segments/{segment}/works")
+        sized = sizes.join(words.select(F.col("work").alias("_work"), "words"), F.col("work").eqNullSafe(F.col("_work")), "left")
+        sized.select("work", "n", "said", F.coalesce("words", F.lit(0).cast("long")).alias("words"), F.lit(segment).alias("segment")).write.parquet(f"{self.path}/segments/{segment}/works")
         added = self.spark.read.schema(WORKS).parquet(f"{self.path}/segments/{segment}/works")
 
         def change(now: dict) -> dict | None:
             if done(now):
                 return None
-            tomb = self._buried(View(self.spark, self.path, now), added) if now.get("segments") else None
-            commit = now | {"segments": [*now.get("segments", []), segment], "tombs": [*now.get("tombs", []), *([tomb] if tomb else [])]}
+            gone = added.select("work") if works is None else works.select(F.col("work").cast("string").alias("work"))
+            tomb = self._buried(View(self.spark, self.path, now), gone) if now.get("segments") else None
+            commit = now | {"note": now.get("note", {}) | (note or {}), "segments": [*now.get("segments", []), segment], "tombs": [*now.get("tombs", []), *([tomb] if tomb else [])]}
             if batch is not None:
                 commit["streams"] = now.get("streams", {}) | {stream: batch}
             return self._committed(commit)
@@ -235,10 +239,8 @@ def occurrences(view: View, wanted: list[tuple[str, ...]]) -> DataFrame:
 
         def times(phrase: tuple[str, ...]) -> Column:
             at = [F.coalesce(F.try_element_at("at", F.lit(t)), none) for t in phrase]
-            starts = at[0]
-            for k, here in enumerate(at[1:], 1):
-                starts = F.array_intersect(starts, F.transform(here, lambda x, k=k: x - k))
-            return F.size(starts)
+            begun = [F.transform(here, lambda x: x - k) for k, here in enumerate(at)]  # where the phrase would begin
+            return F.size(reduce(F.array_intersect, begun))
 
         told = by.select("id", "dl", F.explode(F.array(*[F.struct(F.lit(n).alias("phrase"), times(p).alias("tf")) for n, p in longer.items()])).alias("x"))
         found = found.unionByName(told.select("x.phrase", "id", "x.tf", "dl").where("tf > 0"))

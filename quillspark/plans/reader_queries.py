@@ -18,10 +18,12 @@ def assembled_works(t: Tables) -> DataFrame:
     return R.assembled(t.lineitem.select(F.col("l_orderkey").alias("work"), "l_linenumber", text.alias("text")), "work", "l_linenumber")
 
 
-@query("SELECT c_custkey AS id, c_name AS name, c_mktsegment || ': ' || c_nationkey AS segment FROM customer")
+@query("SELECT c_custkey AS id, CASE WHEN c_nationkey % 5 = 0 THEN NULL WHEN c_nationkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS name, CASE WHEN c_nationkey % 5 <> 0 THEN c_mktsegment || ': ' || c_nationkey END AS segment FROM customer")
 def key_files(t: Tables) -> DataFrame:
-    """Values of files of `key: value` lines; a value may hold colons."""
-    file = F.concat(F.lit("Name: "), F.col("c_name"), F.lit("\r\nno pair\nSegment:  "), F.col("c_mktsegment"), F.lit(": "), F.col("c_nationkey").cast("string"))
+    """Values of files of `key: value` lines; a value may hold colons, a key may come again, a file may be empty."""
+    again = F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("\nName:"), F.col("c_mktsegment"))).otherwise("")
+    file = F.concat(F.lit("Name: "), F.col("c_name"), F.lit("\r\nno pair\nSegment:  "), F.col("c_mktsegment"), F.lit(": "), F.col("c_nationkey").cast("string"), again)
+    file = F.when(F.col("c_nationkey") % 5 == 0, "").otherwise(file)
     pairs = t.customer.select(F.col("c_custkey").alias("id"), R.key_values(file).alias("m"))
     return pairs.select("id", F.col("m")["Name"].alias("name"), F.col("m")["Segment"].alias("segment"))
 

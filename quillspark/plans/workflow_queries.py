@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as X
 from quillspark.operators import archive as A
 from quillspark.plans.archive_queries import _NORM
 from quillspark.plans.registry import Tables, query
@@ -22,11 +23,18 @@ def exact_cache_hits(t: Tables) -> DataFrame:
     return A.exact_hits(saved, rows.select(F.col("search").alias("ask"), "prompt", "scope", F.concat(F.lit("m"), (F.col("turn") % 2).cast("string")).alias("model")))
 
 
-@query("""WITH n AS (SELECT p_partkey AS id, replace(p_name, ' ', '-') AS s, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part), taken AS (SELECT DISTINCT replace(p_name, ' ', '-') AS s FROM part WHERE p_size = 3)
-SELECT id, CASE WHEN n + (taken.s IS NOT NULL)::INT = 1 THEN n.s ELSE n.s || '-' || (n + (taken.s IS NOT NULL)::INT) END AS slug FROM n LEFT JOIN taken ON n.s = taken.s""")
+@query("""WITH titled AS (SELECT p_partkey AS id, CASE p_size % 7 WHEN 0 THEN left(p_name, 5) || ' ' || (1 + p_size % 4) WHEN 1 THEN '!?' ELSE left(p_name, 5) END AS title FROM part),
+s AS (SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM titled), n AS (SELECT id, s, row_number() OVER (PARTITION BY s ORDER BY id) AS n FROM s),
+taken AS (SELECT DISTINCT trim(regexp_replace(lower(left(p_name, 5)), '[^a-z0-9]+', '-', 'g'), '-') || (CASE WHEN p_size % 2 = 0 THEN '' ELSE '-3' END) AS name FROM part WHERE p_size IN (3, 4)),
+names AS (SELECT name FROM taken UNION SELECT s FROM s), free AS (SELECT s, m, row_number() OVER (PARTITION BY s ORDER BY m) AS k FROM (SELECT DISTINCT s FROM s), range(2, 3000) t(m) WHERE s || '-' || m NOT IN (SELECT name FROM names)),
+ranked AS (SELECT id, n.s, n - (n.s NOT IN (SELECT name FROM taken))::INT AS k FROM n)
+SELECT id, CASE WHEN r.k = 0 THEN r.s ELSE r.s || '-' || m END AS slug FROM ranked r LEFT JOIN free f ON f.s = r.s AND f.k = r.k""")
 def unique_slugs(t: Tables) -> DataFrame:
-    taken = t.part.where("p_size = 3").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("slug")).distinct().withColumn("n", F.lit(1))
-    return A.with_unique_slugs(t.part.select(F.col("p_partkey").alias("id"), "p_name"), taken, "p_name", "id").select("id", "slug")
+    """Titles that come again, that are empty, and that look like another one with a number."""
+    word = F.left("p_name", F.lit(5))
+    title = F.when(F.col("p_size") % 7 == 0, F.concat(word, F.lit(" "), (1 + F.col("p_size") % 4).cast("string"))).when(F.col("p_size") % 7 == 1, "!?").otherwise(word)
+    taken = t.part.where(F.col("p_size").isin(3, 4)).select(F.concat(X.slug(word), F.when(F.col("p_size") % 2 == 0, "").otherwise("-3")).alias("slug")).distinct()
+    return A.with_unique_slugs(t.part.select(F.col("p_partkey").alias("id"), title.alias("title")), taken, "title", "id").select("id", "slug")
 
 
 @query("""WITH m AS (SELECT DISTINCT l_orderkey AS project, l_partkey AS passage FROM lineitem WHERE l_returnflag = 'R'), a AS (SELECT DISTINCT l_orderkey AS project, l_partkey AS passage FROM lineitem WHERE l_quantity < 10)

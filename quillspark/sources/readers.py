@@ -47,9 +47,14 @@ class Unzip:
 
 
 def key_values(text: Column) -> Column:
-    """Map of a file of `key: value` lines."""
-    pairs = F.transform(F.filter(F.split(text, "\r?\n"), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))), F.trim(F.regexp_replace(x, "^[^:]*:", ""))))
-    return F.map_from_entries(pairs)
+    """Map of a file of `key: value` lines; a key that comes again has its last value."""
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: F.contains(x, F.lit(":")))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
+
+    def last(own: Column) -> Column:
+        return F.filter(own, lambda x, i: ~F.exists(F.slice(own, i + 2, F.size(own)), lambda y: y["key"] == x["key"]))
+
+    return F.map_from_entries(F.get(F.transform(F.array(pairs), last), F.lit(0)))
 
 
 def assembled(parts: DataFrame, key: str, order: str, separator: str = "\n\n") -> DataFrame:

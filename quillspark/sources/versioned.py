@@ -130,12 +130,15 @@ class VersionedTable:
         rest = self._of([p for p in parts if p in touched]).join(keys.select(*by).distinct(), by, "left_anti")
         return [p for p in parts if p not in touched], [self._written(rest)]
 
-    def replace(self, rows: DataFrame, by: list[str]) -> int:
-        """Rows take the place of those with the same key; keys of null are no keys and only added."""
+    def replace(self, rows: DataFrame, by: list[str], keys: DataFrame | None = None) -> int:
+        """Rows take the place of those with the same key, or of those with one of `keys`. A null is no key: rows with one are
+        only added."""
+        part = self._written(rows)
+        gone = self._of([part]) if keys is None else keys
 
         def change(now: dict) -> dict:
-            untouched, left = self._without(now.get("parts", []), rows, by)
-            return {"parts": [*untouched, *left, self._written(rows)]}
+            untouched, left = self._without(now.get("parts", []), gone, by)
+            return {"parts": [*untouched, *left, part]}
 
         return self.manifests.commit(change)
 

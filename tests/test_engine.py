@@ -6,13 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.operators import index as I
 from quillspark.operators import retrieval as R
 from quillspark.operators import search as S
 from quillspark.operators import tables as K
 from quillspark.plans import archive_queries, catalogue
 from quillspark.sources import readers
-from quillspark.streaming import ingest
 from tests.compare import compare
 
 DATA = "/root/testdata/sf0.001"
@@ -78,16 +76,6 @@ def test_cached_answers_need_enough_likeness(spark):
     assert [(x["id"], x["sim"]) for x in archive_queries.cached_answers(saved, asked).collect()] == [(1, 0.951)]
 
 
-def test_index_is_read_by_its_terms(spark, tmp_path):
-    texts = spark.createDataFrame([(1, "Ett hus, två hus"), (2, "hus"), (3, ""), (4, None), (5, "one two")], "id long, text string")
-    index = I.write_index(texts, str(tmp_path / "i"))
-    assert sorted(tuple(r) for r in index.read(spark, "postings").select("term", "id", "tf").collect()) == [("ett", 1, 1), ("hus", 1, 2), ("hus", 2, 1), ("one", 5, 1), ("två", 1, 1), ("two", 5, 1)]
-    found = I.bm25(spark, index, ["hus", "two"])
-    assert "PushedFilters: [In(term" in found._jdf.queryExecution().toString() or "PushedFilters: [Or(" in found._jdf.queryExecution().toString()
-    assert {r["id"] for r in found.collect()} == {1, 2, 5} and [r["id"] for r in I.bm25(spark, index, ["hus"], texts.where("id = 2").select("id")).collect()] == [2]
-    assert I.query_terms(['the "old" house*', "of house", "a-b(c)"]) == ["the", "old", "house", "abc"]
-
-
 def test_rerank_keeps_the_order_if_the_scorer_fails(spark):
     rows = spark.createDataFrame([(0, "en", "no word"), (1, "en", "the cat"), (2, "xx", "katten"), (3, "en", None)], "rank int, lang string, text string")
     found = S.reranked(rows, {"en": "the cat", "sv": "katten"}).orderBy("rank").collect()
@@ -124,14 +112,6 @@ def test_sources(spark, tmp_path):
         readers.write_manifest(works, str(tmp_path / "m"))
 
 
-def test_ingest_is_incremental(spark, tmp_path):
-    land, out, check = (str(tmp_path / x) for x in ("land", "out", "check"))
-    for part in ([(1, "en", "one " * 40), (2, "en", "two " * 40)], [(3, "en", "three " * 40)]):
-        spark.createDataFrame(part, "work_id long, lang string, text string").write.mode("append").parquet(land)
-        ingest.ingest(spark, land, out, check).awaitTermination()
-    assert sorted(r["text"].split()[0] for r in spark.read.parquet(out).collect()) == ["one", "three", "two"]
-
-
 def test_ranks_are_cut_ahead_of_the_shuffle(spark):
     rows = spark.range(0, 2000, 1, 4).selectExpr("id % 3 as q", "id", "(id * 37) % 101 as d")
     found = R.ranked(rows, ["d", "id"], ["q"], 2)
