@@ -23,11 +23,13 @@ def _plain(x: str) -> str:
     out = f"regexp_replace({x}, '<!--.*?-->', '', 'gs')"
     out = f"regexp_replace({out}, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'gis')"
     out = f"regexp_replace(regexp_replace({out}, '<h[1-6][^>]*>', chr(10) || chr(10) || chr(1), 'gi'), '</h[1-6]>', chr(2) || chr(10) || chr(10), 'gi')"
-    out = f"regexp_replace({out}, '<br[^>]*>', chr(10), 'gi')"
+    head = _entities("regexp_replace(split_part(h, chr(2), 1), '<[^>]*>', ' ', 'g')")
+    line = rf"upper(replace(trim(regexp_replace({head}, '[ \t\r\n]+', ' ', 'g')), 'ß', 'SS'))"
+    out = f"array_to_string(list_transform(string_split({out}, chr(1)), lambda h, j: CASE WHEN j > 1 AND contains(h, chr(2)) THEN {line} || substr(h, length(split_part(h, chr(2), 1)) + 2) ELSE h END), '')"
+    out = f"regexp_replace(replace({out}, chr(2), ''), '<br[^>]*>', chr(10), 'gi')"
     out = rf"regexp_replace({out}, '</?({C.BLOCKS})([ \t\r\n][^>]*)?>', chr(10) || chr(10), 'gi')"
     out = _entities(f"regexp_replace({out}, '<[^>]*>', '', 'g')")
-    out = f"array_to_string(list_transform(string_split({out}, chr(1)), lambda h, j: CASE WHEN j > 1 AND contains(h, chr(2)) THEN upper(replace(split_part(h, chr(2), 1), 'ß', 'SS')) || substr(h, length(split_part(h, chr(2), 1)) + 2) ELSE h END), '')"
-    out = rf"regexp_replace(regexp_replace(replace({out}, chr(2), ''), '[ \t\r]*\n[ \t\r]*', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g')"
+    out = rf"regexp_replace(regexp_replace({out}, '[ \t\r]*\n[ \t\r]*', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g')"
     return rf"regexp_replace({out}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.clean import decode_entities, html_to_text, without_blocks
 
+#: Fixed values, formats of the outside: an edition's URN, and its file in a repository's tree, whose name has those of its
+#: folders again.
 URN = r"^urn:cts:([A-Za-z]+):([^.\s]+)\.([^.\s]+)\.([^.\s:]+)$"
-#: An edition's file in a repository's tree: its folders' names come again in its own.
 EDITION_FILE = r"^data/([^/]+)/([^/]+)/\1\.\2\.([^/]+)\.xml$"
 
 
@@ -66,9 +67,23 @@ def wiki_pages(raw: DataFrame) -> DataFrame:
     return rows.select("x.parse.title", F.col("x.parse.text.`*`").alias("html"), best_quality(F.transform("x.parse.categories", lambda c: c["*"])).alias("quality"))
 
 
+#: Attributes of a page's facts, and how far behind one its name may stand; classes of an article's paragraphs
+#: that are none of its text, and of the one that says where it is from.
+FACT, NAMED, FAR = 'itemprop="{}"', 'itemprop="name"', 400
+ASIDE, ORIGIN = ("title", "information", "footer", "skip", "updat"), "information"
+
+
+def one_line(html: Column) -> Column:
+    """Text of a piece of a page, on one line."""
+    return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), r"\s+", " "))
+
+
 def item_property(html: Column, name: str) -> Column:
-    inner = F.regexp_extract(html, rf'(?is)<span[^>]*itemprop="{name}".{{0,400}}?itemprop="name"[^>]*>(.*?)</span>', 1)
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(inner, "<[^>]*>", " "), r"\s+", " ")), F.lit(""))
+    """The name that a page's fact has; null if there is none."""
+    behind = F.substring(html, F.nullif(F.instr(html, FACT.format(name)), F.lit(0)) + len(FACT.format(name)), FAR + len(NAMED) + 400)
+    at = F.instr(behind, NAMED)
+    value = F.regexp_extract(F.substring(behind, at + len(NAMED), FAR), "(?s)^[^>]*>(.*?)</span>", 1)
+    return F.when(at.between(1, FAR + 1), F.nullif(one_line(value), F.lit("")))
 
 
 def wiki_text(html: Column) -> Column:
@@ -80,14 +95,20 @@ def wiki_text(html: Column) -> Column:
 
 
 def article(html: Column, licensed: str) -> dict[str, Column]:
-    """title, provenance, licensed, text of a page that holds one article."""
-    strip = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"[ \t\r\n]+", " "))
-    heading = strip(F.regexp_extract(html, r"(?is)<h[1-4][^>]*>(.*?)</h[1-4]>", 1))
-    provenance = strip(F.regexp_extract(html, r'(?is)<p class="information">(.*?)</p>', 1))
-    body = F.regexp_replace(html, r"(?is)^.*?</head>", "")
-    body = F.regexp_replace(body, r'(?is)<p class="(title|information|footer|skip|updat)".*?</p>|<h[1-4][^>]*>.*?</h[1-4]>', "")
-    title = F.coalesce(F.nullif(heading, F.lit("")), strip(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)))
-    return {"title": title, "provenance": provenance, "licensed": provenance.rlike(licensed), "text": html_to_text(body)}
+    """title, provenance, licensed, text of a page that holds one article.
+
+    The page's paragraphs and headings are elements of an array; the first heading is the title, the first paragraph of the
+    class for it the provenance. Headings, and paragraphs of classes that stand aside, aren't text.
+    """
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<(h[1-4]|p|title)\b[^>]*>.*?</(?:h[1-4]|p|title)>"), 0)
+    heading = lambda e: e.rlike("(?i)^<h[1-4]")
+    of_class = lambda e, names: F.regexp_extract(e, '(?i)^<p class="([^"]*)"', 1).isin(*names)
+    first = lambda kind: F.coalesce(one_line(F.get(F.filter(found, kind), F.lit(0))), F.lit(""))
+    title = F.coalesce(F.nullif(first(heading), F.lit("")), first(lambda e: e.rlike("(?i)^<title>")))
+    provenance = first(lambda e: of_class(e, [ORIGIN]))
+    body = F.when(F.instr(F.lower(html), "</head>") > 0, F.substring(html, F.instr(F.lower(html), "</head>") + len("</head>"), F.length(html))).otherwise(html)
+    aside = F.filter(found, lambda e: heading(e) | of_class(e, ASIDE))
+    return {"title": title, "provenance": provenance, "licensed": provenance.rlike(licensed), "text": html_to_text(F.aggregate(aside, body, lambda text, e: F.replace(text, e, F.lit(""))))}
 
 
 def landed_texts(texts: DataFrame, pages: DataFrame) -> DataFrame:

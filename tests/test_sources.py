@@ -37,6 +37,7 @@ def test_wiki_text_and_properties(spark):
     (C.clean_locator, {"_Book_ 1--2 [note] ": "Book 1—2"}),
     (C.todays_letters, {"ſtaﬀ ﬁﬂ": "staff fifl", "buͤcher Ärger été ñ": "bücher Ärger été ñ", "plain": "plain"}),
     (C.decode_entities, {"a &amp; b &#233;&#xE9; &zz; &#0; &#1114112; &#xD800; &": "a & b éé &zz; &#0; &#1114112; &#xD800; &", "": "", "&AMP;&Auml;": "&AMP;Ä"}),
+    (C.html_to_text, {"<h2>The <b>Last</b>\n part<br>of&nbsp;it &amp; all</h2>x<p>y<br>z</p><h1></h1>": "THE LAST PART OF IT & ALL\n\nx\n\ny\nz", "<section>a</section>b<!-- no -->": "ab"}),
     (C.without_hyphens, {"bro-\n ken Up-\nTo": "broken Up-\nTo"}),
     (lambda c: C.file_name(c, "md"), {"Vad är Jaget?": "vad-är-jaget.md", "??": "search.md"}),
     (lambda c: C.without_boilerplate(c, "START", "END"), {"x\r\nSTART\r\na  \n\n\n\nb\nEND y": "a\n\nb", "no marks ": "no marks", "START only": "only"}),
