@@ -7,6 +7,8 @@ import functools
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
+#: Bytes of texts that are hashed together; a longer text goes alone.
+PART = 500_000
 _blank = np.zeros(256, bool)
 _blank[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -28,11 +30,25 @@ def shingles(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words of the texts, one text after another (repeats kept), and where each text's begin.
 
     Words are runs without white space. A text of fewer words has one shingle, all of them; one of no words has none.
+    Texts are taken a few at a time, so that besides the hashes only these are in memory.
     """
     encoded = [t.encode() for t in texts]
+    cuts, size = [0], 0
+    for i, e in enumerate(encoded):
+        size += len(e) + 1
+        if size >= PART:
+            cuts.append(i + 1)
+            size = 0
+    parts = [_shingles(encoded[a:b], k) for a, b in zip(cuts, [*cuts[1:], len(encoded)]) if b > a]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    return np.concatenate([h for h, _ in parts]), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(starts) for _, starts in parts]))))
+
+
+def _shingles(encoded: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b" ".join(encoded) + b" ", np.uint8)
     ends_of = np.cumsum([len(e) + 1 for e in encoded])
-    up, down = _powers(max(1 << 22, 1 << (len(buf) + 1).bit_length()))
+    up, down = _powers(max(1 << 20, 1 << (len(buf) + 1).bit_length()))
     blank = _blank[buf]
     edge = np.diff(blank.astype(np.int8), prepend=1)
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -40,7 +56,7 @@ def shingles(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     words = mixed((total[ends] - total[starts]) * down[starts])
     upto = np.searchsorted(starts, ends_of)
     counts = np.diff(upto, prepend=0)
-    owner = np.repeat(np.arange(len(texts)), counts)
+    owner = np.repeat(np.arange(len(encoded)), counts)
     n = len(words)
     padded = np.concatenate((words, np.zeros(k, np.uint64)))
     owners = np.concatenate((owner, np.full(k, -1)))

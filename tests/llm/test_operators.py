@@ -650,3 +650,15 @@ def test_jaccard_join_null_and_repeated_ids(spark):
     want = [(d, 7 if i < 20 else 9, n, c) for i, (d, n, c) in enumerate(zip(ids, links, copies))]
     want += [(None, 7, 3, 2), (9, 9, 3, 2), (2**60 + 1, 2**60 + 1, 0, 1), (7, 7, 0, 1)]
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found)
+
+
+def test_shingles_by_parts(monkeypatch):
+    from quillspark.llm import shingles
+
+    texts = ["", "one", "a b c d e f", *[prose(n, n) for n in range(40)], "é 日本 " * 30]
+    h, starts = shingles.shingles(texts)
+    monkeypatch.setattr(shingles, "PART", 50)
+    again, same = shingles.shingles(texts)
+    assert (h == again).all() and (starts == same).all() and len(starts) == len(texts) + 1
+    assert all((shingles.shingles([t])[0] == h[a:b]).all() for t, a, b in zip(texts, starts, starts[1:]))
+    assert shingles.shingles([])[0].size == 0 and shingles.shingles([])[1].tolist() == [0]
