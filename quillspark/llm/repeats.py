@@ -270,7 +270,8 @@ def _one_by_one(texts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(base: DataFrame, length: int, gram: int = GRAM, crowd: int = CROWD, task_bytes: int = TASK_BYTES) -> DataFrame:
     """row and spans, the starts (first, last) of its windows that also start elsewhere."""
     dealt = cut(_dealt(base, length, gram))
-    often = dealt.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram")
+    # Written, so that the join below has nothing but rows on either side and Spark can split a frequent gram.
+    often = cut(dealt.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram"))
     dealt = cut(dealt.join(often, "gram", "left_semi"))
     at = ("row", "first", "last", "head")
     different = cut(dealt.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.struct(*at)).alias("at")).select("gram", "content", "n", "at.*"))
