@@ -1,7 +1,7 @@
 """Source divergence audit: how far the sources of a language are apart in the terms they use, and which terms stand out.
 
-Each kept term is one wide row with its counts in an array by source. Higher-order functions turn the row into what it adds
-to the divergence of pairs of sources, and the aggregation sums these on the map side before any row is shuffled.
+Each kept term is one wide row with its counts in an array by source. Higher-order functions turn these into shares and emit
+the pairs of sources to which the term adds something, and the aggregation sums that on the map side before any row moves.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from quillspark.llm.common import cut
 #: What bytes become before a text is cut at blanks: of ASCII, letters stay, A-Z as small ones, and all else is a blank.
 FOLDED = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 #: Different terms that a worker counts before it hands their counts on.
-HELD = 300_000
+HELD = 600_000
 #: Shares are integers of the unit 1e9, which is the product of these: a division in two steps stays within 64 bits.
 STEPS = (100_000, 10_000)
 
@@ -108,12 +108,12 @@ def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFram
 
     rows = wide.join(audit.drop("sources"), "lang").withColumn("shares", F.zip_with("counts", "totals", lambda n, total: share(n, total, F.col("size"))))
     rows = rows.select("lang", "term", "counts", "shares", share(F.aggregate("counts", none, lambda a, n: a + n), F.col("whole"), F.col("size")).alias("q"))
-    having = F.filter(F.sequence(F.lit(0), F.size("counts") - 1), lambda i: F.get("counts", i) > 0)
-    each = rows.select("lang", "counts", "shares", F.explode(having).alias("s")).withColumn("p", F.get("shares", F.col("s")))
-    to = F.transform("shares", lambda q: gap(F.col("p"), q))
-    back = F.zip_with("shares", "counts", lambda q, n: F.when(n == 0, gap(q, F.col("p"))))
-    emitted = each.select("lang", "s", back.alias("back"), F.posexplode(to).alias("t", "to")).select("lang", "s", "t", "to", F.get("back", F.col("t")).alias("back"))
-    both = emitted.groupBy("lang", "s", "t").agg(F.sum("to").alias("to"), F.count("*").alias("n"), F.sum("back").alias("back"), F.count("back").alias("m"))
+    # Of each row the sources that have the term, each of which meets all sources; the gaps are worked out on flat columns.
+    entries = F.filter(F.zip_with(F.sequence(F.lit(0), F.size("counts") - 1), F.arrays_zip("counts", "shares"), lambda i, x: F.struct(i.alias("s"), x["counts"].alias("n"), x["shares"].alias("p"))), lambda e: e["n"] > 0)
+    each = rows.select("lang", "counts", "shares", F.explode(entries).alias("e")).select("lang", "counts", "shares", "e.s", "e.p")
+    met = each.select("lang", "s", "p", "counts", F.posexplode("shares").alias("t", "q"))
+    met = met.select("lang", "s", "t", gap(F.col("p"), F.col("q")).alias("to"), F.when(F.get("counts", F.col("t")) == 0, gap(F.col("q"), F.col("p"))).alias("back"))
+    both = cut(met.groupBy("lang", "s", "t").agg(F.sum("to").alias("to"), F.count("*").alias("n"), F.sum("back").alias("back"), F.count("back").alias("m")))
     first = both.select("lang", "s", "t", F.col("to").alias("v"), "n")
     second = both.select("lang", F.col("t").alias("s"), F.col("s").alias("t"), F.col("back").alias("v"), F.col("m").alias("n"))
     added = first.unionByName(second).groupBy("lang", "s", "t").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
