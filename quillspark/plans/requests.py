@@ -119,34 +119,6 @@ def parse_choice(answer: str, candidates: int) -> list[tuple[int, str]]:
     return list(found.items())
 
 
-class Plans:
-    """A cache of plans by question and filter, as JSON; entries of a wrong shape count as missing and are forgotten."""
-
-    def __init__(self) -> None:
-        self.kept: dict[str, str] = {}
-
-    @staticmethod
-    def key(text: str, axes: dict[str, tuple[str, ...]]) -> str:
-        return re.sub(r"\s+", " ", text.strip().lower()).rstrip(".!?… ") + "\n" + selection_key(axes)
-
-    def save(self, plan: Plan, axes: dict[str, tuple[str, ...]]) -> None:
-        body = {"hypotheses": [{"lang": a, "text": b} for a, b in plan.hypotheses], "keywords": plan.keywords, "mentions": plan.mentions}
-        self.kept[self.key(plan.question, axes)] = json.dumps(body, ensure_ascii=False)
-
-    def load(self, text: str, axes: dict[str, tuple[str, ...]]) -> Plan | None:
-        key = self.key(text, axes)
-        try:
-            return parse_plan(self.kept[key], text)
-        except KeyError:
-            return None
-        except Invalid:
-            del self.kept[key]
-            return None
-
-    def forget(self, text: str, axes: dict[str, tuple[str, ...]]) -> bool:
-        return self.kept.pop(self.key(text, axes), None) is not None
-
-
 def progress(steps: Iterable[tuple[str, object]]) -> Iterable[tuple[str, object]]:
     """Events of a search in order: each step's, then one 'done', or one 'failed' with what went wrong; nothing after it."""
     try:

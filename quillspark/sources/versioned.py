@@ -111,44 +111,74 @@ class VersionedTable:
         rows.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.parquet(f"{self.path}/data/{name}")
         return name
 
+    def _appended(self, parts: list[str], rows: DataFrame) -> list[str]:
+        return [*parts, self._written(rows)]
+
+    def _without(self, parts: list[str], keys: DataFrame, by: list[str]) -> list[str]:
+        """Parts that hold none of the keys as they are, and what is left of the others as a new one."""
+        if not parts:
+            return []
+        held = self._of(parts).withColumn("_part", F.regexp_extract(F.col("_metadata.file_path"), "/data/([^/]+)/[^/]+$", 1))
+        named = keys.select(*by).distinct()
+        touched = {r[0] for r in held.join(named, by, "left_semi").select("_part").distinct().collect()}  # parts of the manifest
+        if not touched:
+            return parts
+        rest = self._of([p for p in parts if p in touched]).join(named, by, "left_anti")
+        return [*(p for p in parts if p not in touched), self._written(rest)]
+
+    def _replaced(self, parts: list[str], rows: DataFrame, by: list[str]) -> list[str]:
+        part = self._written(rows)
+        return [*self._without(parts, self._of([part]), by), part]
+
     def append(self, rows: DataFrame | Callable[[DataFrame], DataFrame]) -> int:
         """Add rows. A function gets the rows there are and gives those to add; it is asked anew when another writer was
         first, so that what it has checked holds in the version that it makes."""
         if not callable(rows):
             part = self._written(rows)
             return self.manifests.commit(lambda now: {"parts": [*now.get("parts", []), part]})
-        return self.manifests.commit(lambda now: {"parts": [*now.get("parts", []), self._written(rows(self._of(now.get("parts", []))))]})
-
-    def _without(self, parts: list[str], keys: DataFrame, by: list[str]) -> tuple[list[str], list[str]]:
-        """Parts that hold none of the keys, and what is left of the others, as a new part. The rest isn't written again."""
-        if not parts:
-            return [], []
-        held = self._of(parts).withColumn("_part", F.regexp_extract(F.col("_metadata.file_path"), "/data/([^/]+)/[^/]+$", 1))
-        touched = {r[0] for r in held.join(keys.select(*by).distinct(), by, "left_semi").select("_part").distinct().collect()}  # parts of the manifest
-        if not touched:
-            return parts, []
-        rest = self._of([p for p in parts if p in touched]).join(keys.select(*by).distinct(), by, "left_anti")
-        return [p for p in parts if p not in touched], [self._written(rest)]
+        return self.manifests.commit(lambda now: {"parts": self._appended(now.get("parts", []), rows(self._of(now.get("parts", []))))})
 
     def replace(self, rows: DataFrame, by: list[str], keys: DataFrame | None = None) -> int:
         """Rows take the place of those with the same key, or of those with one of `keys`. A null is no key: rows with one are
         only added."""
         part = self._written(rows)
         gone = self._of([part]) if keys is None else keys
-
-        def change(now: dict) -> dict:
-            untouched, left = self._without(now.get("parts", []), gone, by)
-            return {"parts": [*untouched, *left, part]}
-
-        return self.manifests.commit(change)
+        return self.manifests.commit(lambda now: {"parts": [*self._without(now.get("parts", []), gone, by), part]})
 
     def delete(self, keys: DataFrame, by: list[str]) -> int:
-        def change(now: dict) -> dict:
-            untouched, left = self._without(now.get("parts", []), keys, by)
-            return {"parts": [*untouched, *left]}
-
-        return self.manifests.commit(change)
+        return self.manifests.commit(lambda now: {"parts": self._without(now.get("parts", []), keys, by)})
 
     def rewrite(self, change: Callable[[DataFrame], DataFrame]) -> int:
         """All rows anew, from those there are; also puts many small parts together."""
         return self.manifests.commit(lambda now: {"parts": [self._written(change(self._of(now.get("parts", []))))]})
+
+
+class Store:
+    """Several tables under one manifest: a transaction changes any of them, and all or nothing of it is seen."""
+
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str]) -> None:
+        self.manifests = Manifests(spark, path)
+        self.tables = {name: VersionedTable(spark, f"{path}/{name}", schema) for name, schema in schemas.items()}
+
+    def version(self) -> int:
+        return self.manifests.latest()
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        return self._at(self.manifests.at(self.version() if version is None else version))[name]
+
+    def _at(self, manifest: dict) -> dict[str, DataFrame]:
+        return {name: table._of(manifest.get(name, [])) for name, table in self.tables.items()}
+
+    def transact(self, change: Callable[[dict[str, DataFrame]], list[tuple]]) -> int:
+        """Commit what change gives for the tables as they are: ("append", table, rows), ("replace", table, rows, by) and
+        ("delete", table, keys, by), one after another. It is asked anew when another writer was first, so that its guards
+        hold in the version it makes; with nothing to do nothing is committed. Returns the version in force."""
+        kinds = {"append": VersionedTable._appended, "replace": VersionedTable._replaced, "delete": VersionedTable._without}
+
+        def once(now: dict) -> dict | None:
+            new = dict(now)
+            for kind, name, *given in change(self._at(now)):
+                new[name] = kinds[kind](self.tables[name], new.get(name, []), *given)
+            return None if new == now else new
+
+        return self.manifests.commit(once)

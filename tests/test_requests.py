@@ -38,15 +38,6 @@ def test_choice():
     assert Q.parse_choice(answer, 4) == [(3, "fits"), (2, "also")] and Q.parse_choice("{}", 4) == []
 
 
-def test_plan_cache():
-    cache, axes = Q.Plans(), {"genre": ("drama",)}
-    plan = Q.offline_plan("Who  is it?")
-    cache.save(plan, axes)
-    assert cache.load("who is it", axes).hypotheses == plan.hypotheses and cache.load("who is it", {}) is None
-    cache.kept[cache.key("Who is it?", axes)] = '{"hypotheses": 5}'
-    assert cache.load("who is it", axes) is None and not cache.kept and not cache.forget("who is it", axes)
-
-
 def test_progress():
     def broken():
         yield "plan", 1
