@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to, then letters that fold to two.
-ACCENTED, PLAIN = "àáâãäåāăąçćčďèéêëēęěìíîïīıñńňòóôõöōőøùúûüūůűýÿžźżšśťřłđð", "aaaaaaaaacccdeeeeeeeiiiiiinnnoooooooouuuuuuuyyzzzsstrldd"
-DIGRAPHS = {"æ": "ae", "œ": "oe", "þ": "th", "ß": "ss"}
+#: Letters that no mark can be taken from, and what they fold to; the marks that are taken off.
+SPECIAL = {"ø": "o", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ł": "l", "ß": "ss"}
+MARKS = ("\u0300", "\u036f")
+
+
+def _bare(letter: str) -> str:
+    """A letter without its marks, in lower case, by the character data that Unicode publishes."""
+    return "".join(c for c in unicodedata.normalize("NFD", letter) if not MARKS[0] <= c <= MARKS[1]).lower()
+
+
+#: Letters that are one letter once their marks are off, and which.
+BARE = {c: b for c in map(chr, range(0x80, 0x10000)) if c.isalpha() and len(b := _bare(c)) == 1 and b != c.lower() and (b.isascii() or b in SPECIAL)}
 #: First years of the periods after the first, and all their names in order.
 PERIOD_STARTS, PERIODS = (500, 1450, 1650, 1800, 1900), ("antiquity", "medieval", "renaissance", "enlightenment", "nineteenth", "modern")
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics; runs of anything but letters and digits become one space."""
-    folded = F.translate(F.lower(text), ACCENTED, PLAIN)
-    for letter, both in DIGRAPHS.items():
-        folded = F.replace(folded, F.lit(letter), F.lit(both))
+    """Lower case without diacritics, whether they are marks of their own or part of a letter; runs of anything but letters
+    and digits become one space."""
+    plain = F.regexp_replace(text, f"[{MARKS[0]}-{MARKS[1]}]", "")
+    folded = F.lower(F.translate(plain, "".join(BARE), "".join(BARE.values())))
+    for letter, other in SPECIAL.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(other))
     return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 
