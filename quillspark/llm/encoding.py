@@ -20,8 +20,8 @@ from quillspark.llm.common import text_columns
 #: The pattern of words and the mark of a word's end.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
-#: Most words and pairs that a Python worker remembers; beyond it, it starts anew. Results don't depend on it.
-REMEMBERED = 800_000
+#: Most words, and pairs of tokens, that a Python worker remembers; beyond it, it starts anew. Results don't depend on it.
+REMEMBERED, PAIRS = 600_000, 500_000
 BLANK = pa.scalar(" ", pa.large_string())
 
 
@@ -42,30 +42,33 @@ class PrefixEncoder:
     def __init__(self, vocab: dict[str, int], ranks: dict[tuple[str, str], int]) -> None:
         self.ranks = ranks
         self.longest = max(len(t.removesuffix(END)) for t in vocab)
-        #: Tokens that merging gives back from their own symbols; no other can stand in an encoding.
-        self.alone = {t for t in vocab if bpe.merge(self.symbols(t), ranks) == [t]}
-        self.follows: dict[tuple[str, str], bool] = {}
+        #: Tokens that merging gives back from their own symbols, by number; no other can stand in an encoding.
+        self.tokens = [t for t in vocab if bpe.merge(self.symbols(t), ranks) == [t]]
+        self.alone = {t: i for i, t in enumerate(self.tokens)}
+        self.follows: dict[int, bool] = {}  # by the pair's numbers as one
 
     @staticmethod
     def symbols(token: str) -> list[str]:
         return [*token[: -len(END) - 1], token[-len(END) - 1 :]] if token.endswith(END) and len(token) > len(END) else list(token)
 
-    def may_follow(self, last: str, token: str) -> bool:
-        if len(self.follows) > REMEMBERED:
+    def may_follow(self, last: int, token: int) -> bool:
+        if len(self.follows) > PAIRS:
             self.follows.clear()
-        known = self.follows[last, token] = bpe.merge([*last, *self.symbols(token)], self.ranks) == [last, token]
+        both = [self.tokens[last], self.tokens[token]]
+        known = self.follows[last * len(self.tokens) + token] = bpe.merge([*both[0], *self.symbols(both[1])], self.ranks) == both
         return known
 
-    def last_token(self, word: str, at: int, states: list[str], end: str = "") -> str:
-        """The last token of word[:at], with the end mark if given; states: those of the shorter prefixes, from 0 on."""
-        alone, known = self.alone, self.follows.get
+    def last_token(self, word: str, at: int, states: list[int], end: str = "") -> int:
+        """The number of the last token of word[:at], with the end mark if given; states: those of the shorter prefixes, from
+        0 on."""
+        alone, known, n = self.alone.get, self.follows.get, len(self.tokens)
         for start in range(at - self.longest if at > self.longest else 0, at):
-            token = word[start:at] + end
-            if token in alone:
+            token = alone(word[start:at] + end)
+            if token is not None:
                 if start == 0:
                     return token
                 last = states[start]
-                if (fits := known((last, token))) is None:
+                if (fits := known(last * n + token)) is None:
                     fits = self.may_follow(last, token)
                 if fits:
                     return token
@@ -77,7 +80,7 @@ class PrefixEncoder:
         Sorted words are their trie in depth-first order: the walk comes back to the depth that a word shares with the one
         before it, and goes on from the states kept there. States are worked out when a word first needs them.
         """
-        before, states, alone = "", [""], self.alone
+        before, states, alone, tokens = "", [-1], self.alone, self.tokens
         for word in sorted(words):
             if word + END in alone:
                 yield word, [word + END]
@@ -91,15 +94,15 @@ class PrefixEncoder:
             size = len(word)
             for at in range(len(states), size):
                 states.append(self.last_token(word, at, states))
-            token = self.last_token(word, size, states, END)
-            tokens, at = [token], size - len(token) + len(END)
+            token = tokens[self.last_token(word, size, states, END)]
+            found, at = [token], size - len(token) + len(END)
             while at > 0:
-                token = states[at]
-                tokens.append(token)
+                token = tokens[states[at]]
+                found.append(token)
                 at -= len(token)
             before = word[:-1]
-            tokens.reverse()
-            yield word, tokens
+            found.reverse()
+            yield word, found
 
 
 class Texts:
@@ -109,7 +112,7 @@ class Texts:
         self.vocab, self.added, self.encoder = vocab, added, PrefixEncoder(vocab, ranks)
         self.words = regex.compile(WORDS).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, str] = {}  # ids, a line break, tokens
 
     def cut(self, text: str) -> list[str]:
         """Words of a text; added tokens stand for themselves."""
@@ -123,9 +126,9 @@ class Texts:
             self.known.clear()
         new = {bpe.in_alphabet(w): w for w in words if w not in self.known and w[0] != "\n"}
         for spelled, tokens in self.encoder.encode(list(new)):
-            self.known[new[spelled]] = (len(tokens), " ".join(str(self.vocab[t]) for t in tokens), " ".join(tokens))
+            self.known[new[spelled]] = f"{' '.join(str(self.vocab[t]) for t in tokens)}\n{' '.join(tokens)}"
         for text, i in self.added.items():
-            self.known[f"\n{text}"] = (1, str(i), text)
+            self.known[f"\n{text}"] = f"{i}\n{text}"
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of tokens, ids joined by spaces, decoded text) of each. Without a decoder of its own, the file's tokens
@@ -136,10 +139,10 @@ class Texts:
         words = pa.array(list(itertools.chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         self.learn(set(distinct))
-        found = [self.known[w] for w in distinct]
+        found = [self.known[w].split("\n", 1) for w in distinct]
         at = words.indices
-        counts = np.concatenate(([0], np.cumsum(np.array([n for n, _, _ in found], np.int64)[at.to_numpy()] if found else [0])))
-        told = [pc.binary_join(pa.LargeListArray.from_arrays(upto, pa.array([f[k] for f in found], pa.large_string()).take(at)), BLANK).to_pylist() for k in (1, 2)]
+        counts = np.concatenate(([0], np.cumsum(np.array([ids.count(" ") + 1 for ids, _ in found], np.int64)[at.to_numpy()] if found else [0])))
+        told = [pc.binary_join(pa.LargeListArray.from_arrays(upto, pa.array([f[k] for f in found], pa.large_string()).take(at)), BLANK).to_pylist() for k in (0, 1)]
         return list(zip((counts[upto[1:]] - counts[upto[:-1]]).tolist(), *told))
 
 
