@@ -6,10 +6,10 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.operators import index as I
 from quillspark.operators import retrieval as R
@@ -82,12 +82,11 @@ def reranked(rows: DataFrame, questions: dict[str, str], scorer: Callable[[list[
     degraded; nothing fails.
     """
     any_ = next(iter(questions.values()), "")
-    columns = [f for f in rows.schema.fields if f.name not in ("pair_score",)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", pair_score double, failed boolean"
+    own = rows.drop("pair_score")
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(questions.get(lang, questions.get(fallback, any_)), (text or "")[:SEEN]) for lang, text in zip(batch["lang"], batch["text"])]
+            pairs = [(questions.get(lang, questions.get(fallback, any_)), (text or "")[:SEEN]) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())]
             found, failed = [], False
             for at in range(0, len(pairs), BATCH):
                 try:
@@ -95,9 +94,10 @@ def reranked(rows: DataFrame, questions: dict[str, str], scorer: Callable[[list[
                 except Exception:  # whatever a model raises, the search goes on
                     found += [float("nan")] * len(pairs[at : at + BATCH])
                     failed = True
-            yield batch.assign(pair_score=np.array(found, float), failed=failed)
+            new = [pa.array(found, pa.float64()), pa.array([failed] * len(pairs), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "pair_score", "failed"])
 
-    told = rows.mapInPandas(scored, schema)
+    told = own.mapInArrow(scored, T.StructType([*own.schema.fields, *T.StructType.fromDDL("pair_score double, failed boolean").fields]))
     told = told.withColumn("degraded", F.bool_or("failed").over(Window.partitionBy())).drop("failed")  # a pool of candidates
     order = [F.when(~F.col("degraded"), -F.round("pair_score", 9)), F.col("old")]
     told = R.ranked(told.withColumnRenamed("rank", "old"), order)
@@ -107,9 +107,9 @@ def reranked(rows: DataFrame, questions: dict[str, str], scorer: Callable[[list[
 def embedded(texts: DataFrame, role: str = "passage", width: int = 64) -> DataFrame:
     """id, v of (id, text): a unit vector of hashed words, summed with signs; a stand-in for a model with the same contract
     (a role before the text, mean over words, length 1). A text without words has a vector of zeros."""
-    words = F.concat(F.array(F.concat(F.lit(role), F.lit(":"))), I.terms_of(F.col("text")))
-    hashes = F.transform(F.when(F.size(I.terms_of(F.col("text"))) > 0, words).otherwise(F.array().cast("array<string>")), lambda w: F.xxhash64(w))
-    at = texts.select("id", hashes.alias("h"))
+    words = I.terms_of(F.coalesce("text", F.lit("")))
+    told = F.transform(F.when(F.size(words) > 0, F.concat(F.array(F.lit(f"{role}:")), words)).otherwise(F.array().cast("array<string>")), lambda w: F.xxhash64(w))
+    at = texts.select("id", told.alias("h"))
 
     def summed(i: Column) -> Column:
         own = F.filter("h", lambda h: F.pmod(h, F.lit(width)) == i)

@@ -7,8 +7,9 @@ from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Elements whose content is no text of the work, that mark emphasis, and that end a paragraph.
 DROPPED = frozenset("note bibl fw figure figDesc teiHeader ref del sic".split())
@@ -111,9 +112,12 @@ def tei_segments(works: DataFrame) -> DataFrame:
     document has no rows; broken tags are skipped.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(w, i, *s) for w, xml in zip(batch["work_id"], batch["xml"]) for i, s in enumerate(segments(xml))]
-            yield pd.DataFrame(rows, columns=["work_id", "i", "path", "head", "text"])
+            found = [list(segments(xml)) for xml in batch.column("xml").to_pylist()]
+            at = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int32())
+            told = list(zip(*[(i, *s) for rows in found for i, s in enumerate(rows)])) or [(), (), (), ()]
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("work_id").take(at), *[pa.array(c, kind) for c, kind in zip(told, kinds)]], ["work_id", "i", "path", "head", "text"])
 
-    return works.where("xml is not null").select("work_id", "xml").mapInPandas(read, "work_id long, i long, path string, head string, text string")
+    return works.where("xml is not null").select(F.col("work_id").cast("long").alias("work_id"), "xml").mapInArrow(read, "work_id long, i long, path string, head string, text string")
