@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.stems import Terms
-from quillspark.sources.versioned import Conflict, Manifests
+from quillspark.sources.versioned import Conflict, Manifests, shared_folder
 
 WORDS = r"[\p{L}\p{N}]+"
 POSTINGS = "term string, id long, work string, tf int, dl int, places array<int>, segment string"
@@ -200,7 +200,7 @@ class Index:
 def index_for(spark: SparkSession, texts: DataFrame) -> View:
     """The index of passages that no ingest has indexed: written once for the state of the files they come from, and found
     again by any session that has the same shared folder (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    base = shared_folder(spark)
     jvm, state = spark.sparkContext._jvm, hashlib.sha256()
     for name in sorted(texts.inputFiles()):
         file = jvm.org.apache.hadoop.fs.Path(name)

@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 TRIES = 100
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or else the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+
+
 class Conflict(Exception):
     """Other writers came first, again and again."""
 
