@@ -42,12 +42,31 @@ def lifespan(name: Column) -> Column:
     return F.struct(year(1).alias("born"), year(3).alias("died"))
 
 
-def display_name(name: Column) -> Column:
-    """`Surname, F. (Forename), years` as `Forename Surname`; a name without a comma stays as it is."""
-    plain = F.trim(F.regexp_replace(name, r", *[0-9?].*$", ""))
-    surname, rest = F.trim(F.split_part(plain, F.lit(","), F.lit(1))), F.trim(F.split_part(plain, F.lit(","), F.lit(2)))
-    full = F.regexp_extract(rest, r"\(([^)]*)\)", 1)
-    return F.trim(F.concat_ws(" ", F.when(full != "", full).otherwise(rest), surname))
+#: Fixed value: what stands behind a name in a catalogue and isn't shown.
+HONORIFIC = r"(?i)^(saint|st\.?|jr\.?|sir|dame|lord|lady|baron|baronne|freiherr( von)?|kniaz|marquis( de)?|comte( de)?|graf|von|de|d'|emperor of rome|of hippo|active .*|approximately .*)$"
+
+
+def display_name(name: Column, overrides: dict[str, str] | None = None) -> Column:
+    """`Surname, F. (Forename), epithet, years` as `Forename Surname, epithet`; a name without a comma stays as it is.
+
+    Years and honorifics aren't shown. overrides: names for catalogue names that begin with these; the first of them counts.
+    """
+    parts = F.filter(F.transform(F.split(name, ","), lambda p: F.trim(p)), lambda p: p != "")
+    second = F.get(parts, F.lit(1))
+    spelled = F.regexp_extract(second, r"\(([^)]+)\)", 1)
+    dated = second.rlike("^[0-9?]")
+    bare = F.when(dated, F.get(parts, F.lit(0))).otherwise(F.concat_ws(" ", F.when(spelled != "", spelled).otherwise(second), F.get(parts, F.lit(0))))
+    epithets = F.filter(F.slice(parts, F.when(dated, 2).otherwise(3), F.lit(99)), lambda p: ~p.rlike("^[0-9?]") & ~p.rlike(HONORIFIC))
+    both = F.concat_ws(", ", F.trim(F.regexp_replace(bare, r"\s+", " ")), F.nullif(F.array_join(epithets, ", "), F.lit("")))
+    found = F.when(F.size(parts) < 2, F.coalesce(F.get(parts, F.lit(0)), name)).otherwise(both)
+    for start, shown in reversed((overrides or {}).items()):
+        found = F.when(F.startswith(name, F.lit(start)), shown).otherwise(found)
+    return found
+
+
+def overridden(column: Column, key: Column, overrides: dict[str, str]) -> Column:
+    """The value that a key is given by hand, or else the column's; an unknown key changes nothing."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair]), key), column) if overrides else column
 
 
 def volume_of(title: Column) -> Column:
@@ -107,6 +126,24 @@ def line_cost(tokens: Column, per_million: Column, kind: Column) -> Column:
     return tokens * per_million * factor / 1e6
 
 
+def fixed(x: Column, digits: int, lang: str = "en") -> Column:
+    """A number with so many decimals as a language writes it: Swedish has a comma and blanks that don't break."""
+    shown = F.format_number(x, digits)
+    return F.translate(shown, ",.", "\u00a0,") if lang == "sv" else shown
+
+
+def usd_shown(cost: Column, lang: str = "en") -> Column:
+    """A cost in dollars with four decimals; what is less than the last of them is told so."""
+    return F.when(cost <= 0, "$0").when(cost < 0.0001, F.concat(F.lit("<$"), fixed(F.lit(0.0001), 4, lang))).otherwise(F.concat(F.lit("$"), fixed(cost, 4, lang)))
+
+
+def sek_shown(cost: Column, lang: str = "en") -> Column:
+    """A cost in kronor with two decimals, three below ten öre."""
+    unit = F.lit(" kr" if lang == "sv" else " SEK")
+    small = F.when(cost < 0.1, fixed(cost, 3, lang)).otherwise(fixed(cost, 2, lang))
+    return F.concat(F.when(cost <= 0, "0").when(cost < 0.001, F.concat(F.lit("<"), fixed(F.lit(0.001), 3, lang))).otherwise(small), unit)
+
+
 def tokens_shown(n: Column) -> Column:
     """A number of tokens, from a thousand on in thousands with one decimal, cut off."""
     return F.when(n < 1000, n.cast("string")).otherwise(F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.floor(n % 1000 / 100).cast("string"), F.lit("k")))

@@ -114,3 +114,11 @@ def recall(verdicts: DataFrame) -> DataFrame:
     """question, testable, hits, recall over what could be found; null where nothing could."""
     by = verdicts.groupBy("question").agg(F.count_if(F.col("verdict") != "not indexed").alias("testable"), F.count_if(F.col("verdict") == "hit").alias("hits"))
     return by.withColumn("recall", F.round(F.try_divide("hits", "testable"), 6))
+
+
+def gold_minimums(asked: DataFrame, found: DataFrame, home: str = "sv") -> DataFrame:
+    """question, genres, own, genres_ok, own_ok: whether what was found (question, genre, lang) has as many genres and passages in
+    the home language as were asked for (question, min_genres, min_own); null where no minimum is set."""
+    by = found.groupBy("question").agg(F.countDistinct("genre").alias("genres"), F.count_if(F.col("lang") == home).alias("own"))
+    rows = asked.join(by, "question", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("genres", "own")})
+    return rows.select("question", "genres", "own", (F.col("genres") >= F.col("min_genres")).alias("genres_ok"), (F.col("own") >= F.col("min_own")).alias("own_ok"))

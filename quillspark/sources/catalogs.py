@@ -143,3 +143,18 @@ def admitted(works: DataFrame, denied_titles: str, allowed: DataFrame, denied: D
     names is out whatever else. The lists (id) are joined, not collected."""
     named = works.join(allowed.select("id").distinct().withColumn("_allowed", F.lit(True)), "id", "left").join(denied.select("id").distinct(), "id", "left_anti")
     return named.where(F.col("_allowed").isNotNull() | ~F.coalesce(F.col("title"), F.lit("")).rlike(denied_titles)).drop("_allowed")
+
+
+def from_parts(works: DataFrame, pages: DataFrame, licensed: str) -> DataFrame:
+    """id, text, skipped of works (id, parts: an array of names) put together from the articles of their pages (part, html).
+
+    Parts stand in their order, each under its title in capitals. A part without a licence is skipped and counted, as is one
+    that hasn't landed; a short one is left out. A work without any part has a null text.
+    """
+    told = article(F.col("html"), licensed)
+    read_ = pages.select("part", told["title"].alias("title"), told["licensed"].alias("licensed"), told["text"].alias("text"))
+    rows = works.select("id", F.posexplode_outer("parts").alias("n", "part")).join(read_, "part", "left")
+    kept = F.col("licensed") & (F.length("text") >= FLOORS["short text"])
+    section = F.struct("n", F.concat(F.upper("title"), F.lit("\n\n"), F.col("text")).alias("s"))
+    by = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.when(kept, section))).alias("x"), F.count_if(F.col("part").isNotNull() & ~F.coalesce("licensed", F.lit(False))).alias("skipped"))
+    return by.select("id", F.nullif(F.array_join(F.transform("x", lambda s: s["s"]), "\n\n"), F.lit("")).alias("text"), "skipped")

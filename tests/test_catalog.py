@@ -23,3 +23,20 @@ def test_names_and_titles(spark):
     assert tuple(row["l"]) == (-43, 17) and tuple(row["none"]) == (None, None) and (row["shown"], row["plain"]) == ("Jane Doe", "Homer")
     assert (row["base"], row["volume"], row["key"]) == ("The Sea", 3, "sea") and row["numeral"] and not row["empty"] and row["years"] == [1850, 1901]
     assert (row["long"], row["unmeasured"], row["bce"]) == ("1 min 1 s", None, "44 BCE")
+
+
+def test_names_as_they_are_shown(spark):
+    told = {
+        "Doe, J. (Jane), 43 BCE-17": "Jane Doe", "Homer": "Homer", "Acton, John Emerich Edward Dalberg Acton, Baron, 1834-1902": "Lord Acton", "Plato, 428-348": "Plato", "Eusebius, Bishop of Caesarea": "Bishop of Caesarea Eusebius",
+        "Lee, Vernon, the Younger, Sir": "Vernon Lee, the Younger", "Mill,  John   Stuart ": "John Stuart Mill", "": "", " , ": " , ",
+    }
+    rows = spark.createDataFrame(list(told.items()), "x string, want string").select("want", C.display_name(F.col("x"), {"Acton, John Emerich": "Lord Acton", "Acton": "never"}).alias("found")).collect()
+    assert [r["found"] for r in rows] == [r["want"] for r in rows]
+    one = spark.range(1).select(C.overridden(F.lit("a"), F.lit("k"), {"k": "b"}).alias("x"), C.overridden(F.lit("a"), F.lit("z"), {"k": "b"}).alias("y"), C.overridden(F.lit("a"), F.lit("z"), {}).alias("z")).first()
+    assert tuple(one) == ("b", "a", "a")
+
+
+def test_costs_as_they_are_shown(spark):
+    told = {0.0: ("$0", "0 kr"), -1.0: ("$0", "0 kr"), 0.00001: ("<$0.0001", "<0,001 kr"), 0.01234: ("$0.0123", "0,012 kr"), 0.5: ("$0.5000", "0,50 kr"), 1234.5: ("$1,234.5000", "1\u00a0234,50 kr")}
+    rows = spark.createDataFrame([(x,) for x in told], "x double").select("x", C.usd_shown(F.col("x")).alias("usd"), C.sek_shown(F.col("x"), "sv").alias("sek")).collect()
+    assert {r["x"]: (r["usd"], r["sek"]) for r in rows} == told
