@@ -61,9 +61,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
             for lo in range(0, len(batch), 64):
                 for lang, source, text in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns)):
                     times, seen = groups.setdefault((lang, source), (Counter(), Counter()))
-                    own = Counter(terms(text))
-                    times.update(own)
-                    seen.update(own.keys())
+                    words = terms(text)
+                    times.update(words)
+                    seen.update(set(words))
                 if sum(len(times) for times, _ in groups.values()) >= HELD:
                     yield told()
                     groups.clear()
