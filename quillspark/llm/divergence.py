@@ -50,8 +50,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
         groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
         def told() -> pa.RecordBatch:
-            rows = [(*g, t, n, seen[t]) for g, (times, seen) in groups.items() for t, n in times.items()]
-            lang, source, term, n, d = zip(*rows)
+            lang, source, term, n, d = [], [], [], [], []
+            for (a, b), (times, seen) in groups.items():
+                lang += [a] * len(times)
+                source += [b] * len(times)
+                term += times
+                n += times.values()
+                d += map(seen.__getitem__, times)
             return pa.RecordBatch.from_arrays(
                 [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())],
                 ["lang", "source", "term", "n", "d"],
