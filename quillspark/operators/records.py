@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import prompt_norm, tags_of, text_hash
 from quillspark.operators import archive as A
+from quillspark.operators import retrieval as R
 from quillspark.operators import tables as K
 from quillspark.sources.versioned import Store
 
@@ -75,6 +76,32 @@ class Records:
         found = rows.select("slug", "prompt", "scope", "model", "cost", "at", chosen.cast("long").alias("passage_count")).orderBy(F.desc("at"), "slug")
         return found if limit is None else found.limit(limit)
 
+    def hydrated(self, passages: DataFrame) -> DataFrame:
+        """slug, id, relevance, text, n of the chosen passages of saved searches that are still what they were, numbered from 1
+        without gaps; passages (id, text)."""
+        refs = self.read("searches").select("slug", F.posexplode("passages").alias("_at", "p")).where("coalesce(p.relevance, '') <> ''")
+        rows = K.guarded(refs.select("slug", "_at", "p.id", "p.hash", "p.relevance"), passages).where("NOT lost")
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy("slug").orderBy("_at", "id"))).select("slug", "id", "relevance", "text", "n")
+
+    def answers(self, asked: DataFrame, passages: DataFrame, looked_at: int = 5, least: float = 0.95) -> DataFrame:
+        """key, slug, how, similarity for questions (key, prompt, scope, model, v) that a saved search answers.
+
+        The newest search with the same normal prompt, scope and model answers exactly. Without one, the nearest of the
+        `looked_at` searches nearest to v does, if it is as near as `least` and has the same scope and model. Either must have
+        a chosen passage that is still what it was. Others of the questions have no row.
+        """
+        usable = self.hydrated(passages).select("slug").distinct()
+        saved = self.read("searches").withColumn("_id", F.xxhash64("slug"))
+        own = asked.withColumn("_prompt", prompt_norm(F.col("prompt")))
+        newest = saved.groupBy(F.col("prompt_norm").alias("_prompt"), "scope", "model").agg(F.max_by("slug", F.struct("at", "slug")).alias("slug"))
+        exact = own.join(newest, ["_prompt", "scope", "model"]).join(usable, "slug", "left_semi").select("key", "slug", F.lit("exact").alias("how"), F.lit(1.0).alias("similarity"))
+        rest = own.join(exact, "key", "left_anti").withColumn("_q", F.xxhash64("key"))
+        near = R.nearest(saved.where("v IS NOT NULL").select(F.col("_id").alias("id"), "v"), rest.select(F.col("_q").alias("q"), F.col("v").alias("qv")), looked_at)
+        near = near.where(1 - F.col("d") >= least).join(saved.select(F.col("_id").alias("id"), "slug", "scope", "model"), "id").join(usable, "slug", "left_semi")
+        met = near.join(rest.select(F.col("_q").alias("q"), "key", "scope", "model"), ["q", "scope", "model"])
+        first = met.groupBy("key").agg(F.min(F.struct("d", "rank", "slug")).alias("x"))
+        return exact.unionByName(first.select("key", "x.slug", F.lit("near").alias("how"), F.round(1 - F.col("x.d"), 6).alias("similarity")))
+
     def forget_searches(self, slugs: DataFrame) -> DataFrame:
         """Delete searches (slug), each with its vector, and no passage; returns the slugs that were there."""
         return self._delete("searches", slugs.select("slug").distinct(), ["slug"])

@@ -37,6 +37,21 @@ def test_searches(spark, records, passages):
     assert records.read("searches", 1).count() == 2  # an earlier version is still whole
 
 
+def test_answers(spark, records, passages):
+    turned = lambda c: [c, (1 - c * c) ** 0.5]
+    save = lambda rows: {r["key"]: r["slug"] for r in records.save_searches(spark.createDataFrame(rows, SEARCH), passages, 1).collect()}
+    slug = save([(1, "What is it?", "", "m", [(1, "x"), (2, "y")], 0.0, 0.0, turned(1.0)), (2, "Other", "genre=verse", "m", [(1, "x")], 0.0, 0.0, turned(0.99)), (3, "Third", "", "n", [(2, "y")], 0.0, 0.0, turned(0.98)), (4, "Fourth", "", "m", [(2, "y")], 0.0, 0.0, turned(0.97))])
+    slug |= {9: save([(9, "WHAT is it", "", "m", [(1, "x")], 0.0, 0.0, None)])[9]}
+    ask = lambda rows, now=passages: {r["key"]: (r["slug"], r["how"], r["similarity"]) for r in records.answers(spark.createDataFrame(rows, "key long, prompt string, scope string, model string, v array<float>"), now).collect()}
+    questions = [(1, "what is it ", "", "m", turned(0.0)), (2, "new", "", "m", turned(1.0)), (3, "new", "genre=verse", "m", turned(1.0)), (4, "new", "", "n", turned(0.9)), (5, "new", "", "m", turned(0.0)), (6, "what is it", "", "n", turned(0.0))]
+    found = ask(questions)
+    assert found[1] == (slug[9], "exact", 1.0) and found[2] == (slug[1], "near", 1.0) and found[3] == (slug[2], "near", 0.99) and set(found) == {1, 2, 3, 4}
+    assert found[4][0] == slug[3] and abs(found[4][2] - (0.9 * 0.98 + (1 - 0.81) ** 0.5 * (1 - 0.98**2) ** 0.5)) < 1e-5
+    changed = passages.withColumn("text", F.when(F.col("id") == 1, "changed").otherwise(F.col("text")))
+    assert ask(questions, changed)[2] == (slug[1], "near", 1.0) and 3 not in ask(questions, changed) and 1 not in ask(questions, changed)  # the newest exact one has lost its passage
+    assert sorted((r["slug"], r["id"], r["n"]) for r in records.hydrated(changed).collect()) == sorted([(slug[1], 2, 1), (slug[3], 2, 1), (slug[4], 2, 1)])
+
+
 def test_projects(spark, records, passages):
     made = records.create_projects(spark.createDataFrame([(1, "  Self ", " about ", "a, A, b"), (2, "  ", "", ""), (3, "x" * 200, None, None)], "key long, title string, description string, tags string"))
     slug = {r["key"]: r["slug"] for r in made.collect()}
