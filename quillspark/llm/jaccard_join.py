@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut
@@ -19,6 +19,8 @@ LOWEST = -(1 << 63)
 SLICE = 1_000_000
 #: Bytes of text in a block of texts that are compared in full; bounds the memory of a worker.
 BLOCK_BYTES = 4_000_000
+#: Signatures by which the text in a component's midst is found; steps in which distances to it are told, rounded up.
+SAMPLE, GRID = 64, 10_000
 #: Runs before the first look at what is connected already.
 FIRST_RUNS = 2
 
@@ -248,15 +250,17 @@ def text_classes(
     named = _named(docs)
     reps = cut(representatives(named, k, width))
     near = candidate_components(reps, threshold, width, recall, small, threshold - slack, levels)
-    members = cut(near.join(reps.select(F.col("id").alias("v"), "at", "size"), "v"))
-    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_BYTES))
-    members = members.join(cut(members.groupBy("label").agg(blocks.alias("blocks"))), "label").select("v", "at", "label", "blocks")
-    members = members.join(named.select(F.col("id").alias("v"), "at", "text"), ["v", "at"]).dropDuplicates(["v"])
-    own = F.pmod(F.xxhash64("v"), F.col("blocks"))
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pair = F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select("v", "text", pair.alias("pair"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
-    rows = dealt.repartition("pair").sortWithinPartitions("pair")
+    members = cut(near.join(reps.select(F.col("id").alias("v"), "at", "size", "sig"), "v"))
+    sizes = cut(members.groupBy("label").agg(_blocks(block).alias("blocks")))
+    texts = members.drop("sig").join(sizes, "label").join(named.select(F.col("id").alias("v"), "at", "text"), ["v", "at"])
+    texts = cut(texts.dropDuplicates(["v"]))  # those of candidates alone; all texts are shuffled once for them
+    rows = texts.where("blocks = 1").select("v", "text", F.xxhash64("label").alias("pair"), F.lit(0).alias("side"))
+    large = sizes.where("blocks > 1").select("label")
+    inner = None
+    if large.limit(1).count():
+        inner, crossing = _large(texts.where("blocks > 1").select("v", "label", "size", "text"), members.join(large, "label"), k, threshold, block)
+        rows = rows.unionByName(crossing)
+    rows = rows.repartition("pair").sortWithinPartitions("pair")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in groups(batches, "pair"):
@@ -271,7 +275,8 @@ def text_classes(
                 i, j = np.array(edges).T
                 yield pd.DataFrame({"a": ids[i], "b": ids[j], "n": 0})
 
-    found = cut(rows.mapInPandas(verified, "a long, b long, n long"))
+    linked = rows.mapInPandas(verified, "a long, b long, n long")
+    found = cut(linked if inner is None else linked.unionByName(inner))
     counts = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
     classes = cut(components(found.where("n = 0").select("a", "b")).select(F.col("v").alias("id"), "label"))
     copies = cut(named.groupBy("key", "id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")))
@@ -282,6 +287,63 @@ def text_classes(
     return cut(told.select("key", "doc_id", class_id, F.coalesce("first_key", "key").alias("first_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
 
 
+def _blocks(block: int) -> Column:
+    """Blocks of about `block` texts, and of BLOCK_BYTES characters at most on average."""
+    return F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_BYTES))
+
+
+def _large(texts: DataFrame, members: DataFrame, k: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """What links texts (v, label, size, text) of components of several blocks: links (a, b, n) that need no comparison, and
+    the texts (v, text, pair, side) that are still to be compared, block against block.
+
+    Of each component one text in its midst is the pivot. The Jaccard distance keeps the triangle inequality, so that all
+    texts within half the distance of a link from the pivot are linked with each other, and counting them counts their
+    links. The others are compared with each other and with these. A crowd of near copies so takes one comparison a text.
+    """
+    sample = members.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("v")))).where(F.col("_n") <= SAMPLE)
+    seen = sample.groupBy("label").agg(F.collect_list("sig").alias("seen"))  # SAMPLE signatures each
+
+    def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = _matrix(batch["sig"])
+            yield batch[["v", "label"]].assign(score=[int((_matrix(pd.Series(seen)) == sig).sum()) for sig, seen in zip(own, batch["seen"])])
+
+    scored = members.join(seen, "label").select("v", "label", "sig", "seen").mapInPandas(agreeing, "v long, label long, score long")
+    pivots = cut(scored.groupBy("label").agg(F.max_by("v", F.struct("score", "v")).alias("pivot")))
+    texts = texts.join(pivots, "label")
+    centre = cut(texts.where("v = pivot").select("label", F.col("text").alias("centre")))
+    most = math.floor((1 - threshold) / 2 * GRID)
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
+        for batch in batches:
+            near = []
+            for text, middle in zip(batch["text"], batch["centre"]):
+                if known[0] != middle:
+                    known = middle, np.unique(shingles([middle], k)[0])
+                own = np.unique(shingles([text], k)[0])
+                both = len(np.intersect1d(own, known[1], assume_unique=True))
+                union = len(own) + len(known[1]) - both
+                near.append(math.ceil((union - both) / union * GRID) <= most)
+            yield batch[["v", "label", "pivot", "size"]].assign(near=near)
+
+    told = cut(texts.join(centre, "label").select("v", "label", "pivot", "size", "text", "centre").mapInPandas(measured, "v long, label long, pivot long, size long, near boolean"))
+    counts = told.groupBy("label").agg(F.count_if("near").alias("_near"))
+    inside = told.where("near").join(counts, "label")
+    links_ = inside.where("_near > 1").select(F.col("v").alias("a"), F.col("v").alias("b"), (F.col("_near") - 1).alias("n"))
+    ties = inside.where("v <> pivot").select(F.col("pivot").alias("a"), F.col("v").alias("b"), F.lit(0).cast("long").alias("n"))
+    blocks = cut(told.groupBy("label", "near").agg(_blocks(block).alias("b")).groupBy("label").agg(F.coalesce(F.max(F.when(F.col("near"), F.col("b"))), F.lit(0)).alias("_in"), F.coalesce(F.max(F.when(~F.col("near"), F.col("b"))), F.lit(0)).alias("_out")))
+    # Blocks 0 to _out - 1 hold what is outside and meet all blocks; the others meet these alone.
+    dealt = told.join(blocks.where("_out > 0"), "label")
+    own = F.when(F.col("near"), F.col("_out") + F.pmod(F.xxhash64("v"), F.col("_in"))).otherwise(F.pmod(F.xxhash64("v"), F.col("_out")))
+    met = F.when(F.col("near"), F.col("_out")).otherwise(F.col("_out") + F.col("_in"))
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), met - 1)))
+    pair = F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    crossing = dealt.select("v", pair.alias("pair"), side.alias("side")).join(texts.select("v", "text"), "v").select("v", "text", "pair", "side")
+    return links_.unionByName(ties), crossing
+
+
 def _named(docs: DataFrame) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key())
     return named.withColumn("id", F.conv(F.substring("key", 1, 16), 16, -10).cast("long")).withColumn("at", F.coalesce("doc_id", F.lit(LOWEST)))
@@ -301,7 +363,8 @@ def jaccard_join(docs: DataFrame, **parameters: float) -> DataFrame:
     Chosen-path splitting is repeated until a pair at the threshold has met with a chance of `recall`, whatever the depth
     of its nodes (see candidate_components()). Signatures rule out buckets' far pairs (those `slack` below the threshold),
     what stays connected is compared exactly and in full, in blocks of up to about `block` texts against each other, where
-    only counts and connecting links leave a task.
+    only counts and connecting links leave a task; in components of several blocks, texts near a pivot are linked without
+    (see _large()).
     Null texts count as empty; equal texts without words are copies but link to nothing; a null doc_id stays null, and
     class_id is null where no document of a class has an id; different texts with one id are linked, counted and classed
     each on its own (their classes may have the same class_id); extra columns are ignored.

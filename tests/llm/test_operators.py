@@ -127,6 +127,27 @@ def test_jaccard_join_crowded(spark):
     assert all(found[i]["class_id"] == 1750 and found[i]["n_links"] == len(same) - 1 for i in crowd)
 
 
+def test_jaccard_join_around_pivots(spark):
+    """Texts at all distances from the middle of a crowd, and two crowds in one component."""
+    r = random.Random(8)
+    texts = []
+    for c, far in ((0, 26), (1, 8)):
+        base = [f"c{c}_{i}" for i in range(240)] if c == 0 else [f"c0_{i}" for i in range(200)] + [f"c1_{i}" for i in range(60)]
+        for i in range(130):
+            w = list(base)
+            for _ in range(r.randrange(far) // 4):
+                w[r.randrange(len(w))] = f"e{c}_{i}_{r.randrange(99)}"
+            texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    s = sets(texts)
+    links = [sum(j != i and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) for j in range(len(s))) for i in range(len(s))]
+    assert len(set(links)) > 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (16, 100):
+        found = {x["doc_id"]: x["n_links"] for x in jaccard_join.jaccard_join(rows, block=block).collect()}
+        assert [found[i] for i in range(len(s))] == links
+
+
 def test_runs_for_recall():
     assert [round(jaccard_join.together(i), 2) for i in (1, 2, 3)] == [0.63, 0.47, 0.37]
     for level in (2, 5, 9):
