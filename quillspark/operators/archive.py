@@ -122,3 +122,10 @@ def gold_minimums(asked: DataFrame, found: DataFrame, home: str = "sv") -> DataF
     by = found.groupBy("question").agg(F.countDistinct("genre").alias("genres"), F.count_if(F.col("lang") == home).alias("own"))
     rows = asked.join(by, "question", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("genres", "own")})
     return rows.select("question", "genres", "own", (F.col("genres") >= F.col("min_genres")).alias("genres_ok"), (F.col("own") >= F.col("min_own")).alias("own_ok"))
+
+
+def write_documents(documents: DataFrame, path: str, name: Column, content: Column) -> None:
+    """Write each document as text to a folder of its own name below path. Names are as file_name() gives them; documents with
+    one name stand in one folder, each in its own file; null names and contents are left out."""
+    rows = documents.select(name.alias("file"), content.alias("value")).where("file IS NOT NULL AND value IS NOT NULL")
+    rows.write.mode("overwrite").option("lineSep", "\n").partitionBy("file").text(path)

@@ -8,6 +8,7 @@ that they see a whole version, whatever is written meanwhile.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,8 +21,14 @@ TRIES = 100
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or else the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the warehouse where that isn't set. In local
+    mode, where they are one process, it is a folder of its own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and sc.master.startswith("local"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getCheckpointDir()
+    return named or spark.conf.get("spark.sql.warehouse.dir")
 
 
 class Conflict(Exception):
