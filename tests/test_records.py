@@ -133,5 +133,5 @@ def test_documents_are_written_under_their_names(spark, tmp_path):
 
     docs = spark.createDataFrame([("Vad är Jaget?", "# A\n\n> one"), ("??", "two"), (None, "three"), ("x", None)], "question string, body string")
     write_documents(docs, str(tmp_path / "out"), F.when(F.col("question").isNotNull(), file_name(F.col("question"), "md")), F.col("body"))
-    found = {(r["file"], r["value"]) for r in spark.read.option("wholetext", True).text(str(tmp_path / "out")).collect()}
+    found = {(r["file"], r["value"]) for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()}
     assert found == {("vad-är-jaget.md", "# A\n\n> one\n"), ("search.md", "two\n")}
