@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import headings as H
@@ -58,6 +58,23 @@ def chunk_documents(t: Tables) -> DataFrame:
     return S.chunks(works(t))
 
 
+@query(f"WITH {_MARKED} SELECT work_id, i, true AS covered, true AS in_order, true AS within_bounds FROM span WHERE NOT heading AND length(text) BETWEEN {S.LEAST + 1} AND {S.HARD} QUALIFY count(*) OVER (PARTITION BY work_id, text) = 1")
+def chunk_properties(t: Tables) -> DataFrame:
+    """Of each paragraph that a chunk can hold whole and that a work has once (a chunk equal to the one before is left out),
+    whether one does; of its work, whether chunks are in order and no longer
+    than they may be, and cut out of the text what they say. The SQL finds the paragraphs and expects no fault."""
+    own = works(t)
+    at = S.chunks(own.withColumn("whole", F.col("text"))).select("work_id", "ordinal", "char_start", "char_end", "text", "whole")
+    said = F.substring("whole", F.col("char_start").cast("int") + 1, F.length(F.split_part("text", F.lit("\n\n"), F.lit(1)))) == F.split_part("text", F.lit("\n\n"), F.lit(1))
+    fits = (F.length("text") > S.LEAST) & (F.length(F.replace("text", F.lit("\n\n"), F.lit(""))) <= S.HARD) & said
+    by = at.groupBy("work_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "char_start", "char_end"))).alias("c"), F.every(fits).alias("within_bounds"))
+    by = by.withColumn("in_order", F.forall(F.transform("c", lambda x, i: (x["ordinal"] == i) & ((i == 0) | (x["char_end"] > F.get("c", i - 1)["char_end"]))), lambda x: x))
+    paras = S.marked(own).where(~F.col("heading") & F.length("text").between(S.LEAST + 1, S.HARD))
+    paras = paras.withColumn("_n", F.count("*").over(Window.partitionBy("work_id", F.xxhash64("text"), "text"))).where("_n = 1").select("work_id", "i", "start", "end")
+    rows = paras.join(by, "work_id", "left")
+    return rows.select("work_id", "i", F.coalesce(F.exists("c", lambda x: (x["char_start"] <= F.col("start")) & (x["char_end"] >= F.col("end"))), F.lit(False)).alias("covered"), "in_order", "within_bounds")
+
+
 @query("""SELECT p_partkey, regexp_replace(replace(p_name, '_', ''), '^[ \\t]*(chap(ter)?|book|sect(ion)?|part)\\b\\.?[ \\t]*[ivxlcdm0-9]*\\.?[ \\t]*', '', 'i') AS own,
 len(list_filter(regexp_split_to_array(p_name, '[^\\p{L}\\p{N}]+'), lambda w: w <> '' AND NOT regexp_matches(w, '(?i)^(the|a|an|and|of|book|chapter|part|section|letter|poem|oration|speech|volume|first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|[ivxlcdm]+|[0-9]+)$'))) > 0 AS adds,
 CASE WHEN len(string_split(p_type, ' ')) <= 2 THEN p_type ELSE array_to_string(string_split(p_type, ' ')[1:2], ' ') || '…' END AS short, upper(replace(p_brand, '#', ' ')) || ' ' || p_size AS label FROM part""")
