@@ -252,7 +252,9 @@ def text_classes(
     near = candidate_components(reps, threshold, width, recall, small, threshold - slack, levels)
     members = cut(near.join(reps.select(F.col("id").alias("v"), "at", "size", "sig"), "v"))
     sizes = cut(members.groupBy("label").agg(_blocks(block).alias("blocks")))
-    texts = members.drop("sig").join(sizes, "label").join(named.select(F.col("id").alias("v"), "at", "text"), ["v", "at"])
+    # Rows without an id all have one place: of those with one text, one is looked at.
+    held = named.where("doc_id IS NOT NULL").unionByName(named.where("doc_id IS NULL").dropDuplicates(["id"])).select(F.col("id").alias("v"), "at", "text")
+    texts = members.drop("sig").join(sizes, "label").join(held, ["v", "at"])
     texts = cut(texts.dropDuplicates(["v"]))  # those of candidates alone; all texts are shuffled once for them
     rows = texts.where("blocks = 1").select("v", "text", F.xxhash64("label").alias("pair"), F.lit(0).alias("side"))
     large = sizes.where("blocks > 1").select("label")
