@@ -16,6 +16,8 @@ from quillspark.operators import retrieval as R
 
 #: Hits of a branch, works that a mention opens, letters of a mention at least.
 HITS, WORKS, LETTERS = 100, 40, 4
+#: Passages of a work that are scored pair by pair, and shown of them.
+POOL, SHOWN = 96, 8
 #: Characters of a passage that a pair scorer sees, pairs that it scores at once.
 SEEN, BATCH = 1400, 16
 
@@ -104,6 +106,23 @@ def reranked(rows: DataFrame, questions: dict[str, str], scorer: Callable[[list[
     return told.withColumn("pair_score", F.when(~F.col("degraded"), F.col("pair_score"))).drop("old")
 
 
+def more_from_work(corpus: Corpus, work: str, shown: DataFrame, query: DataFrame, questions: dict[str, str], scorer: Callable[[list[tuple[str, str]]], list[float]] = word_overlap) -> DataFrame:
+    """rank, id, text, pair_score, degraded of SHOWN further passages of a work, those that aren't shown (id) yet.
+
+    Of a work with more than POOL of them the nearest to the query vector (q, qv) are scored against the question in their
+    language, otherwise all, by id; if the scorer fails, that order stays. An unknown work, or one that is shown whole, has
+    none.
+    """
+    own = corpus.passages.where((F.col("work") == work) & ~F.col("front")).join(shown.select("id"), "id", "left_anti")
+    if own.limit(POOL + 1).count() > POOL:
+        near = R.nearest(corpus.vectors.join(own.select("id"), "id", "left_semi"), query, POOL).select("id", "rank")
+        rows = own.join(F.broadcast(near), "id")  # POOL rows
+    else:
+        rows = R.ranked(own, ["id"])
+    scored = reranked(rows.select("rank", "id", "lang", "text"), questions, scorer)
+    return scored.where(F.col("rank") < SHOWN).select("rank", "id", "text", "pair_score", "degraded")
+
+
 def embedded(texts: DataFrame, role: str = "passage", width: int = 64) -> DataFrame:
     """id, v of (id, text): a unit vector of hashed words, summed with signs; a stand-in for a model with the same contract
     (a role before the text, mean over words, length 1). A text without words has a vector of zeros."""
