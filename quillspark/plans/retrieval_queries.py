@@ -276,13 +276,13 @@ def gold_recall(t: Tables) -> DataFrame:
 _WORDS = r"regexp_extract_all(lower(left(text, 1400)), '[\p{L}\p{N}]+')"
 
 
-@query(rf"""WITH own AS (SELECT doc_id AS id, text FROM documents WHERE source = 'src0' AND n_chars >= 80 AND doc_id % 10 <> 0),
+@query(rf"""WITH own AS (SELECT doc_id AS id, text FROM documents WHERE source = 'src3' AND n_chars >= 80 AND doc_id % 7 <> 0),
 k AS (SELECT e.vec_id AS id, {_DOT} AS d FROM embeddings e SEMI JOIN own ON own.id = e.vec_id, embeddings q WHERE q.vec_id = 0),
 near AS (SELECT own.*, CASE WHEN (SELECT count(*) FROM own) > 96 THEN row_number() OVER (ORDER BY d NULLS LAST, id) ELSE row_number() OVER (ORDER BY id) END AS r, d FROM own LEFT JOIN k USING (id)),
 pool AS (SELECT *, len(list_filter(['worthless', 'clown', 'the', 'was'], lambda w: list_contains({_WORDS}, w))) / 4.0 AS s FROM near WHERE (SELECT count(*) FROM own) <= 96 OR (r <= 96 AND d IS NOT NULL))
 SELECT row_number() OVER (ORDER BY s DESC, r) - 1 AS rank, id, s::DOUBLE AS pair_score FROM pool QUALIFY rank < 8""")
 def more_of_a_work(t: Tables) -> DataFrame:
     """Further passages of one work: the nearest of them, scored pair by pair, without those that are shown."""
-    shown = t.documents.where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"))
-    found = S.more_from_work(corpus(t), "src0", shown, query_vectors(t, 1), {"sv": "worthless clown the was"})
+    shown = t.documents.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id"))
+    found = S.more_from_work(corpus(t), "src3", shown, query_vectors(t, 1), {"sv": "worthless clown the was"})
     return found.select("rank", "id", F.round("pair_score", 9).alias("pair_score"))
