@@ -63,17 +63,19 @@ def fingerprint_edits(docs: DataFrame, scale: int = 4, k: int = 5, bits: int = B
     """Fingerprint each text, its edited text and its successor, and compare them.
 
     The successor is the row with the next lower doc_id, of the last row the first. The edited text has its last
-    floor(n/2) code points replaced by the successor's first as many. Texts move once, dealt by blocks of 2**bits
-    neighbouring ids; a block's last row gets its successor from a table of block heads. Null ids come last. A block with
+    floor(n/2) code points replaced by the successor's first as many. Texts move once, dealt by blocks of about
+    2**bits neighbouring rows: of so many ids, or of as many more as ids are apart on average. A block's last row gets its successor from a table of block heads. Null ids come last. A block with
     more than four times as many rows (a null or repeated id) is dealt on by id and by the first bits of the text's MD5, and
     rows equal in id and text are counted there: all but one of them succeed one another.
     Null texts count as empty; rows with the same id go by their text's MD5; a table of one row succeeds itself; extra
     columns are ignored.
     """
     zero = F.lit(0).cast("long")
+    low, high, rows = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long")), F.count("doc_id")).first()
+    wide = min(63, bits + max(0, ((high - low + 1) // rows).bit_length() - 1)) if rows else bits
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumns({
-        "h": F.md5(F.col("text").cast("binary")), "z": F.col("doc_id").isNull(), "g": F.shiftright(F.coalesce("doc_id", zero), bits), "i": zero, "j": zero, "n": zero + 1,
+        "h": F.md5(F.col("text").cast("binary")), "z": F.col("doc_id").isNull(), "g": F.shiftright(F.coalesce("doc_id", zero), wide), "i": zero, "j": zero, "n": zero + 1,
     })
     crowded = cut(base.groupBy("z", "g").agg(F.count("*").alias("m")).where(F.col("m") > 4 << bits))
     dealt_on = crowded.limit(1).count() > 0
