@@ -38,16 +38,26 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """Write df as a table to the shared folder and read on from there, so that lost executors lose nothing and plans of
     repeated rounds stay small (a checkpoint() would carry its constraints from round to round). The tables go with that
-    folder.
+    folder, or, where their paths are noted in scratch, when release() is told of it.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}.parquet"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete tables that nothing reads any more; what was worked out from them must have been written."""
+    for path in scratch:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    scratch.clear()
+
+
 def text_columns(docs: DataFrame, begin: Callable[[], Callable[[list[str]], dict[str, list]]], schema: str, keep: tuple[str, ...] = ("doc_id",), slice_chars: int = SLICE) -> DataFrame:
     """The columns `keep` of docs, and those of `schema` (long, double, string, int or binary) that are worked out of its text.
 

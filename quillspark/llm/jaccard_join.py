@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut
+from quillspark.llm.common import cut, release
 from quillspark.llm.components import components
 from quillspark.llm.shingles import BASE, mixed, shingles, signatures
 
@@ -152,7 +152,7 @@ class ChosenPaths:
         Nodes whose sets all have one label, of the component that they are known to belong to, are left out.
         """
         split, small, near, leave = self.split, self.small, self.near, self.leave
-        runs = list(runs)
+        runs, scratch = list(runs), []
 
         def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -178,33 +178,36 @@ class ChosenPaths:
                 edges = np.array(signature_forest(_matrix(part["sig"]), near), np.int64).reshape(-1, 2)
                 yield pd.DataFrame({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]})
 
-        paths = cut(sets.select("id", "sig", "label").mapInPandas(roots, "id long, label long, node long"))
+        paths = cut(sets.select("id", "sig", "label").mapInPandas(roots, "id long, label long, node long"), scratch)
         edges, buckets, crowds, level = None, None, None, 2
         while True:
             nodes = paths.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            nodes = cut(nodes.where("lo <> hi").select("node", "n", "x"))
+            nodes = cut(nodes.where("lo <> hi").select("node", "n", "x"), scratch)
             few = nodes.where(F.col("n") <= small).groupBy("n", "x").agg(F.min("node").alias("node"))  # of equal nodes one
             here = paths.join(few.select("node"), "node").select(F.col("node").alias("bucket"), "id")
             buckets = here if buckets is None else buckets.unionByName(here)
             large = nodes.where(F.col("n") > small).select("node", "n")
             if not large.limit(1).count():
                 break
-            crowd = cut(paths.join(large, "node"))
+            crowd = cut(paths.join(large, "node"), scratch)
             if level == self.levels:
                 buckets = buckets.unionByName(_block_pairs(crowd, small))
                 break
             level += 1
             crowds = crowd.select("id") if crowds is None else crowds.unionByName(crowd.select("id"))
             leaders = crowd.groupBy("node").agg(F.min_by("id", F.xxhash64("node", "id")).alias("leader"))
-            leaders = cut(leaders.join(self.sigs.select(F.col("id").alias("leader"), F.col("sig").alias("leader_sig")), "leader"))
+            leaders = cut(leaders.join(self.sigs.select(F.col("id").alias("leader"), F.col("sig").alias("leader_sig")), "leader"), scratch)
             rows = crowd.drop("n").join(leaders, "node").join(self.sigs, "id")
-            dealt = cut(rows.mapInPandas(split_on, "id long, label long, node long, edge boolean"))
+            dealt = cut(rows.mapInPandas(split_on, "id long, label long, node long, edge boolean"), scratch)
             tied = dealt.where("edge and id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
             edges = tied if edges is None else edges.unionByName(tied)
             paths = dealt.where("not edge").select("id", "label", "node")
         signed = buckets.join(self.sigs, "id").repartition("bucket").sortWithinPartitions("bucket")
         found = signed.mapInPandas(compared, "a long, b long")
-        return cut(found if edges is None else found.unionByName(edges)), crowds, level
+        edges = cut(found if edges is None else found.unionByName(edges))
+        crowds = None if crowds is None else cut(crowds.distinct())
+        release(sets.sparkSession, scratch)
+        return edges, crowds, level
 
 
 def _block_pairs(crowd: DataFrame, small: int) -> DataFrame:
@@ -235,7 +238,7 @@ def candidate_components(reps: DataFrame, threshold: float, width: int, recall:
         found = cut(components(edges))
         if crowds is None:
             break
-        sets, wanted = cut(sets.join(crowds.distinct(), "id", "left_semi")), runs_for(recall, deepest)
+        sets, wanted = cut(sets.join(crowds, "id", "left_semi")), runs_for(recall, deepest)
     return found
 
 
