@@ -117,9 +117,11 @@ class Index:
         return commit | {"totals": {"sums": list(sums)}}
 
     def _write(self, postings: DataFrame, segment: str) -> DataFrame:
-        """Postings sorted by term, in files that hold ranges of terms: a search reads the row groups of its terms alone."""
+        """Postings by term and sorted within files, so that a search reads the row groups of its terms alone. Rows are dealt by
+        hash and balanced by Spark as it runs, which splits frequent terms; ranges would take the texts apart twice, once
+        for a sample."""
         path = f"{self.path}/segments/{segment}/postings"
-        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", 8 << 20).parquet(path)
+        postings.hint("rebalance", "term").sortWithinPartitions("term", "id").write.option("parquet.block.size", 8 << 20).parquet(path)
         return self.spark.read.schema(POSTINGS).parquet(path)
 
     def _buried(self, view: View, works: DataFrame) -> str | None:
