@@ -150,13 +150,14 @@ class Index:
         sized = sizes.join(words.select(F.col("work").alias("_work"), "words"), F.col("work").eqNullSafe(F.col("_work")), "left")
         sized.select("work", "n", "said", F.coalesce("words", F.lit(0).cast("long")).alias("words"), F.lit(segment).alias("segment")).write.parquet(f"{self.path}/segments/{segment}/works")
         added = self.spark.read.schema(WORKS).parquet(f"{self.path}/segments/{segment}/works")
+        size = added.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
 
         def change(now: dict) -> dict | None:
             if done(now):
                 return None
             gone = added.select("work") if works is None else works.select(F.col("work").cast("string").alias("work"))
             tomb = self._buried(View(self.spark, self.path, now), gone) if now.get("segments") else None
-            commit = now | {"note": now.get("note", {}) | (note or {}), "segments": [*now.get("segments", []), segment], "tombs": [*now.get("tombs", []), *([tomb] if tomb else [])]}
+            commit = now | {"note": now.get("note", {}) | (note or {}), "sizes": now.get("sizes", {}) | {segment: size}, "segments": [*now.get("segments", []), segment], "tombs": [*now.get("tombs", []), *([tomb] if tomb else [])]}
             if batch is not None:
                 commit["streams"] = now.get("streams", {}) | {stream: batch}
             return self._committed(commit)
@@ -172,26 +173,37 @@ class Index:
 
         return self.manifests.commit(change)
 
-    def merge(self, least: int = 2) -> int:
-        """Write the living postings of all segments as one, if there are so many; tombstones go with what they named. Where a
-        work of theirs was replaced meanwhile, the merge is done again."""
+    def merge(self, least: int = 2, most: int | None = None) -> int:
+        """Write the living postings of the `most` smallest segments, or of all, as one, if there are `least`.
+
+        Merging all but the largest each time keeps what is written again within a logarithm of what was added. Tombstones go
+        with the segments that they name. Where a work of theirs was replaced meanwhile, the merge is done again.
+        """
         for _ in range(10):
             number = self.manifests.latest()
             before = self.manifests.at(number)
-            if len(before.get("segments", [])) < least:
+            if len(before.get("segments", [])) < max(2, least):
                 return number
-            view, segment = View(self.spark, self.path, before), str(uuid.uuid4())
+            sizes = before.get("sizes", {})
+            chosen = sorted(before["segments"], key=lambda s: sizes.get(s, 0))[:most]
+            rest, segment = [s for s in before["segments"] if s not in chosen], str(uuid.uuid4())
+            view = View(self.spark, self.path, before | {"segments": chosen})
             self._write(view.postings().withColumn("segment", F.lit(segment)), segment)
             view.works().withColumn("segment", F.lit(segment)).write.parquet(f"{self.path}/segments/{segment}/works")
+            tombs = []
+            if rest and before.get("tombs"):
+                tombs = [str(uuid.uuid4())]
+                view.tombs().where(F.col("segment").isin(rest)).write.parquet(f"{self.path}/tombs/{tombs[0]}")
             moved = False
 
             def change(now: dict) -> dict | None:
                 nonlocal moved
-                moved = now.get("tombs") != before.get("tombs") or not set(before["segments"]) <= set(now["segments"])
+                moved = now.get("tombs") != before.get("tombs") or not set(chosen) <= set(now["segments"])
                 if moved:
                     return None
-                rest = [s for s in now["segments"] if s not in before["segments"]]
-                return self._committed(now | {"segments": [segment, *rest], "tombs": []})
+                kept = [s for s in now["segments"] if s not in chosen]
+                sizes = {s: n for s, n in now.get("sizes", {}).items() if s in kept} | {segment: sum(before.get("sizes", {}).get(s, 0) for s in chosen)}
+                return self._committed(now | {"segments": [*kept, segment], "tombs": tombs, "sizes": sizes})
 
             number = self.manifests.commit(change)
             if not moved:

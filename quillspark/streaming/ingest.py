@@ -97,7 +97,7 @@ def ingest(library: Library, landing: str, checkpoint: str, force: bool = False,
 
     def publish(batch: DataFrame, number: int) -> None:
         library.publish(batch, stream=checkpoint, batch=number, force=force)
-        library.index.merge(I.MANY)
+        library.index.merge(I.MANY, I.MANY - 1)
 
     works = library.spark.readStream.schema(schema).parquet(landing).select("*", F.col("_metadata.file_modification_time").alias("landed"))
     return works.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

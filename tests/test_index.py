@@ -107,6 +107,10 @@ def test_segments_are_a_full_rebuild(spark, tmp_path):
             index.add(rows_of(spark, new), "s", batch)
             number = index.manifests.latest()
             assert index.add(rows_of(spark, new), "s", batch) == number  # a batch that runs again
+        if batch == 3:
+            segments = index.view().segments()
+            index.merge(2, 2)
+            assert len(index.view().segments()) == len(segments) - 1 and len(set(index.view().segments()) & set(segments)) == len(segments) - 2
         for asked in QUESTIONS[:5]:
             assert found(index.view(), asked) == plain_bm25(now, I.phrases(asked)), (batch, asked)
         assert index.view().totals()[0] == len(now)
