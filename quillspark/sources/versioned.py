@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -165,6 +166,18 @@ class VersionedTable:
         return self.manifests.commit(lambda now: {"parts": [self._written(change(self._of(now.get("parts", []))))]})
 
 
+    def vacuum(self, keep: int = 1, seconds: float = 86_400.0) -> int:
+        """Delete data that none of the last `keep` versions names and that is as old as `seconds`, which spares what writers
+        are about to publish; returns how many folders went. Readers of older versions fail from then on."""
+        last, fs = self.version(), self.manifests._fs
+        named = {p for n in range(max(1, last - keep + 1), last + 1) for p in self.manifests.at(n).get("parts", [])}
+        folder = self.manifests._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
+        old = [f for f in (fs.listStatus(folder) if fs.exists(folder) else []) if f.getPath().getName() not in named and time.time() - f.getModificationTime() / 1000 >= seconds]
+        for f in old:
+            fs.delete(f.getPath(), True)
+        return len(old)
+
+
 class Store:
     """Several tables under one manifest: a transaction changes any of them, and all or nothing of it is seen."""
 

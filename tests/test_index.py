@@ -137,6 +137,16 @@ def test_versions(spark, tmp_path):
     assert said() == ["(2, 'B')", "(3, 'c')", "(4, 'd')"] and len(t.manifests.at(5)["parts"]) == 1 and said(2) == sorted(["(1, 'a')", "(2, 'b')", "(3, 'c')", "(None, 'n')"])
 
 
+def test_vacuum_spares_what_is_in_force(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), "k long")
+    assert t.vacuum(seconds=0) == 0
+    for k in range(4):
+        t.append(spark.range(k, k + 1).toDF("k"))
+    t.rewrite(lambda df: df.where("k > 0"))
+    assert t.vacuum() == 0 and t.vacuum(keep=2, seconds=0) == 0  # the version before still names the old parts
+    assert t.vacuum(seconds=0) == 4 and sorted(r["k"] for r in t.read().collect()) == [1, 2, 3]
+
+
 def test_writers_at_once_lose_nothing(spark, tmp_path):
     t = VersionedTable(spark, str(tmp_path / "t"), "k long, v string")
     errors = []
