@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Characters of texts that a worker handles together; a longer text goes alone.
 SLICE = 2_000_000
+#: Rows of a batch that become Python strings at once.
+ROWS = 256
 ARROW = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32()}
 
 
@@ -68,16 +70,24 @@ def text_columns(docs: DataFrame, begin: Callable[[], Callable[[list[str]], dict
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = begin()
+
+        def row_part(batch: pa.RecordBatch, first: int, texts: list[str]) -> pa.RecordBatch:
+            found = of(texts)
+            own = [pa.array(found[f.name], ARROW[f.dataType.simpleString()]) for f in told]
+            return pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns[:-1], *own], [*keep, *told.names])
+
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            first, size = 0, 0
-            for i, text in enumerate(texts):
-                size += len(text)
-                if size >= slice_chars or i + 1 == len(texts):
-                    found = of(texts[first : i + 1])
-                    own = [pa.array(found[f.name], ARROW[f.dataType.simpleString()]) for f in told]
-                    yield pa.RecordBatch.from_arrays([*batch.slice(first, i + 1 - first).columns[:-1], *own], [*keep, *told.names])
-                    first, size = i + 1, 0
+            first, held, size = 0, [], 0
+            for lo in range(0, len(batch), ROWS):
+                for text in batch.column(len(keep)).slice(lo, ROWS).to_pylist():
+                    held.append(text)
+                    size += len(text)
+                    if size >= slice_chars:
+                        yield row_part(batch, first, held)
+                        first, held, size = first + len(held), [], 0
+            if held:
+                yield row_part(batch, first, held)
+            pa.default_memory_pool().release_unused()
 
     texts = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     return texts.mapInArrow(work, T.StructType([*texts.schema.fields[:-1], *told.fields]))

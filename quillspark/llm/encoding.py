@@ -149,7 +149,7 @@ class Texts:
 _texts: dict[str, Texts] = {}
 
 
-def encode(docs: DataFrame, path: str, ids: bool = True, batch_chars: int = 6_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, ids: bool = True, batch_chars: int = 3_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ids, the token ids of every whole text.
 
     path: a word-end BPE file of the tokenizers library, read on the driver; its tables, bounded by the vocabulary, go to
