@@ -21,6 +21,8 @@ SLICE = 1_000_000
 BLOCK_BYTES = 4_000_000
 #: Signatures by which the text in a component's midst is found; steps in which distances to it are told, rounded up.
 SAMPLE, GRID = 64, 10_000
+#: Bits of the map by which texts that are no candidates are kept from moving.
+FILTER = 1 << 24
 #: Runs before the first look at what is connected already.
 FIRST_RUNS = 2
 
@@ -257,7 +259,7 @@ def text_classes(
     sizes = cut(members.groupBy("label").agg(_blocks(block).alias("blocks")))
     # Rows without an id all have one place: of those with one text, one is looked at.
     held = named.where("doc_id IS NOT NULL").unionByName(named.where("doc_id IS NULL").dropDuplicates(["id"])).select(F.col("id").alias("v"), "at", "text")
-    texts = members.drop("sig").join(sizes, "label").join(held, ["v", "at"])
+    texts = members.drop("sig").join(sizes, "label").join(_maybe(held, members), ["v", "at"])
     texts = cut(texts.dropDuplicates(["v"]))  # those of candidates alone; all texts are shuffled once for them
     rows = texts.where("blocks = 1").select("v", "text", F.xxhash64("label").alias("pair"), F.lit(0).alias("side"))
     large = sizes.where("blocks > 1").select("label")
@@ -292,6 +294,18 @@ def text_classes(
     return cut(told.select("key", "doc_id", class_id, F.coalesce("first_key", "key").alias("first_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
 
 
+def _maybe(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """rows of which v may be a member's, all of those whose v is: the bits of a map of fixed size tell, which is broadcast as
+    FILTER / 64 rows at most. So the texts of most others don't move; a map that very many members fill lets all through."""
+
+    def bit(v: Column) -> Column:
+        return F.pmod(v, F.lit(FILTER))
+
+    bits = members.select(bit(F.col("v")).alias("b")).groupBy(F.shiftright("b", 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("_bits"))
+    met = rows.withColumn("_word", F.shiftright(bit(F.col("v")), 6)).join(F.broadcast(bits), "_word")
+    return met.where(F.call_function("shiftright", F.col("_bits"), (bit(F.col("v")) % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1).drop("_word", "_bits")
+
+
 def _blocks(block: int) -> Column:
     """Blocks of about `block` texts, and of BLOCK_BYTES characters at most on average."""
     return F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_BYTES))
