@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -87,12 +88,23 @@ def text_columns(docs: DataFrame, begin: Callable[[], Callable[[list[str]], dict
                         first, held, size = first + len(held), [], 0
             if held:
                 yield row_part(batch, first, held)
-            pa.default_memory_pool().release_unused()
+            held = []
+            trim()
 
     texts = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     return texts.mapInArrow(work, T.StructType([*texts.schema.fields[:-1], *told.fields]))
 
 
+def trim() -> None:
+    """Give memory that a worker has freed back to the system: workers serve one stage after another, and what one has held
+    at most would stay with them. Where the system has no such call, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def sampled(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     """About `rows` rows of df, chosen by a hash of the key, the same at every run; all of them if there are fewer."""
     n = df.count()

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, release
+from quillspark.llm.common import cut, release, trim
 from quillspark.llm.components import components
 from quillspark.llm.shingles import BASE, mixed, shingles, signatures
 
@@ -47,6 +47,7 @@ def groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
             held.append(part)
     if held:
         yield pd.concat(held) if len(held) > 1 else held[0]
+    trim()
 
 
 def forest(near: np.ndarray) -> list[tuple[int, int]]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import cut, is_held_out
+from quillspark.llm.common import cut, is_held_out, trim
 
 #: Ranges of code points of the scripts told apart; letters elsewhere are of script 'other'.
 SCRIPTS = {
@@ -227,6 +227,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, keep: tuple[st
                 own = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], places)]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own], [*part.schema.names[:-1], "lang_pred", "score", "spans"])
+            texts = rows = None
+            trim()
 
     texts = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     told = T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>")
