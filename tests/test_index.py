@@ -8,6 +8,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +20,30 @@ from quillspark.sources.versioned import Manifests, VersionedTable
 from quillspark.streaming.ingest import Library, ingest
 
 
+def test_postings_move_packed(spark, tmp_path, monkeypatch):
+    texts = [(i, f"w{i % 3}" if i % 5 else None, None if i % 7 == 0 else f"the bird {'a b ' * (i % 4)}x{i % 11} the") for i in range(60)]
+    rows = spark.createDataFrame(texts, "id long, work string, text string").coalesce(1)
+    assert I.posted(rows).where("term = 'the'").count() == 1  # one row, not one for each text
+    monkeypatch.setattr(I, "SLICE", 300)
+    batch = pa.RecordBatch.from_pylist([{"id": i, "work": w, "text": x} for i, w, x in [*texts, (60, "w", "a" * 999), (61, "w", "é")]])
+    slices = [s.column("text").to_pylist() for s in I._slices(batch)]
+    assert sum(slices, []) == batch.column("text").to_pylist() and len(slices) > 3
+    assert all(len(s) == 1 or sum(len((x or "").encode()) for x in s) <= 300 for s in slices)
+    want = []
+    for i, work, text in texts:
+        words = (text or "").split()
+        want += [(w, i, work, words.count(w), len(words), [n for n, x in enumerate(words) if x == w]) for w in set(words)]
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before, index = spark.conf.get(name), I.Index(spark, str(tmp_path))
+    index.add(rows.where("id < 30"))
+    index.add(rows.where("id >= 30"), works=rows.where("false").select("work"))
+    for _ in range(2):
+        found = index.view().postings().select("term", "id", "work", "tf", "dl", "places").collect()
+        assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+        index.merge()
+    assert len(index.view().segments()) == 1 and spark.conf.get(name) == before
+
+
 def test_stems_of_the_published_examples():
     told = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size
     hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit
