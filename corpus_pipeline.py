@@ -18,6 +18,8 @@ from quillspark.llm.queries import vocabulary
 
 #: A document is rejected below this score.
 LEAST_QUALITY, LEAST_LANGUAGE = 0.3, 0.4
+#: Characters that a worker encodes at once and words it remembers. Its workers serve all stages, and what they hold stays.
+ENCODED, REMEMBERED = 1_000_000, 50_000
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,7 +85,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, and hashes of what they decode to; no ids for a null or empty text. Rows stay
     as they are, repeated or not; of the columns, only doc_id stays. An empty table gives an empty result."""
-    return encoding.encode(docs, vocabulary("word_bpe_49k.json"))
+    return encoding.encode(docs, vocabulary("word_bpe_49k.json"), batch_chars=ENCODED, remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -108,7 +108,8 @@ class PrefixEncoder:
 class Texts:
     """Encodes and decodes whole texts with the words of a batch encoded together."""
 
-    def __init__(self, vocab: dict[str, int], ranks: dict[tuple[str, str], int], added: dict[str, int]) -> None:
+    def __init__(self, vocab: dict[str, int], ranks: dict[tuple[str, str], int], added: dict[str, int], remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         self.vocab, self.added, self.encoder = vocab, added, PrefixEncoder(vocab, ranks)
         self.words = regex.compile(WORDS).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -122,7 +123,7 @@ class Texts:
         return [w for i, p in enumerate(parts) for w in ([f"\n{p}"] if i % 2 else self.words(normalize(p)))]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         new = {bpe.in_alphabet(w): w for w in words if w not in self.known and w[0] != "\n"}
         for spelled, tokens in self.encoder.encode(list(new)):
@@ -146,23 +147,24 @@ class Texts:
         return list(zip((counts[upto[1:]] - counts[upto[:-1]]).tolist(), *told))
 
 
-_texts: dict[str, Texts] = {}
+_texts: dict[tuple[str, int], Texts] = {}
 
 
-def encode(docs: DataFrame, path: str, ids: bool = True, batch_chars: int = 3_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, ids: bool = True, batch_chars: int = 3_000_000, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ids, the token ids of every whole text.
 
     path: a word-end BPE file of the tokenizers library, read on the driver; its tables, bounded by the vocabulary, go to
-    the workers. A worker handles about batch_chars characters at a time. A null text counts as empty: no tokens, and the
+    the workers. A worker handles about batch_chars characters at a time, and forgets encoded words when it has more than
+    `remembered`: fewer of both take less memory and more time. A null text counts as empty: no tokens, and the
     hashes of the empty string. Rows stay as they are, repeated or not; extra columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bpe.load(path))
 
     def begin():
-        if path not in _texts:
+        if (own := (path, remembered)) not in _texts:
             _texts.clear()
-            _texts[path] = Texts(*shared.value)
-        coder = _texts[path]
+            _texts[own] = Texts(*shared.value, remembered)
+        coder = _texts[own]
 
         def encoded(texts: list[str]) -> dict[str, list]:
             found = coder.encode(texts)

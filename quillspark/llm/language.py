@@ -37,6 +37,8 @@ BITS = 16
 BUCKETS = 1 << BITS
 #: Characters that are scored together; bounds the memory of a worker, not the length of a text.
 SLICE = 1_000_000
+#: Rows of a batch that become Python strings at once.
+ROWS = 1024
 RARE, BARRED = 0.005, 30.0
 
 
@@ -212,7 +214,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, keep: tuple[st
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, len(whole), ROWS)):
             texts = batch.column(len(keep)).to_pandas()
             cuts = [0, *(np.flatnonzero(np.diff(texts.str.len().cumsum() // SLICE)) + 1).tolist(), len(texts)] if len(texts) else []
             for a, b in zip(cuts, cuts[1:]):

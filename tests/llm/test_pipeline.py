@@ -106,6 +106,15 @@ def test_encode_stage(spark, folder, docs, rows):
     assert corpus_pipeline.encode(spark, docs.limit(0), folder).count() == 0
 
 
+def test_encoding_remembers_few_words(rows):
+    loaded = encoding.bpe.load(vocabulary("word_bpe_49k.json"))
+    few, many = encoding.Texts(*loaded, remembered=40), encoding.Texts(*loaded)
+    for n in range(0, 400, 20):
+        texts = [f"qx{i}zv wb{i}kk {rows[i % len(rows)][1] or ''}" for i in range(n, n + 20)]
+        assert few.encode(texts) == many.encode(texts)
+    assert len(few.known) < len(many.known) / 2
+
+
 def test_all_stages(spark, folder):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "mix", "encode"]
     found = corpus_pipeline.run(spark, folder).collect()
