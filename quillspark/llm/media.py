@@ -181,8 +181,8 @@ def encode_images(payloads: list[bytes]) -> list[bytes]:
         most = BITS[int(sizes[i] > SHORT)]
         lengths, reach = webp.code_lengths(green, most), webp.code_lengths(distances or {0: 1}, most)
         table, reach_table = webp.codes(lengths), webp.codes(reach)
-        for s in used:
-            code[i, s], length[i, s] = table[s]
+        if used:
+            code[i, used], length[i, used] = zip(*(table[s] for s in used))
         out = webp.BitWriter()
         for value, n in ((webp.SIGNATURE, 8), (widths[i] - 1, 14), (len(parts[i]) // widths[i] - 1, 14), (0, 1), (0, 3), (header.value, header.size), (0, 1), (0, 1), (0, 1)):
             out.write(value, n)

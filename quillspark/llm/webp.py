@@ -7,6 +7,7 @@ use any feature; media.py has one for samples, which codes many images at once a
 from __future__ import annotations
 
 import heapq
+import itertools
 import struct
 from collections.abc import Callable, Iterable
 
@@ -78,12 +79,16 @@ def code_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
         counts = {s: n // 2 + 1 for s, n in counts.items()}
 
 
+#: Numbers of 16 bits, read backwards.
+BACKWARDS = [int(f"{n:016b}"[::-1], 2) for n in range(1 << 16)]
+
+
 def codes(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
     """(bits in stream order, length) of each symbol of the canonical code."""
     found, code, last = {}, 0, 0
     for n, s in sorted((n, s) for s, n in lengths.items()):
         code <<= n - last
-        found[s] = (int(f"{code:0{n}b}"[::-1], 2) if n else 0, n)
+        found[s] = (BACKWARDS[code] >> 16 - n, n)
         code, last = code + 1, n
     return found
 
@@ -115,6 +120,10 @@ def run_lengths(lengths: list[int]) -> Iterable[tuple[int, int, int]]:
 #: The code that spells code lengths here: 13 of its 19 symbols have four bits, the others five.
 SPELLING_LENGTHS = {s: 4 if s < 13 else 5 for s in range(19)}
 SPELLING = codes(SPELLING_LENGTHS)
+#: What tells that code: no short form, its lengths, and that all symbols follow.
+SPELLED = BitWriter()
+for _value, _n in ((0, 1), (len(LENGTH_ORDER) - 4, 4), *((SPELLING_LENGTHS[s], 3) for s in LENGTH_ORDER), (0, 1)):
+    SPELLED.write(_value, _n)
 
 
 def write_code(out: BitWriter, lengths: dict[int, int], size: int) -> None:
@@ -127,14 +136,12 @@ def write_code(out: BitWriter, lengths: dict[int, int], size: int) -> None:
         return
     if len(lengths) == 1:  # a lone symbol that the short form can't name gets a partner
         lengths = {next(iter(lengths)): 1, 0: 1}
-    out.write(0, 1)
-    out.write(len(LENGTH_ORDER) - 4, 4)
-    for s in LENGTH_ORDER:
-        out.write(SPELLING_LENGTHS[s], 3)
-    out.write(0, 1)
+    value, n = SPELLED.value, SPELLED.size
     for s, extra, bits in run_lengths([lengths.get(s, 0) for s in range(size)]):
-        out.write(*SPELLING[s])
-        out.write(extra, bits)
+        code, own = SPELLING[s]
+        value |= (code | extra << own) << n
+        n += own + bits
+    out.write(value, n)
 
 
 def read_lengths(bits: BitReader, size: int) -> dict[int, int]:
@@ -172,6 +179,21 @@ def reader(lengths: dict[int, int]) -> Callable[[BitReader], int]:
     if len(lengths) <= 1:
         only = next(iter(lengths), 0)
         return lambda bits: only
+    if (most := max(lengths.values())) <= 7:
+        table: list[tuple[int, int] | None] = [None] * (1 << most)
+        for s, (c, n) in codes(lengths).items():
+            table[c :: 1 << n] = [(s, n)] * (1 << most - n)
+
+        def look_up(bits: BitReader) -> int:
+            at = bits.at
+            if (told := table[(int.from_bytes(bits.data[at >> 3 : (at >> 3) + 2], "little") >> (at & 7)) & (1 << most) - 1]) is None:
+                raise ValueError("no such code")
+            bits.at = at + told[1]
+            if bits.at > bits.size:
+                raise ValueError("the stream ends too early")
+            return told[0]
+
+        return look_up
     known = {(n, c): s for s, (c, n) in codes(lengths).items()}
     shortest = min(lengths.values())
 
@@ -244,19 +266,21 @@ def decode_green(bits: BitReader, lengths: dict[int, int], distance: Callable[[B
     window = (raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24).tolist()
     out, at, mask = bytearray(), bits.at, (1 << size) - 1
     try:
-        while len(out) < total:
-            e = window[at >> 3] >> (at & 7) & mask
-            at += used[e]
-            if found := literals[e]:
-                out += found
-            else:
-                bits.at = at
-                n = read_value(bits, symbol[e] - 256)
-                back = distance_of(read_value(bits, distance(bits)), width)
-                at = bits.at
-                if back > len(out):
-                    raise ValueError("a reference from before the image")
-                out += (out[-back:] * (n // back + 1))[:n] if n > back else out[len(out) - back : len(out) - back + n]
+        while (left := total - len(out)) > 0:
+            for _ in itertools.repeat(None, left // 3 or 1):  # steps of three literals at most
+                e = window[at >> 3] >> (at & 7) & mask
+                at += used[e]
+                if found := literals[e]:
+                    out += found
+                else:
+                    bits.at = at
+                    n = read_value(bits, symbol[e] - 256)
+                    back = distance_of(read_value(bits, distance(bits)), width)
+                    at = bits.at
+                    if back > len(out):
+                        raise ValueError("a reference from before the image")
+                    out += (out[-back:] * (n // back + 1))[:n] if n > back else out[len(out) - back : len(out) - back + n]
+                    break
     except IndexError:
         raise ValueError("the stream ends too early") from None
     return bytes(out[:total])
@@ -450,7 +474,7 @@ def decode(data: bytes) -> np.ndarray:
             table = np.zeros(256, np.uint32)
             table[: len(about)] = about
             pixels = table[index].ravel()
-    return np.stack([pixels >> s & 255 for s in (16, 8, 0, 24)], axis=1).astype(np.uint8).reshape(height, width, 4)
+    return np.ascontiguousarray(pixels, "<u4").view(np.uint8).reshape(height, width, 4)[:, :, (2, 1, 0, 3)]
 
 
 def encode_pixels(out: BitWriter, pixels: list[int], width: int, main: bool, cache_bits: int = 0, references: bool = False, groups: tuple[int, list[int]] | None = None) -> None:

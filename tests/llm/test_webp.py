@@ -68,3 +68,18 @@ def test_broken():
         webp.decode(data[:60])
     with pytest.raises(ValueError):
         webp.decode(b"GIF89a" + bytes(30))
+
+
+def test_codes_are_looked_up_or_walked():
+    """A table for short codes, a walk for long ones: both read what codes() spells, and refuse what it doesn't."""
+    for lengths in ({s: 4 if s < 13 else 5 for s in range(19)}, {s: min(s + 1, 9) for s in range(10)}, {7: 1, 300: 1}):
+        out = webp.BitWriter()
+        for s in [*lengths, *reversed(lengths)]:
+            out.write(*webp.codes(lengths)[s])
+        bits, read = webp.BitReader(out.bytes()), webp.reader(lengths)
+        assert [read(bits) for _ in range(2 * len(lengths))] == [*lengths, *reversed(lengths)]
+        with pytest.raises(ValueError):
+            for _ in range(20):
+                read(bits)
+    with pytest.raises(ValueError):
+        webp.reader({1: 2, 2: 2})(webp.BitReader(b"\xff"))
