@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from itertools import accumulate, groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,11 +39,12 @@ def marks(text: Column, lang: Column) -> Column:
     parts = F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     read = F.transform(parts, lambda p: F.struct(p.alias("p"), H.looks_like_heading(p, lang).alias("candidate"), F.nullif(F.regexp_extract(p, r"^(\d+):\d+\s", 1), F.lit("")).alias("verse")))
 
-    def told(rows: Column) -> Column:
-        verses = F.size(F.filter(rows, lambda x: x["verse"].isNotNull()))
+    def counted(rows: Column) -> Column:
+        return F.struct(rows.alias("rows"), (F.size(F.filter(rows, lambda x: x["verse"].isNotNull())) >= VERSES).alias("bible"))
 
+    def told(work: Column) -> Column:
         def one(x: Column) -> Column:
-            p, heading, bible = x["p"], x["candidate"], verses >= VERSES
+            p, heading, bible = x["p"], x["candidate"], work["bible"]
             line = H.one_line(p)
             brief, letters, testament = F.length(p) <= H.MOST, p.rlike(r"\p{L}"), p.rlike(r"(?i)\btestament\b")
             title = brief & ~F.contains(p, F.lit("\n")) & ~p.rlike("[.!?]$") & letters & ~testament
@@ -52,9 +54,10 @@ def marks(text: Column, lang: Column) -> Column:
                 F.when(bible, ~letters | (brief & testament)).alias("divider"), F.when(bible, title).alias("title"), F.when(bible & title, H.book_name(p)).alias("book"),
             )
 
-        return F.transform(rows, one)
+        return F.transform(work["rows"], one)
 
-    return F.get(F.transform(F.array(read), told), F.lit(0))
+    # Each step is bound as an element of an array: verses are counted once for a work, not for each of its paragraphs.
+    return F.get(F.transform(F.transform(F.array(read), counted), told), F.lit(0))
 
 
 def spans(text: str) -> Iterator[tuple[int, int]]:
@@ -182,6 +185,17 @@ def chunked(text: str, marks: list[dict]) -> Iterator[tuple[str | None, bool, in
             last = joined
 
 
+def _listed(marks: pa.Array) -> list[list[dict] | None]:
+    """As to_pylist() of an array of lists of structs, column by column; of a null there is None."""
+    flat = marks.flatten()
+    names = [f.name for f in flat.type]
+    columns = [c.to_pylist() for c in flat.flatten()]
+    rows = [dict(zip(names, r)) for r in zip(*columns)]
+    sizes = pc.list_value_length(marks).to_pylist()
+    ends = list(accumulate(n or 0 for n in sizes))
+    return [None if n is None else rows[end - n : end] for n, end in zip(sizes, ends)]
+
+
 def _by_work(works: DataFrame, tell, schema: str) -> DataFrame:
     """Rows that tell(text, marks) gives for each work, after its own columns but text and lang. Works that are null have none."""
     own = [c for c in works.columns if c not in ("text", "lang")]
@@ -194,7 +208,7 @@ def _by_work(works: DataFrame, tell, schema: str) -> DataFrame:
             for lo in range(0, len(batch), 64):
                 part = batch.slice(lo, 64)
                 at, rows = [], []
-                for i, (text, told) in enumerate(zip(part.column("text").to_pylist(), part.column("_marks").to_pylist())):
+                for i, (text, told) in enumerate(zip(part.column("text").to_pylist(), _listed(part.column("_marks")))):
                     found = list(tell(text, told))
                     at += [i] * len(found)
                     rows += found
@@ -236,6 +250,25 @@ def verses(works: DataFrame) -> DataFrame:
     return _by_work(works, lambda text, marks: [(i, a, b, text[a:b], *told) for i, ((a, b), told) in enumerate(_some(text, marks, scripture))], schema)
 
 
+def with_chunk_counts(works: DataFrame) -> DataFrame:
+    """works (lang, text, ...) with chunks: how many of a row's chunks aren't front matter. Rows stay, each with its own count,
+    whatever their ids; a null text has 0."""
+    given = works.withColumn("_marks", F.when(F.col("text").isNotNull(), marks(F.col("text"), F.col("lang"))))
+    own = works.columns
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                counts = []
+                for text, told in zip(part.column("text").to_pylist(), _listed(part.column("_marks"))):
+                    some = [m for (a, b), m in zip(spans(text), told) if b > a] if text else []
+                    counts.append(sum(not front for _, front, *_ in chunked(text, some)) if some else 0)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], pa.array(counts, pa.int64())], [*own, "chunks"])
+
+    return given.mapInArrow(read, T.StructType([*works.schema, T.StructField("chunks", T.LongType())]))
+
+
 def chunks(works: DataFrame) -> DataFrame:
     """The works' own columns (ids and what else there is), ordinal, locator, front, char_start, char_end, text of the chunks of
     (lang, text, ...). Rows with null or repeated ids are works of their own; a null text has no chunks."""

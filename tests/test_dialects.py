@@ -96,6 +96,18 @@ def test_one_flow_from_documents_to_verdicts(spark):
     assert told[13]["text"].startswith("CHAPTER 1. OF THINGS\n\n")
 
 
+def test_each_document_is_judged_by_its_own_text_and_read_once(spark):
+    chapters = "".join(f'<div type="chapter" n="{i}"><p>' + f"words of the work {i} here. " * 60 + "</p></div>" for i in range(1, 8))
+    whole, short = document("tcp", "L", "H", 1651, "Creative Commons 0 1.0", chapters), document("tcp", "L", "H", 1651, "Creative Commons 0 1.0", "<p>short</p>")
+    docs = spark.createDataFrame([(1, "tcp", whole), (1, "tcp", whole), (None, "tcp", whole), (1, "tcp", short)], "id long, archive string, xml string")
+    docs = docs.withColumns({"lang": F.lit("en"), "wanted_title": F.lit(None).cast("string"), "wanted_author": F.lit(None).cast("string")})
+    told = D.evaluated(docs, 2026)
+    counts = [r["chunks"] for r in told.orderBy(F.length("text")).collect()]
+    assert counts[0] == 0 and counts[1] == counts[2] == counts[3] == 7
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_headings_stay_short(spark):
     long = "On the many and various ways in which men of all kinds have lived in this land since the days of old"
     xml = body(f'<div type="preface"><head>{long}</head><p>a</p></div><div type="chapter" n="3"><head>CHAP. III. {long}</head><p>b</p><p>c</p></div>')
