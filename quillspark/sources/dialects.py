@@ -336,16 +336,25 @@ def heading_lines(segments: Column, archive: Column) -> Column:
         return F.when(F.length(line) <= LINE, line).otherwise(F.concat(F.regexp_replace(F.left(line, F.lit(SHORT_LINE)), r"\s\S*$", ""), F.lit("…")))
 
     def line(s: Column, i: Column) -> Column:
-        cite = F.array_join(F.transform(s["path"], lambda p: H.unit_label(p["unit"], p["n"])), ", ")
         fresh = (F.size(s["path"]) > 0) & ~s["path"].eqNullSafe(F.get(segments, i - 1)["path"])
-        own, bare = F.upper(H.own_part(s["head"])), F.trim(F.replace(s["head"], F.lit("_"), F.lit("")))
-        both = F.concat(cite, F.lit(" — "), F.upper(s["head"]))
-        epidoc = F.when(fresh, F.when((s["head"] != "") & H.adds_something(s["head"]) & (F.length(both) <= LINE), both).otherwise(cite))
+        own = F.when(s["head"] == "", "").otherwise(F.upper(H.own_part(s["head"])))
+        # Bound as elements of arrays, so that capitals, which are slow, are made once and where a reference may stand.
+        known = F.transform(F.array(F.struct(s["head"].alias("head"), fresh.alias("fresh"), own.alias("own"))), lambda x: F.struct(x["head"].alias("head"), x["fresh"].alias("fresh"), x["own"].alias("own"), cited(s, x).alias("cite")))
+        return F.get(F.transform(F.transform(known, written), lambda x: F.nullif(x, F.lit(""))), F.lit(0))
+
+    def cited(s: Column, x: Column) -> Column:
+        return F.when(x["fresh"] | (x["own"] != ""), F.array_join(F.transform(s["path"], lambda p: H.unit_label(p["unit"], p["n"])), ", "))
+
+    def written(x: Column) -> Column:
+        head, fresh, own, cite = x["head"], x["fresh"], x["own"], x["cite"]
+        bare = F.trim(F.replace(head, F.lit("_"), F.lit("")))
+        both = F.concat(cite, F.lit(" — "), F.upper(head))
+        epidoc = F.when(fresh, F.when((head != "") & H.adds_something(head) & (F.length(both) <= LINE), both).otherwise(cite))
         joined = F.when((cite != "") & (own != ""), F.concat(cite, F.lit(" — "), own)).when(cite != "", cite).otherwise(H.first_words(own))
         tcp = F.when(fresh | (own != ""), shortened(joined))
         german = F.when(H.mentions(bare, F.lit("de"), {"en": H.BODY["de"]}, r"(?iu)^({})\b"), bare).otherwise(H.first_words(bare))
         dta = F.when(bare != "", F.left(F.upper(german), F.lit(LINE)))
-        return F.nullif(F.when(archive == "epidoc", epidoc).when(archive == "tcp", tcp).otherwise(dta), F.lit(""))
+        return F.when(archive == "epidoc", epidoc).when(archive == "tcp", tcp).otherwise(dta)
 
     return F.transform(segments, line)
 
