@@ -58,13 +58,14 @@ class Records:
         return named.select("key", "slug")
 
     def _slugged(self, rows: DataFrame, taken: DataFrame) -> DataFrame:
-        """rows with a random slug that neither another row nor one of those taken (slug) has; written, so that they stay so."""
+        """rows with a random slug that neither another row nor one of those taken (slug) has; written, so that they stay so and
+        that who asks for them again doesn't work them out again."""
         code = F.left(F.sha2(F.expr("uuid()").cast("binary"), 256), F.lit(SLUG))
         coded = self._kept(rows.withColumn("_code", code).withColumn("_order", F.monotonically_increasing_id()))
-        return A.with_unique_slugs(coded, taken, "_code", "_order").drop("_code", "_order")
+        return self._kept(A.with_unique_slugs(coded, taken, "_code", "_order").drop("_code", "_order"))
 
     def _kept(self, rows: DataFrame) -> DataFrame:
-        """rows written aside, so that random values in them stay as they are."""
+        """rows written aside, so that random values in them stay as they are, and that what is read often is made once."""
         path = f"{self.store.manifests.path}/drafts/{self.spark.range(1).select(F.expr('uuid()')).first()[0]}"
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
@@ -107,7 +108,7 @@ class Records:
         return self._delete("searches", slugs.select("slug").distinct(), ["slug"])
 
     def _delete(self, name: str, keys: DataFrame, by: list[str]) -> DataFrame:
-        gone = None
+        gone, keys = None, self._kept(keys)
 
         def change(now: dict[str, DataFrame]) -> list[tuple]:
             nonlocal gone
@@ -142,7 +143,7 @@ class Records:
 
     def delete_projects(self, slugs: DataFrame) -> int:
         """Delete projects with what they hold, at once."""
-        keys = slugs.select("slug").distinct()
+        keys = self._kept(slugs.select("slug").distinct())
         return self.store.transact(lambda now: [("delete", "projects", keys, ["slug"]), ("delete", "members", keys.select(F.col("slug").alias("project")), ["project"])])
 
     def add_passages(self, rows: DataFrame, passages: DataFrame) -> int:

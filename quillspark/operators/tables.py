@@ -36,9 +36,10 @@ def sync(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFr
 
 def guarded(refs: DataFrame, passages: DataFrame) -> DataFrame:
     """refs (id, hash) with the passage's text where it is still there and unchanged; lost: otherwise."""
-    found = refs.join(passages.select("id", "text"), "id", "left")
-    intact = F.coalesce(text_hash(F.col("text")) == F.col("hash"), F.lit(False))
-    return found.withColumn("lost", ~intact).withColumn("text", F.when(intact, F.col("text")))
+    # Hashed before it is joined: a text moves only where it is asked for.
+    found = refs.join(passages.select("id", "text", text_hash(F.col("text")).alias("_now")), "id", "left")
+    intact = F.coalesce(F.col("_now") == F.col("hash"), F.lit(False))
+    return found.withColumn("lost", ~intact).withColumn("text", F.when(intact, F.col("text"))).drop("_now")
 
 
 def carried(rows: DataFrame, value: Column, by: str, order: str, name: str) -> DataFrame:

@@ -80,7 +80,7 @@ def kept_passages(t: Tables) -> DataFrame:
     r.remove_passages(asked.where("id % 6 = 0"))
     r.delete_projects(named.where("key % 7 = 0"))
     now = r.contents(texts.withColumn("text", F.when(F.col("id") % 4 == 0, F.concat(F.lit("new "), "text")).otherwise(F.col("text"))))
-    titles = r.projects().select(F.col("slug").alias("project"), "title")
+    titles = r.read("projects").select(F.col("slug").alias("project"), "title")
     return now.join(titles, "project").select("title", "id", "lost")
 
 

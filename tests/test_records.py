@@ -135,3 +135,15 @@ def test_documents_are_written_under_their_names(spark, tmp_path):
     write_documents(docs, str(tmp_path / "out"), F.when(F.col("question").isNotNull(), file_name(F.col("question"), "md")), F.col("body"))
     found = {(r["file"], r["value"]) for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()}
     assert found == {("vad-är-jaget.md", "# A\n\n> one\n"), ("search.md", "two\n")}
+
+
+def test_contents_move_no_texts_unless_asked_for(spark, records, passages):
+    named = records.create_projects(spark.createDataFrame([("a", "A", "", "")], "key string, title string, description string, tags string"))
+    assert "Window" not in named._jdf.queryExecution().executedPlan().toString()  # written, not worked out again by who asks
+    records.add_passages(named.select(F.col("slug").alias("project"), F.lit(1).cast("long").alias("id"), F.lit("").alias("prompt"), F.lit("").alias("relevance")), passages)
+    now = passages.withColumn("text", F.concat("text", F.lit(" more")))
+    assert [tuple(r) for r in records.contents(now).select("id", "lost", "text").collect()] == [(1, True, None)]
+    plan = records.contents(passages).select("id", "lost")._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join") :].split("\n")
+    assert not any("sha2" in x for x in plan[: plan.index("Join")].split("\n")) and any("sha2" in x for x in join)
+    assert [tuple(r) for r in records.contents(passages).select("id", "lost", "text").collect()] == [(1, False, "one")]
