@@ -70,7 +70,9 @@ def chunk_properties(t: Tables) -> DataFrame:
     by = at.groupBy("work_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "char_start", "char_end"))).alias("c"), F.every(fits).alias("within_bounds"))
     by = by.withColumn("in_order", F.forall(F.transform("c", lambda x, i: (x["ordinal"] == i) & ((i == 0) | (x["char_end"] > F.get("c", i - 1)["char_end"]))), lambda x: x))
     paras = S.marked(own).where(~F.col("heading") & F.length("text").between(S.LEAST + 1, S.HARD))
-    paras = paras.withColumn("_n", F.count("*").over(Window.partitionBy("work_id", F.xxhash64("text"), "text"))).where("_n = 1").select("work_id", "i", "start", "end")
+    # Paragraphs are told apart by SHA-256, so that no text moves; one shuffle by work serves the window and the join.
+    paras = paras.select("work_id", "i", "start", "end", F.unhex(F.sha2("text", 256)).alias("_text")).repartition("work_id")
+    paras = paras.withColumn("_n", F.count("*").over(Window.partitionBy("work_id", "_text"))).where("_n = 1").select("work_id", "i", "start", "end")
     rows = paras.join(by, "work_id", "left")
     return rows.select("work_id", "i", F.coalesce(F.exists("c", lambda x: (x["char_start"] <= F.col("start")) & (x["char_end"] >= F.col("end"))), F.lit(False)).alias("covered"), "in_order", "within_bounds")
 

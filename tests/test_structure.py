@@ -189,3 +189,14 @@ def test_names(spark):
         assert [x["found"] for x in rows] == [x["want"] for x in rows]
     one = spark.range(1).select(H.own_part(F.lit("CHAP. XIII. Of the _Naturall_ Condition")).alias("own"), H.adds_something(F.lit("The First Book")).alias("no"), H.adds_something(F.lit("Of Man")).alias("yes"), H.unit_label(F.lit("sub_book"), F.lit("1")).alias("label"), H.first_words(F.lit("a b c d e f g h i j")).alias("first")).first()
     assert tuple(one) == ("Of the Naturall Condition", False, True, "SUB BOOK 1", "a b c d e f g h…")
+
+
+def test_chunk_properties_move_no_paragraphs(spark, tmp_path):
+    from quillspark.plans import catalogue
+
+    text = "\n".join(["PREFACE", "a b c d e f. " * 12, "a b c d e f. " * 12, "other words. " * 14])
+    spark.createDataFrame([(1, text, "en"), (2, text, None), (3, None, "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalogue.queries()["chunk_properties"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 3, True, True, True), (2, 3, True, True, True)]
+    sorts = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Sort [" in x]
+    assert sorts and not any(" text#" in x for x in sorts)
