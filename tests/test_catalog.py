@@ -40,3 +40,15 @@ def test_costs_as_they_are_shown(spark):
     told = {0.0: ("$0", "0 kr"), -1.0: ("$0", "0 kr"), 0.00001: ("<$0.0001", "<0,001 kr"), 0.01234: ("$0.0123", "0,012 kr"), 0.5: ("$0.5000", "0,50 kr"), 1234.5: ("$1,234.5000", "1\u00a0234,50 kr")}
     rows = spark.createDataFrame([(x,) for x in told], "x double").select("x", C.usd_shown(F.col("x")).alias("usd"), C.sek_shown(F.col("x"), "sv").alias("sek")).collect()
     assert {r["x"]: (r["usd"], r["sek"]) for r in rows} == told
+
+
+def test_candidates_are_met_by_key(spark):
+    from quillspark.operators.builder import candidates
+
+    catalog = spark.createDataFrame([(1, "Anna; Annabel", "b"), (1, "Anna", "a"), (2, "Bo; Someone [Translator]", "c"), (3, "Anna [Dubious author]", "d"), (4, "Anna", None), (4, "Anna", "e")], "id long, authors string, title string")
+    wanted = spark.createDataFrame([(1, 1, "Ann", 4), (1, 1, "Ann", 4), (1, 2, "Ann", 3), (2, 1, "Annab", 4), (2, 2, "", 4), (2, 3, None, 4), (2, 4, "Zo", 4)], "grp long, author_no long, key string, cap int")
+    found = candidates(catalog, wanted)
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (1, 1, "Ann", 4, 1, "a"), (1, 1, "Ann", 4, 4, "e"), (1, 2, "Ann", 3, 1, "a"), (1, 2, "Ann", 3, 4, "e"), (2, 1, "Annab", 4, 1, "b"),
+    ]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
