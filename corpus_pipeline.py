@@ -40,8 +40,8 @@ def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Each row carries its own score, whatever its doc_id. Null and empty texts have no letter and go; repeated rows stay or
     go together; an empty table stays empty.
     """
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    found = language.identify(own, language.learn(table(spark, sf_dir, "documents")), keep=("_row",))
+    own = docs.select(F.struct(*docs.columns).alias("_row"))
+    found = language.identify(own, language.learn(table(spark, sf_dir, "documents")), keep=("_row",), inside="_row")
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("_row.*")
 
 

@@ -78,6 +78,26 @@ def trigrams(c: np.ndarray) -> np.ndarray:
     return np.where((b | c) > 0, (h >> np.uint32(32 - BITS)) | np.uint32(1), 0)
 
 
+def slices(texts: pd.Series) -> Iterator[list[str]]:
+    """The texts in lists of about SLICE characters."""
+    cuts = [0, *(np.flatnonzero(np.diff(texts.str.len().cumsum() // SLICE)) + 1).tolist(), len(texts)] if len(texts) else []
+    for a, b in zip(cuts, cuts[1:]):
+        yield list(texts[a:b])
+
+
+def letter_counts(texts: pd.Series) -> np.ndarray:
+    """How often each bucket of trigrams and, behind them, each script occurs in the texts."""
+    plain, bit, _ = letters()
+    by = np.zeros(BUCKETS + 32, np.int64)
+    for some in slices(texts):
+        raw, _ = codes(some)
+        by[:BUCKETS] += np.bincount(trigrams(plain[raw]), minlength=BUCKETS)
+        scripts = bit[raw]
+        by[BUCKETS:] += [np.count_nonzero(scripts & np.uint32(1 << i)) for i in range(32)]
+    by[0] = 0
+    return by
+
+
 @dataclass
 class Model:
     """languages: learned values, sorted. weights: [bucket, language]. scripts: the bits of each language's scripts."""
@@ -169,16 +189,12 @@ def learn(docs: DataFrame, rows: int = 6_000) -> Model:
     given = given.where((F.col("_n") <= rows) | (chance < rows / F.col("_n")))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plain, bit, _ = letters()
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, part in batch.groupby("lang"):
-                raw, _ = codes(list(part["text"]))
-                by = np.bincount(trigrams(plain[raw]), minlength=BUCKETS + 32)
-                by[0] = 0
-                scripts = bit[raw]
-                by[BUCKETS:] = [np.count_nonzero(scripts & np.uint32(1 << i)) for i in range(32)]
-                found[lang] = found.get(lang, 0) + by
+                found[lang] = found.get(lang, 0) + letter_counts(part["text"])
+            batch = part = None
+            trim()
         for lang, by in found.items():
             kept = np.flatnonzero(by)
             yield pd.DataFrame({"lang": lang, "bucket": kept, "n": by[kept]})
@@ -202,12 +218,13 @@ def learn(docs: DataFrame, rows: int = 6_000) -> Model:
     return Model(list(languages), weights.astype(np.float32), bits)
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 8.0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: Model, penalty: float = 8.0, keep: tuple[str, ...] = ("doc_id",), inside: str | None = None) -> DataFrame:
     """The columns `keep` and lang_pred, score and spans (start, end in code points, lang) of every whole text.
 
     lang_pred is the language of most letters, the first by name among equals, score its share of them. A text that is
     null or has no letter is `und` with score 0 and no spans, as is every text where no language was learned.
     Rows stay as they are, repeated or not, and kept columns pass through unchanged; others are ignored.
+    inside: a kept struct whose field `text` is the text, which then goes to the workers once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     places = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
@@ -215,11 +232,12 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, keep: tuple[st
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, len(whole), ROWS)):
-            texts = batch.column(len(keep)).to_pandas()
-            cuts = [0, *(np.flatnonzero(np.diff(texts.str.len().cumsum() // SLICE)) + 1).tolist(), len(texts)] if len(texts) else []
-            for a, b in zip(cuts, cuts[1:]):
+            texts = (batch.column(keep.index(inside)).field("text").fill_null("") if inside else batch.column(len(keep))).to_pandas()
+            b = 0
+            for some in slices(texts):
+                a, b = b, b + len(some)
                 rows = []
-                for spans in m.label(list(texts[a:b]), penalty) if m.languages else [[]] * (b - a):
+                for spans in m.label(some, penalty) if m.languages else [[]] * (b - a):
                     by: dict[int, int] = {}
                     for _, _, k, n in spans:
                         by[k] = by.get(k, 0) + n
@@ -228,10 +246,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, keep: tuple[st
                     rows.append(("und", 0.0, named) if top is None else (m.languages[top], by[top] / sum(by.values()), named))
                 own = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], places)]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own], [*part.schema.names[:-1], "lang_pred", "score", "spans"])
-            texts = rows = None
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *own], [*keep, "lang_pred", "score", "spans"])
+            texts = some = rows = None
             trim()
 
-    texts = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    texts = docs.select(*keep, *[F.coalesce("text", F.lit("")).alias("_text")][: inside is None])
     told = T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>")
-    return texts.mapInArrow(found, T.StructType([*texts.schema.fields[:-1], *told.fields]))
+    return texts.mapInArrow(found, T.StructType([*texts.schema.fields[: len(keep)], *told.fields]))

@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tokenizers
@@ -442,6 +443,20 @@ def test_language_learns_rare_ones(spark):
     assert [model.languages[k] for _, _, k, _ in model.label([texts["fr"] * 4], 8.0)[0]] == ["fr"]
 
 
+def test_language_learns_and_reads_by_slices(spark, monkeypatch):
+    texts = pd.Series(["the house of the man", "", "la maison", "дом и мир", "x" * 70, "end of it"] * 5)
+    whole, sizes, plain = language.letter_counts(texts), [], language.codes
+    monkeypatch.setattr(language, "SLICE", 40)
+    monkeypatch.setattr(language, "codes", lambda some: (sizes.append(sum(map(len, some[1:]))), plain(some))[1])
+    assert (language.letter_counts(texts) == whole).all() and len(sizes) == 10 and max(sizes) <= 40 and whole.sum() > 0
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string")
+    model = language.Model(["en"], np.ones((language.BUCKETS, 1), np.float32), np.full(1, 1 << 0, np.uint32))
+    own = language.identify(docs.select(F.struct("doc_id", "text").alias("_row")), model, keep=("_row",), inside="_row")
+    assert own.columns == ["_row", "lang_pred", "score", "spans"]
+    told = sorted(own.selectExpr("_row.doc_id", "_row.text", "lang_pred", "score").collect())
+    assert told == sorted(language.identify(docs, model, keep=("doc_id", "text")).select("doc_id", "text", "lang_pred", "score").collect())
+
+
 def test_one_language_is_exact():
     r = np.random.default_rng(1)
     m = language.Model(["a", "b", "c"], np.zeros((1, 3)), np.zeros(3, np.uint32))
