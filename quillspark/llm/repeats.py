@@ -243,8 +243,8 @@ def _by_suffixes(texts: DataFrame, buckets: int, length: int) -> DataFrame:
     def settle(table: pa.Table) -> pa.Table:
         strings, whole = table.column("text").to_pylist(), np.array(table.column("n").to_pylist()) > 1
         found = repeated_windows(strings, whole, np.array(table.column("head").to_pylist(), np.int64), length)
-        some = [i for i, f in enumerate(found) if f]
-        return pa.table({"gram": table.column("gram").take(some), "content": table.column("content").take(some), "spans": _spans([found[i] for i in some])})
+        some = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+        return pa.table({"gram": table.column("gram").take(some), "content": table.column("content").take(some), "spans": _spans([f for f in found if f])})
 
     dealt = texts.withColumn("_bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
     return dealt.groupBy("_bucket").applyInArrow(settle, "gram long, content long, spans array<struct<a: int, b: int>>")

@@ -119,3 +119,12 @@ def test_remove_repeats_of_none(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     docs = spark.createDataFrame([(1, "short"), (None, None)], "doc_id long, text string")
     assert sorted(str(x["n_removed"]) for x in repeats.remove_repeats(docs).collect()) == ["0", "0"]
+
+
+def test_one_gram_without_repeated_windows(spark):
+    r = random.Random(8)
+    some = lambda n: " ".join(f"{r.randrange(10**5)}" for _ in range(n))
+    passage = some(51)
+    rows = [(i, f"{some(70)} {passage} {some(70)}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str(tuple(x)) for x in repeats.remove_repeats(docs).collect()) == plain(rows)
