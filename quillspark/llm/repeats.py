@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut
-from quillspark.llm.shingles import BASE, mixed
+from quillspark.llm.passages import shared_passages
+from quillspark.llm.shingles import BASE, lowest, mixed
 from quillspark.llm.suffixes import suffix_array
 
 #: Bytes of the grams that deal windows, of those that cut stretches into phrases, and of a phrase, about.
@@ -51,16 +52,6 @@ def gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def lowest(values: np.ndarray, w: int) -> np.ndarray:
-    """The least of each w neighbours."""
-    out, have = values, 1
-    while have < w:
-        step = min(have, w - have)
-        out = np.minimum(out[:-step], out[step:])
-        have += step
-    return out
-
-
 def stretches(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
     """Runs of neighbouring windows of `length` bytes with the same lowest k-gram: text, first and last start, and that gram's
     place and hash. Of equal grams the first is taken."""
@@ -290,15 +281,18 @@ def repeated_spans(base: DataFrame, length: int, gram: int = GRAM, crowd: int =
     return found.groupBy("row").agg(F.collect_list(F.struct(start.alias("a"), (F.col("first") + F.col("x.b")).alias("b"))).alias("spans"))  # bounded by the text
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False, **limits: int) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False, words: int | None = None, **limits: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (binary) of each text without the bytes
     that a string of `length` bytes covers which also starts anywhere else, in the same text or another.
 
     Texts are their UTF-8; what is left may end within a character. Overlapping repeats count; all are judged on the input.
     Null texts are empty, texts shorter than `length` stay whole; equal texts long enough go whole; rows stay as they are,
     repeated or not; extra columns are ignored; an empty table gives an empty result.
+    With words, the column shared_passage is 1 where a text has that many words in a row which another row has too, be they
+    of fewer bytes than `length` or with other white space, and else 0; nothing is removed for it.
     """
     base = _packed(docs)
+    shared = None if words is None else shared_passages(base, words)
     spans = repeated_spans(base, length, **limits)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +314,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False,
                 kept = b"".join([*parts, text[max(0, stop) :]])
                 rows.append((len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
             told = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *told[: 4 + keep_text]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text])
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return base.join(spans, "row", "left").select("doc_id", "packed", "spans").mapInArrow(strip, schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *told[: 4 + keep_text], *batch.columns[3:]], names)
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text + ", shared_passage int" * (words is not None)
+    names = [c.split()[0] for c in schema.split(", ")]
+    marked = base.join(spans, "row", "left")
+    if words is None:
+        return marked.select("doc_id", "packed", "spans").mapInArrow(strip, schema)
+    told = F.lit(0) if shared is None else F.coalesce("shared_passage", F.lit(0))
+    if shared is not None:
+        marked = marked.join(shared.withColumn("shared_passage", F.lit(1)), "row", "left")
+    return marked.select("doc_id", "packed", "spans", told.alias("shared_passage")).mapInArrow(strip, schema)

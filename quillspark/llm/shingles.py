@@ -26,6 +26,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def lowest(values: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w neighbours."""
+    out, have = values, 1
+    while have < w:
+        step = min(have, w - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
+
+
 def shingles(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words of the texts, one text after another (repeats kept), and where each text's begin.
 
@@ -45,7 +55,8 @@ def shingles(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([h for h, _ in parts]), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(starts) for _, starts in parts]))))
 
 
-def _shingles(encoded: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts, one text after another, and how many each text has."""
     buf = np.frombuffer(b" ".join(encoded) + b" ", np.uint8)
     ends_of = np.cumsum([len(e) + 1 for e in encoded])
     up, down = _powers(max(1 << 20, 1 << (len(buf) + 1).bit_length()))
@@ -54,8 +65,19 @@ def _shingles(encoded: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)])))
     words = mixed((total[ends] - total[starts]) * down[starts])
-    upto = np.searchsorted(starts, ends_of)
-    counts = np.diff(upto, prepend=0)
+    return words, np.diff(np.searchsorted(starts, ends_of), prepend=0)
+
+
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k neighbouring words, given by their hashes."""
+    up, down = _powers(max(1 << 20, 1 << (len(words) + 1).bit_length()))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])))
+    return mixed((total[k:] - total[:-k]) * down[: len(total) - k])
+
+
+def _shingles(encoded: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    words, counts = word_hashes(encoded)
+    upto = np.cumsum(counts)
     owner = np.repeat(np.arange(len(encoded)), counts)
     n = len(words)
     padded = np.concatenate((words, np.zeros(k, np.uint64)))
