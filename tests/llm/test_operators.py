@@ -11,7 +11,10 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import regex
 import tokenizers
 import xxhash
 from pyspark.sql import functions as F
@@ -364,6 +367,44 @@ def test_encoding(odd, none):
     assert encoding.encode(none, path).count() == 0
 
 
+def encoding_texts():
+    """Words with all kinds of marks and white space, added tokens, and characters that Arrow's split and the words' pattern see differently."""
+    r = random.Random(8)
+    marks = ["", "", ",", "...", "'s", "'", '"', "42", "!'ll", "\x1c", "\x1f,", "\x00", "<|endoftext|>", "<|startoftext|>", "</w>", "\u0301", "Σ", "İ", "²", "ǅ", "日本", "🙂", "a" * 90, "-" * 70]
+    space = [" ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\ufeff", "\u180e"]
+    return [*space, *marks, " a ", *("".join(r.choice(marks) + r.choice(WORDS) + r.choice(marks) + r.choice(space) for _ in range(40)) for _ in range(300))]
+
+
+def test_encoding_of_pieces():
+    t, path = tokenizer("word_bpe_49k.json")
+    texts, coder = encoding_texts(), encoding.Texts(*encoding.bpe.load(path), remembered=500)
+    for lo in range(0, len(texts), 30):
+        for text, (n, ids, said) in zip(texts[lo : lo + 30], coder.encode(texts[lo : lo + 30]), strict=True):
+            want = t.encode(text, add_special_tokens=False).ids
+            assert (n, ids, said) == (len(want), " ".join(map(str, want)), t.decode(want, skip_special_tokens=False)), text
+    assert coder.encode([]) == [] and max(map(len, coder.known)) <= encoding.LONG
+
+
+def test_encoding_white_space():
+    every = [f"a{chr(i)}b" for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    coder = encoding.Texts(*encoding.bpe.load(tokenizer("word_bpe_49k.json")[1]))
+    sizes = pc.list_value_length(pc.utf8_split_whitespace(pa.array(every, pa.large_string()))).to_pylist()
+    assert {e[1] for e, n in zip(every, sizes) if (n == 2) != bool(regex.match(r"\s", e[1]))} == set(encoding.NO_SPACE)
+    assert all(len(coder.pieces([f"a{c}b"])[0]) == 3 for c in encoding.NO_SPACE)
+
+
+def test_encoding_cuts_each_piece_once_and_keeps_the_frequent():
+    """White space alone is looked for in known texts; when too much is known, what the batch needs stays."""
+    coder = encoding.Texts(*encoding.bpe.load(tokenizer("word_bpe_49k.json")[1]), remembered=60)
+    cut, walked = [], []
+    words, walk = coder.words_by_line, coder.encoder.encode
+    coder.words_by_line = lambda text: cut.append(text) or words(text)
+    coder.encoder.encode = lambda new: walked.extend(new) or walk(new)
+    for i in range(40):
+        coder.encode([f"lorem, ipsum! dolor's x{'abcdefghij'[i % 10]}{'klmn'[i // 10]}q"])
+    assert sum(text.count("lorem") for text in cut) == 1 and walked.count("lorem") == 1 and len(coder.known) <= 70
+
+
 def test_media(odd, none):
     for r in media.store_texts(odd, keep_media=True).collect():
         raw = (next(x["text"] for x in odd.collect() if x["doc_id"] == r["doc_id"]) or "").encode()
