@@ -1,6 +1,7 @@
 import random
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,31 @@ def test_ranks_are_cut_ahead_of_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2 and plan.index("Exchange") < plan.rindex("WindowGroupLimit")
     want = [(q, i, (i * 37) % 101, n) for q in range(3) for n, i in enumerate(sorted(range(q, 2000, 3), key=lambda i: ((i * 37) % 101, i))[:2])]
     assert sorted(want) == sorted(map(tuple, found.collect()))
+
+
+def test_mentions_open_all_works_they_name(spark):
+    rows = [(i, f"w{i:02d}", f"Author {i}", "Of it") for i in range(60)] + [(60, "w60", None, "Of Author"), (61, "w61", "Other", None)]
+    passages = spark.createDataFrame(rows, "id int, work string, author string, title string")
+    assert sorted(r["work"] for r in S.named_works(passages.union(passages), ["author", "of"]).collect()) == [f"w{i:02d}" for i in range(61)]
+    assert S.named_works(passages, ["of", " It "]).count() == 0
+
+
+@pytest.fixture(scope="module")
+def many_works(tmp_path_factory):
+    """Tables in which a mention names 90 works; works after the 40th in order have passages of their own."""
+    folder = tmp_path_factory.mktemp("many")
+    source = "CASE WHEN doc_id % 4 = 0 THEN 'src7' ELSE 'src' || (1200 + doc_id % 90) END"
+    duckdb.sql(f"COPY (SELECT * REPLACE ({source} AS source) FROM '/root/testdata/sf0.01/documents.parquet') TO '{folder}/documents.parquet'")
+    duckdb.sql(f"COPY (FROM '/root/testdata/sf0.01/embeddings.parquet') TO '{folder}/embeddings.parquet'")
+    return str(folder)
+
+
+def uncut(name):
+    """A query's SQL without its end at 40 named works."""
+    sql = catalogue.oracle_sql()[name]
+    assert sql.count(" ORDER BY work LIMIT 40") == 1
+    return sql.replace(" ORDER BY work LIMIT 40", "")
+
+
+def test_fused_branches_of_many_named_works(spark, many_works):
+    compare(spark, many_works, catalogue.queries()["fused_branches"], uncut("fused_branches"))
