@@ -155,3 +155,7 @@ def uncut(name):
 
 def test_fused_branches_of_many_named_works(spark, many_works):
     compare(spark, many_works, catalogue.queries()["fused_branches"], uncut("fused_branches"))
+
+
+def test_pool_histogram_of_many_named_works(spark, many_works):
+    compare(spark, many_works, catalogue.queries()["pool_histogram"], uncut("pool_histogram"))
